@@ -180,8 +180,11 @@ def _heaviest(history: DataFrame, targets: DataFrame) -> int:
 
 
 def _sorted_groups(rows: DataFrame) -> DataFrame:
+    # A fixed count keeps adaptive coalescing from merging small but costly
+    # groups into a few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64("seg", "chunk")
-    return rows.repartition(spread).sortWithinPartitions(
+    return rows.repartition(tasks, spread).sortWithinPartitions(
         spread, "seg", "chunk", "at_us", "event_id"
     )
 
@@ -365,7 +368,7 @@ def last_n_form(
     if cut is None:
         cut = _heaviest(history, targets) > chunk_rows
     if cut:
-        rows = _chunked(rows, chunk_rows, bucket_seconds, max(windows) + 1)
+        rows = _chunked(rows, chunk_rows, bucket_seconds, max(windows, default=0) + 1)
     else:
         rows = rows.withColumn("chunk", F.lit(0))
     base = _sorted_groups(rows).mapInArrow(
