@@ -67,15 +67,15 @@ def _half_step(line: Column) -> Column:
     return doubled == F.floor(doubled)
 
 
-def market_outcome(
+def canonical_outcome(
     selection: Column, market: Column, line: Column, score1: Column, score2: Column
 ) -> Column:
-    """Outcome of a structured contract; null when unsupported.
+    """Outcome of a contract whose selection is canonical; null when unsupported.
 
     A draw loses both side bets. Handicaps settle on whole and half lines only.
     """
     code = F.lower(F.trim(market))
-    chosen = F.lower(canonical_selection(selection, market, line))
+    chosen = F.lower(selection)
     number = line.cast("decimal(10,3)")
     s1, s2 = score1.cast("decimal(10,3)"), score2.cast("decimal(10,3)")
     goals = s1 + s2
@@ -122,12 +122,11 @@ def notation_outcome(selection: Column, score1: Column, score2: Column) -> Colum
 
 
 def settlement_problem(
-    selection: Column, market: Column, line: Column, score1: Column, score2: Column
+    outcome: Column, market: Column, line: Column, score1: Column, score2: Column
 ) -> Column:
     """Why a structured contract has no outcome; null when it has one."""
     code = F.lower(F.trim(market))
     number = line.cast("decimal(10,3)")
-    outcome = market_outcome(selection, market, line, score1, score2)
     return F.when(
         outcome.isNull(),
         F.when((score1 < 0) | (score2 < 0), "negative_score")
@@ -175,12 +174,23 @@ def canonicalize(df: DataFrame) -> DataFrame:
     return df.withColumn("raw_selection", F.col("selection")).withColumn("selection", canonical)
 
 
+def with_outcome(df: DataFrame) -> DataFrame:
+    """Add ``outcome`` from selection, market, line, score1 and score2.
+
+    The notation is read once, in a projection of its own: every branch of the
+    settlement rules then refers to a plain column.
+    """
+    market, line = F.col("market"), F.col("line")
+    read = df.withColumn("_side", canonical_selection(F.col("selection"), market, line))
+    outcome = canonical_outcome(F.col("_side"), market, line, F.col("score1"), F.col("score2"))
+    return read.withColumn("outcome", outcome).drop("_side")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Add ``outcome`` and ``error_reason`` from selection, market, line and scores."""
-    names = ("selection", "market", "line", "score1", "score2")
-    columns = [F.col(name) for name in names]
-    return df.withColumns(
-        {"outcome": market_outcome(*columns), "error_reason": settlement_problem(*columns)}
+    """Add ``outcome`` and ``error_reason``."""
+    names = ("outcome", "market", "line", "score1", "score2")
+    return with_outcome(df).withColumn(
+        "error_reason", settlement_problem(*[F.col(name) for name in names])
     )
 
 

@@ -73,66 +73,85 @@ def running_sums(
     )
 
 
-def drawdown(
+def path_summary(
     df: DataFrame,
     *,
     run: Sequence[str],
     order: Sequence[str],
     at: str,
-    profit: str = "profit",
+    profit: Column,
+    won: Column,
+    lost: Column,
+    extra: Sequence[Column] = (),
     bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Largest fall of the cumulative profit from its running peak (peak >= 0)."""
+    """One row per (run, bucket) from which drawdown and streaks can be merged.
+
+    ``profit`` is zero and ``won``/``lost`` are false on rows that are no
+    settled bet. One sort serves all of it; ``extra`` aggregates ride along.
+    """
     here = inside(run, order)
-    scanned = with_bucket(df, at, bucket_seconds).withColumn("_c", F.sum(profit).over(here))
-    scanned = scanned.withColumn("_p", F.max("_c").over(here))
-    parts = scanned.groupBy(*run, "_bucket").agg(
-        F.sum(profit).alias("total"),
-        F.max("_c").alias("high"),
-        F.min("_c").alias("low"),
-        F.max(F.col("_p") - F.col("_c")).alias("fall"),
+    scanned = with_bucket(df, at, bucket_seconds).withColumns(
+        {"_gain": profit, "_won": won, "_lost": lost}
+    )
+    scanned = scanned.withColumns(
+        {"_c": F.sum("_gain").over(here), "_l": F.count_if(F.col("_lost")).over(here)}
+    )
+    scanned = scanned.withColumns(
+        {
+            "_p": F.max("_c").over(here),
+            "_at_win": F.max(F.when(F.col("_won"), F.col("_l"))).over(here),
+        }
+    )
+    at_win = F.when(F.col("_won"), F.col("_l"))
+    total = F.max("_l")
+    return scanned.groupBy(*run, "_bucket").agg(
+        F.sum("_gain").alias("_total"),
+        F.max("_c").alias("_high"),
+        F.min("_c").alias("_low"),
+        F.max(F.col("_p") - F.col("_c")).alias("_fall"),
+        F.max(F.col("_l") - F.coalesce("_at_win", F.lit(0))).alias("_best"),
+        F.coalesce(F.min(at_win), total).alias("_leading"),
+        (total - F.coalesce(F.max(at_win), F.lit(0))).alias("_trailing"),
+        F.count_if(F.col("_won")).alias("_wins"),
+        *extra,
     )
-    before = earlier(run)
-    placed = parts.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    placed = placed.withColumn("peak", F.max(F.col("start") + F.col("high")).over(before))
-    peak = F.greatest(F.coalesce(F.col("peak"), F.lit(0)), F.lit(0))
-    deepest = F.greatest(F.col("fall"), peak - (F.col("start") + F.col("low")), F.lit(0))
-    return placed.groupBy(*run).agg(F.max(deepest).alias("max_drawdown"))
 
 
-def losing_streak(
-    df: DataFrame,
-    *,
-    run: Sequence[str],
-    order: Sequence[str],
-    at: str,
-    outcome: str = "outcome",
-    bucket_seconds: int = BUCKET_SECONDS,
+def merge_paths(
+    summary: DataFrame, *, run: Sequence[str], extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """Longest run of losses; returns do not count, wins end it."""
-    decided = with_bucket(
-        df.where(F.col(outcome).isin("win", "loss")), at, bucket_seconds
-    ).withColumn("_i", F.count_if(F.col(outcome) == "win").over(inside(run, order)))
-    islands = decided.groupBy(*run, "_bucket", "_i").agg(
-        F.count_if(F.col(outcome) == "loss").alias("losses")
-    )
-    parts = islands.groupBy(*run, "_bucket").agg(
-        F.max("losses").alias("best"),
-        F.max("_i").alias("wins"),
-        F.sum(F.when(F.col("_i") == 0, F.col("losses")).otherwise(0)).alias("leading"),
-        F.max_by("losses", "_i").alias("trailing"),
+    """Largest fall from the running peak (peak >= 0) and longest losing streak.
+
+    A losing streak ends at a win; buckets without a win prolong the streak
+    that the last win left behind.
+    """
+    before = earlier(run)
+    ordered = Window.partitionBy(*run).orderBy("_bucket")
+    up_to = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = summary.withColumns(
+        {
+            "_start": F.coalesce(F.sum("_total").over(before), F.lit(0.0)),
+            "_epoch": F.count_if(F.col("_wins") > 0).over(up_to),
+        }
     )
-    # Buckets without a win prolong the streak that the last win left behind.
-    up_to = Window.partitionBy(*run).orderBy("_bucket").rowsBetween(
+    in_epoch = Window.partitionBy(*run, "_epoch").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    grouped = parts.withColumn("_g", F.count_if(F.col("wins") > 0).over(up_to))
-    in_group = Window.partitionBy(*run, "_g").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    placed = placed.withColumns(
+        {
+            "_peak": F.max(F.col("_start") + F.col("_high")).over(before),
+            "_open": F.sum("_trailing").over(in_epoch),
+        }
+    )
+    peak = F.greatest(F.coalesce(F.col("_peak"), F.lit(0.0)), F.lit(0.0))
+    fall = F.greatest(F.col("_fall"), peak - (F.col("_start") + F.col("_low")), F.lit(0.0))
+    incoming = F.coalesce(F.lag("_open").over(ordered), F.lit(0))
+    staged = placed.withColumns(
+        {"_deep": fall, "_reach": F.greatest("_best", incoming + F.col("_leading"))}
     )
-    open_end = grouped.withColumn("_open", F.sum("trailing").over(in_group))
-    incoming = F.coalesce(
-        F.lag("_open").over(Window.partitionBy(*run).orderBy("_bucket")), F.lit(0)
+    return staged.groupBy(*run).agg(
+        F.max("_deep").alias("max_drawdown"),
+        F.max("_reach").alias("longest_losing_streak"),
+        *extra,
     )
-    joined = open_end.withColumn("_reach", F.greatest("best", incoming + F.col("leading")))
-    return joined.groupBy(*run).agg(F.max("_reach").alias("longest_losing_streak"))

@@ -143,7 +143,7 @@ def _capped_kelly(schema: pa.Schema, run: Sequence[str]):
                     key, bankroll = name, row["initial_bankroll"]
                 row["bankroll_before"] = bankroll
                 stake = min(bankroll * row["kelly"], row["max_stake"])
-                row["stake"] = stake
+                row["capped_stake"] = stake
                 if row["unit_return"] is not None:
                     bankroll += stake * row["unit_return"]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -151,6 +151,39 @@ def _capped_kelly(schema: pa.Schema, run: Sequence[str]):
     return process
 
 
+def _with_results(df: DataFrame) -> DataFrame:
+    """Decision, outcome and return per staked unit of each opportunity."""
+    decided = settlement.with_outcome(decide(df)).withColumn(
+        "outcome", F.when(F.col("decision") == "alert", F.col("outcome"))
+    )
+    price = F.col("odds").cast("double")
+    return decided.withColumn(
+        "unit_return",
+        F.when(F.col("outcome") == "win", price - 1.0)
+        .when(F.col("outcome") == "loss", F.lit(-1.0))
+        .when(F.col("outcome") == "return", F.lit(0.0)),
+    )
+
+
+def _finish(df: DataFrame) -> DataFrame:
+    gain = F.col("stake") * F.col("unit_return")
+    return df.withColumns(
+        {
+            "bet_multiplier": F.when(
+                F.col("decision") == "alert",
+                F.when(F.col("stake_mode") == "fixed", F.lit(1.0))
+                .when(
+                    F.col("stake_mode") == "observed_ml",
+                    odds_fn.observed_multiplier(F.col("value_ratio")),
+                )
+                .otherwise(F.col("stake") / F.col("base_stake")),
+            ),
+            "profit": gain,
+            "payout": F.col("stake") + gain,
+        }
+    ).drop("kelly", "unit_stake", "unit_return")
+
+
 def simulate(
     df: DataFrame, *, run: Sequence[str] = RUN, bucket_seconds: int = prefix.BUCKET_SECONDS
 ) -> DataFrame:
@@ -159,123 +192,113 @@ def simulate(
     Bets are ordered by (decision_at, event_id); a result moves the bankroll at
     once, even when a later decision precedes the end of that event. Adds
     stake, bet_multiplier, outcome, payout, profit and bankroll_before.
+
+    Unit stakes add up and uncapped Kelly multiplies, so both are running sums.
+    Capped Kelly is neither; such rows need :func:`simulate_capped` and fail
+    here. The input is read twice, once for the bucket totals.
     """
-    decided = decide(df).withColumn(
-        "outcome",
-        F.when(
-            F.col("decision") == "alert",
-            settlement.market_outcome(
-                F.col("selection"), F.col("market"), F.col("line"), F.col("score1"), F.col("score2")
-            ),
-        ),
-    )
-    price = F.col("odds").cast("double")
-    decided = decided.withColumn(
-        "unit_return",
-        F.when(F.col("outcome") == "win", price - 1.0)
-        .when(F.col("outcome") == "loss", F.lit(-1.0))
-        .when(F.col("outcome") == "return", F.lit(0.0)),
-    )
-    skipped = decided.where(F.col("decision") == "skip").withColumns(
-        {"bankroll_before": F.lit(None).cast("double"), "stake": F.lit(None).cast("double")}
-    )
-    alerts = decided.where(F.col("decision") == "alert")
-    gain = F.coalesce(F.col("unit_return"), F.lit(0.0))
     capped = F.col("kelly").isNotNull() & F.col("max_stake").isNotNull()
-
-    free = prefix.running_sums(
-        alerts.where(~capped),
+    refuse = F.raise_error(F.lit("capped Kelly needs simulate_capped")).cast("string")
+    staged = _with_results(df)
+    staged = staged.withColumn("decision", F.when(capped, refuse).otherwise(F.col("decision")))
+    alert = F.col("decision") == "alert"
+    gain = F.when(alert, F.coalesce(F.col("unit_return"), F.lit(0.0))).otherwise(0.0)
+    grows = F.col("kelly").isNotNull()
+    walked = prefix.running_sums(
+        staged,
         run=run, order=ORDER, at="decision_at", bucket_seconds=bucket_seconds,
         values={
             "_won": F.coalesce(F.col("unit_stake"), F.lit(0.0)) * gain,
-            "_grown": F.when(F.col("kelly").isNotNull(), F.log(1.0 + F.col("kelly") * gain)).otherwise(0.0),
+            "_grown": F.when(grows, F.log(1.0 + F.col("kelly") * gain)).otherwise(0.0),
         },
     )
-    free = free.withColumn(
-        "bankroll_before",
-        F.when(F.col("kelly").isNotNull(), F.col("initial_bankroll") * F.exp("_grown")).otherwise(
-            F.col("initial_bankroll") + F.col("_won")
-        ),
-    ).drop("_won", "_grown")
-    free = free.withColumn(
-        "stake", F.coalesce(F.col("unit_stake"), F.col("bankroll_before") * F.col("kelly"))
+    bankroll = F.when(grows, F.col("initial_bankroll") * F.exp("_grown")).otherwise(
+        F.col("initial_bankroll") + F.col("_won")
     )
-
-    path = [*run, *ORDER, "initial_bankroll", "kelly", "max_stake", "unit_return"]
-    chain = alerts.where(capped).select(
-        *run, *ORDER, *[F.col(name).cast("double").alias(name) for name in path[len(run) + len(ORDER):]]
+    stake = F.coalesce(F.col("unit_stake"), F.col("bankroll_before") * F.col("kelly"))
+    sized = walked.withColumn("bankroll_before", F.when(alert, bankroll)).withColumn(
+        "stake", F.when(alert, stake)
     )
-    shape = chain.withColumns(
-        {"bankroll_before": F.lit(0.0), "stake": F.lit(0.0)}
+    return _finish(sized.drop("_won", "_grown"))
+
+
+def simulate_capped(df: DataFrame, *, run: Sequence[str] = RUN) -> DataFrame:
+    """:func:`simulate` for Kelly runs with a stake limit.
+
+    Only placed bets walk the sequential path, with the few columns it needs.
+    """
+    staged = _with_results(df)
+    keys = [*run, "_at", *ORDER[1:]]
+    numbers = ["initial_bankroll", "kelly", "max_stake", "unit_return"]
+    timed = staged.withColumn("_at", F.unix_micros("decision_at"))
+    chain = timed.where(F.col("decision") == "alert").select(
+        *keys, *[F.col(name).cast("double").alias(name) for name in numbers]
     )
+    shape = chain.withColumns({"bankroll_before": F.lit(0.0), "capped_stake": F.lit(0.0)}).schema
     walked = (
         chain.repartition(*run)
-        .sortWithinPartitions(*run, *ORDER)
-        .mapInArrow(_capped_kelly(to_arrow_schema(shape.schema), run), shape.schema)
-        .select(*run, *ORDER, "bankroll_before", "stake")
+        .sortWithinPartitions(*keys)
+        .mapInArrow(_capped_kelly(to_arrow_schema(shape), run), shape)
+        .select(*keys, "bankroll_before", "capped_stake")
     )
-    limited = alerts.where(capped).join(walked, [*run, *ORDER])
-    columns = skipped.columns
-    everything = skipped.unionByName(free.select(*columns)).unionByName(limited.select(*columns))
-    settled = F.col("stake") * F.col("unit_return")
-    return everything.withColumns(
-        {
-            "bet_multiplier": F.when(
-                F.col("decision") == "alert",
-                F.when(F.col("stake_mode") == "fixed", F.lit(1.0))
-                .when(F.col("stake_mode") == "observed_ml", odds_fn.observed_multiplier(F.col("value_ratio")))
-                .otherwise(F.col("stake") / F.col("base_stake")),
-            ),
-            "profit": settled,
-            "payout": F.col("stake") + settled,
-        }
-    ).drop("kelly", "unit_stake", "unit_return")
+    joined = timed.join(walked, keys, "left").withColumnRenamed("capped_stake", "stake")
+    return _finish(joined.drop("_at"))
 
 
 def run_metrics(
     decisions: DataFrame, *, run: Sequence[str] = RUN, bucket_seconds: int = prefix.BUCKET_SECONDS
 ) -> DataFrame:
-    """Counts, profit, drawdown, streak and binary scores of each run."""
-    bets = decisions.where(F.col("decision") == "alert")
-    settled = bets.where(F.col("outcome").isNotNull())
+    """Counts, profit, drawdown, streak and binary scores of each run.
+
+    One shuffle by (run, time bucket); everything else merges bucket rows.
+    """
+    alert = F.col("decision") == "alert"
+    done = alert & F.col("outcome").isNotNull()
     p = F.col("probability")
-    decisive = F.col("outcome").isin("win", "loss")
-    hit = F.when(F.col("outcome") == "win", 1.0).otherwise(0.0)
+    won, lost = done & (F.col("outcome") == "win"), done & (F.col("outcome") == "loss")
+    hit = F.when(won, 1.0).otherwise(0.0)
     low, high = F.lit(1e-15), F.lit(1 - 1e-15)
     loss = -(
         hit * F.log(F.least(high, F.greatest(low, p)))
         + (1.0 - hit) * F.log(F.least(high, F.greatest(low, 1.0 - p)))
     )
-    alert = F.col("decision") == "alert"
-    done = alert & F.col("outcome").isNotNull()
-    totals = decisions.groupBy(*run).agg(
-        F.count("*").alias("predictions"),
-        F.count_if(alert).alias("bets"),
-        F.count_if(alert & (F.col("outcome") == "win")).alias("wins"),
-        F.count_if(alert & (F.col("outcome") == "loss")).alias("losses"),
-        F.count_if(alert & (F.col("outcome") == "return")).alias("returns"),
-        F.count_if(alert & F.col("outcome").isNull()).alias("unsettled"),
-        F.coalesce(F.sum(F.when(done, F.col("stake"))), F.lit(0.0)).alias("total_stake"),
-        F.coalesce(F.sum(F.when(done, F.col("profit"))), F.lit(0.0)).alias("profit"),
-        F.coalesce(F.avg(F.when(alert, F.col("odds").cast("double"))), F.lit(0.0)).alias("average_odds"),
-        F.avg(F.when(done & decisive, F.pow(p - hit, F.lit(2.0)))).alias("brier_score"),
-        F.avg(F.when(done & decisive, loss)).alias("log_loss"),
+
+    def total(condition: Column, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
+
+    parts = {
+        "predictions": F.count("*"),
+        "bets": F.count_if(alert),
+        "wins": F.count_if(won),
+        "losses": F.count_if(lost),
+        "returns": F.count_if(done & (F.col("outcome") == "return")),
+        "unsettled": F.count_if(alert & F.col("outcome").isNull()),
+        "total_stake": total(done, F.col("stake")),
+        "profit": total(done, F.col("profit")),
+        "odds_sum": total(alert, F.col("odds").cast("double")),
+        "brier_sum": total(won | lost, F.pow(p - hit, F.lit(2.0))),
+        "loss_sum": total(won | lost, loss),
+    }
+    summary = prefix.path_summary(
+        decisions, run=run, order=ORDER, at="decision_at", bucket_seconds=bucket_seconds,
+        profit=F.when(done, F.col("profit")).otherwise(0.0), won=won, lost=lost,
+        extra=[value.alias(name) for name, value in parts.items()],
+    )
+    merged = prefix.merge_paths(
+        summary, run=run, extra=[F.sum(name).alias(name) for name in parts]
     )
-    options = {"run": run, "order": ORDER, "at": "decision_at", "bucket_seconds": bucket_seconds}
-    falls = prefix.drawdown(settled, **options)
-    streaks = prefix.losing_streak(settled, **options)
-    joined = totals.join(falls, list(run), "left").join(streaks, list(run), "left")
     decided = F.col("wins") + F.col("losses")
     roi = F.when(F.col("total_stake") > 0, 100.0 * F.col("profit") / F.col("total_stake")).otherwise(0.0)
-    return joined.withColumns(
+    return merged.withColumns(
         {
+            "average_odds": F.when(F.col("bets") > 0, F.col("odds_sum") / F.col("bets")).otherwise(0.0),
+            "brier_score": F.when(decided > 0, F.col("brier_sum") / decided),
+            "log_loss": F.when(decided > 0, F.col("loss_sum") / decided),
             "hit_rate_percent": F.when(decided > 0, 100.0 * F.col("wins") / decided).otherwise(0.0),
             "roi_percent": roi,
             "yield_percent": roi,
-            "max_drawdown": F.coalesce("max_drawdown", F.lit(0.0)),
-            "longest_losing_streak": F.coalesce("longest_losing_streak", F.lit(0)),
         }
-    )
+    ).drop("odds_sum", "brier_sum", "loss_sum")
 
 
 def market_results(bets: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def drawdown_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("capped_kelly_path")
 def capped_kelly_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequential bankroll with a stake cap; checked against a fold in the tests."""
-    run = simulate.simulate(strategy_bets(spark, sf_dir, CAPPED)).where("decision = 'alert'")
+    run = simulate.simulate_capped(strategy_bets(spark, sf_dir, CAPPED)).where("decision = 'alert'")
     return rounded(run.select("odds_snapshot_id", "outcome", "bankroll_before", "stake", "profit"))
 
 

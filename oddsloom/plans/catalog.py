@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from oddsloom.plans import betting, corridor, form, pricing, probability  # noqa: F401
+from oddsloom.plans import betting, corridor, form, linkage, pricing, probability  # noqa: F401
 from oddsloom.plans.registry import ORACLES, QUERIES  # noqa: F401
