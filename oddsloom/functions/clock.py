@@ -16,7 +16,9 @@ def from_epoch_seconds(seconds: Column) -> Column:
 def from_iso_with_offset(text: Column) -> Column:
     """ISO text; null unless it carries a UTC offset."""
     clean = F.trim(text)
-    return F.when(clean.rlike(_OFFSET) & clean.rlike(r"^\d{4}-\d{2}-\d{2}"), clean.try_cast("timestamp"))
+    spelled = F.regexp_replace(clean, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    shaped = clean.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}") & clean.rlike(_OFFSET)
+    return F.when(shaped, spelled.try_cast("timestamp"))
 
 
 def from_local(text: Column, zone: str) -> Column:
