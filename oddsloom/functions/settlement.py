@@ -6,6 +6,8 @@ bad contract never fails the batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ OVER_KINDS = ("TB", "ТБ")
 RESULT_NOTATION = {"P1": "P1", "П1": "P1", "P2": "P2", "П2": "P2", "X": "X", "Х": "X"}
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once.
+
+    Rules that mention a parsed text a dozen times would otherwise repeat its
+    parsing in the plan, and a filter on their result repeats it again.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compact(selection: Column) -> Column:
     """Upper-cased text without blanks, the form all notations are compared in."""
     return F.replace(F.upper(F.trim(selection)), F.lit(" "), F.lit(""))
@@ -36,22 +47,29 @@ def canonical_selection(selection: Column, market: Column, line: Column) -> Colu
     Totals accept over/under or the older text with an embedded line, which
     must then agree with the line column.
     """
+    number = line.cast("decimal(10,3)")
+
+    def total(text: Column) -> Column:
+        kind = _group(text, TOTAL_PATTERN, 1)
+        embedded = _decimal(_group(text, TOTAL_PATTERN, 2))
+        agrees = number.isNull() | (embedded == number)
+        read = F.when(kind.isin(*OVER_KINDS), "over").when(kind.isNotNull(), "under")
+        return F.when(text.isin("OVER", "UNDER"), F.lower(text)).when(agrees, read)
+
+    def result(text: Column) -> Column:
+        chain = None
+        for notation, canonical in RESULT_NOTATION.items():
+            test = text == notation
+            chain = F.when(test, canonical) if chain is None else chain.when(test, canonical)
+        return chain
+
     code = F.lower(F.trim(market))
     text = compact(selection)
-    kind = _group(text, TOTAL_PATTERN, 1)
-    embedded = _decimal(_group(text, TOTAL_PATTERN, 2))
-    number = line.cast("decimal(10,3)")
-    agrees = number.isNull() | (embedded == number)
-    total = (
-        F.when(text.isin("OVER", "UNDER"), F.lower(text))
-        .when(kind.isNotNull() & agrees & kind.isin(*OVER_KINDS), "over")
-        .when(kind.isNotNull() & agrees, "under")
+    return (
+        F.when(code == "total", _bind(text, total))
+        .when(code == "1x2", _bind(text, result))
+        .otherwise(F.trim(selection))
     )
-    result = None
-    for notation, canonical in RESULT_NOTATION.items():
-        test = text == notation
-        result = F.when(test, canonical) if result is None else result.when(test, canonical)
-    return F.when(code == "total", total).when(code == "1x2", result).otherwise(F.trim(selection))
 
 
 def _versus(left: Column, right: Column) -> Column:
@@ -74,51 +92,57 @@ def canonical_outcome(
 
     A draw loses both side bets. Handicaps settle on whole and half lines only.
     """
-    code = F.lower(F.trim(market))
-    chosen = F.lower(selection)
     number = line.cast("decimal(10,3)")
     s1, s2 = score1.cast("decimal(10,3)"), score2.cast("decimal(10,3)")
     goals = s1 + s2
-    total = F.when(chosen == "over", _versus(goals, number)).when(
-        chosen == "under", _versus(number, goals)
-    )
-    result = (
-        F.when(chosen == "p1", _won(s1 > s2))
-        .when(chosen == "p2", _won(s2 > s1))
-        .when(chosen == "x", _won(s1 == s2))
-    )
-    first = chosen.contains("f1") | chosen.startswith("1")
-    second = chosen.contains("f2") | chosen.startswith("2")
-    handicap = F.when(first, _versus(s1 + number, s2)).when(second, _versus(s2 + number, s1))
-    return F.when((score1 < 0) | (score2 < 0) | score1.isNull() | score2.isNull(), None).otherwise(
-        F.when((code == "total") & number.isNotNull(), total)
-        .when(code == "1x2", result)
-        .when((code == "handicap") & number.isNotNull() & _half_step(number), handicap)
-    )
+    code = F.lower(F.trim(market))
+
+    def rules(chosen: Column) -> Column:
+        total = F.when(chosen == "over", _versus(goals, number)).when(
+            chosen == "under", _versus(number, goals)
+        )
+        result = (
+            F.when(chosen == "p1", _won(s1 > s2))
+            .when(chosen == "p2", _won(s2 > s1))
+            .when(chosen == "x", _won(s1 == s2))
+        )
+        first = chosen.contains("f1") | chosen.startswith("1")
+        second = chosen.contains("f2") | chosen.startswith("2")
+        handicap = F.when(first, _versus(s1 + number, s2)).when(second, _versus(s2 + number, s1))
+        return (
+            F.when((code == "total") & number.isNotNull(), total)
+            .when(code == "1x2", result)
+            .when((code == "handicap") & number.isNotNull() & _half_step(number), handicap)
+        )
+
+    return F.when((score1 >= 0) & (score2 >= 0), _bind(F.lower(selection), rules))
 
 
 def notation_outcome(selection: Column, score1: Column, score2: Column) -> Column:
     """Outcome of a contract given by its text alone, double chance included."""
-    text = compact(selection)
     s1, s2 = score1.cast("decimal(10,3)"), score2.cast("decimal(10,3)")
-    side = _group(text, HANDICAP_PATTERN, 1)
-    spread = _decimal(_group(text, HANDICAP_PATTERN, 2))
-    kind = _group(text, TOTAL_PATTERN, 1)
-    number = _decimal(_group(text, TOTAL_PATTERN, 2))
-    handicap = F.when(side == "1", _versus(s1 + spread, s2)).otherwise(_versus(s2 + spread, s1))
-    total = F.when(kind.isin(*OVER_KINDS), _versus(s1 + s2, number)).otherwise(
-        _versus(number, s1 + s2)
-    )
-    return F.when((score1 < 0) | (score2 < 0) | score1.isNull() | score2.isNull(), None).otherwise(
-        F.when(text.isin("P1", "П1"), _won(s1 > s2))
-        .when(text.isin("P2", "П2"), _won(s2 > s1))
-        .when(text.isin("X", "Х"), _won(s1 == s2))
-        .when(text.isin("1X", "1Х"), _won(s1 >= s2))
-        .when(text.isin("X2", "Х2"), _won(s2 >= s1))
-        .when(text == "12", _won(s1 != s2))
-        .when(side.isNotNull() & _half_step(spread), handicap)
-        .when(kind.isNotNull(), total)
-    )
+
+    def rules(text: Column) -> Column:
+        side = _group(text, HANDICAP_PATTERN, 1)
+        spread = _decimal(_group(text, HANDICAP_PATTERN, 2))
+        kind = _group(text, TOTAL_PATTERN, 1)
+        number = _decimal(_group(text, TOTAL_PATTERN, 2))
+        handicap = F.when(side == "1", _versus(s1 + spread, s2)).otherwise(_versus(s2 + spread, s1))
+        total = F.when(kind.isin(*OVER_KINDS), _versus(s1 + s2, number)).otherwise(
+            _versus(number, s1 + s2)
+        )
+        return (
+            F.when(text.isin("P1", "П1"), _won(s1 > s2))
+            .when(text.isin("P2", "П2"), _won(s2 > s1))
+            .when(text.isin("X", "Х"), _won(s1 == s2))
+            .when(text.isin("1X", "1Х"), _won(s1 >= s2))
+            .when(text.isin("X2", "Х2"), _won(s2 >= s1))
+            .when(text == "12", _won(s1 != s2))
+            .when(side.isNotNull() & _half_step(spread), handicap)
+            .when(kind.isNotNull(), total)
+        )
+
+    return F.when((score1 >= 0) & (score2 >= 0), _bind(compact(selection), rules))
 
 
 def settlement_problem(

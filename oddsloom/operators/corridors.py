@@ -180,34 +180,38 @@ def lookup(
     group: Sequence[str] = GROUP,
     family: str = "family",
     width: str = "0.25",
-    min_samples: int = 20,
+    min_samples: int | str = 20,
 ) -> DataFrame:
     """Bucket that applies to each probe, the family's own before the global one.
 
+    ``min_samples`` is a number or the probe column that holds it.
+
     The range test becomes an equality: the probe computes its bucket number.
     Each probe asks for two keys at most, so nothing is compared twice. When
     both sides carry clocks (``cutoff_at``, ``as_of``) later buckets are hidden.
     Probes without a bucket keep null corridor columns.
     """
-    if min_samples <= 0:
+    if isinstance(min_samples, int) and min_samples <= 0:
         raise ValueError("min_samples must be positive")
+    least = F.lit(min_samples) if isinstance(min_samples, int) else F.col(min_samples)
     wanted = F.array(
         F.struct(F.lit("tournament_family").alias("scope_type"), F.coalesce(F.col(family), F.lit("")).alias("scope_value")),
         F.struct(F.lit("global").alias("scope_type"), F.lit("").alias("scope_value")),
     )
     asked = probes.where(F.col("odds") > 1).select(
         probe_id, *group, *(["cutoff_at"] if "cutoff_at" in probes.columns else []),
-        odds_fn.bucket_index(F.col("odds"), width).alias("bucket"), F.explode(wanted).alias("w"),
+        odds_fn.bucket_index(F.col("odds"), width).alias("bucket"), least.alias("_least"),
+        F.explode(wanted).alias("w"),
     ).select("*", "w.scope_type", "w.scope_value").drop("w")
-    usable = corridors.where(F.col("sample_size") >= min_samples)
+    usable = corridors
     if "is_active" in corridors.columns:
         usable = usable.where("is_active")
     keys = [*group, "bucket", "scope_type", "scope_value"]
-    condition = None
+    condition = usable["sample_size"] >= asked["_least"]
     for name in keys:
         nullable = name == "line"
         test = asked[name].eqNullSafe(usable[name]) if nullable else asked[name] == usable[name]
-        condition = test if condition is None else condition & test
+        condition = condition & test
     if "cutoff_at" in probes.columns and "as_of" in corridors.columns:
         condition = condition & (usable["as_of"] <= asked["cutoff_at"])
     found = [name for name in usable.columns if name not in (*group, "bucket")]

@@ -1,4 +1,14 @@
 """Importing this module registers every query."""
 
-from oddsloom.plans import betting, corridor, form, ingest, linkage, pricing, probability  # noqa: F401
+from oddsloom.plans import (
+    audit,
+    betting,
+    corridor,
+    form,
+    ingest,
+    linkage,
+    pricing,
+    probability,
+    signals,
+)  # noqa: F401
 from oddsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

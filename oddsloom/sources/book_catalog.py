@@ -123,13 +123,16 @@ def _targets(tree: Column) -> Column:
         name = node["name"]
         return F.struct(
             node["id"].alias("id"), name.alias("name"),
-            F.when(root.isin(*SPORTS), root).alias("sport"), game(name).alias("game"),
+            root.alias("sport"), game(name).alias("game"),
             match_format(name).alias("format"), source_family(name).alias("family"),
             country(name).alias("country"),
         )
 
-    found = F.transform(F.filter(tree, wanted), shaped)
-    return F.filter(found, lambda t: t["sport"].isNotNull() & t["family"].isNotNull())
+    return F.transform(F.filter(tree, wanted), shaped)
+
+
+def _usable(targets: Column) -> Column:
+    return F.filter(targets, lambda t: t["sport"].isin(*SPORTS) & t["family"].isNotNull())
 
 
 def _invalid_core(event: Column) -> Column:
@@ -145,11 +148,14 @@ def parse(payloads: DataFrame) -> dict[str, DataFrame]:
     read = payloads.select(
         "payload_id", "received_at", F.from_json("body", schemas.BOOK_CATALOG).alias("j")
     )
+    # No filter on the parsed column: it would be pushed below the projection
+    # and parse every payload again. Null arrays simply explode to nothing.
     broken = F.col("j.sports").isNull() | F.col("j.events").isNull()
-    good = read.where(~broken).select(
+    good = read.select(
         "payload_id", "received_at", _targets(F.col("j.sports")).alias("targets"),
         F.col("j.events").alias("all_events"), F.col("j.customFactors").alias("groups"),
     )
+    good = good.withColumn("targets", _usable(F.col("targets")))
     ids = F.transform("targets", lambda t: t["id"])
     roots = F.filter(
         "all_events", lambda e: (e["level"] == 1) & F.array_contains(ids, e["sportId"])
