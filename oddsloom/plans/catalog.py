@@ -6,9 +6,11 @@ from oddsloom.plans import (
     corridor,
     form,
     ingest,
+    learned,
     linkage,
     pricing,
     probability,
     signals,
+    streams,
 )  # noqa: F401
 from oddsloom.plans.registry import ORACLES, QUERIES  # noqa: F401

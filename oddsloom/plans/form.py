@@ -122,14 +122,14 @@ def with_teams(df: DataFrame) -> DataFrame:
     """Teams for the team scopes: missing on some rows, shared by the players."""
     return df.withColumns(
         {
-            "team1": F.when(F.col("event_id") % 7 != 0, (F.col("score1") % 2).cast("string")),
-            "team2": F.when(F.col("event_id") % 5 != 0, (F.col("score2") % 2).cast("string")),
+            "team1": F.when(F.col("event_id") % 7 != 0, ((F.col("player1") + F.col("event_id")) % 2).cast("string")),
+            "team2": F.when(F.col("event_id") % 5 != 0, ((F.col("player2") + F.col("event_id")) % 2).cast("string")),
         }
     )
 
 
-_TEAMS = """m AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CAST(score1 % 2 AS VARCHAR) END AS team1,
-  CASE WHEN event_id % 5 <> 0 THEN CAST(score2 % 2 AS VARCHAR) END AS team2 FROM matches)"""
+_TEAMS = """m AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CAST((player1 + event_id) % 2 AS VARCHAR) END AS team1,
+  CASE WHEN event_id % 5 <> 0 THEN CAST((player2 + event_id) % 2 AS VARCHAR) END AS team2 FROM matches)"""
 
 
 @query("asof_team_form", f"""{bindings.with_views('matches')}, {_TEAMS},
