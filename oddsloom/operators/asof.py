@@ -258,7 +258,11 @@ def _chunked(rows: DataFrame, chunk_rows: int, bucket_seconds: int, keep: int) -
         F.lit(0).alias("gf"), F.lit(0).alias("ga"), F.lit(-1).alias("tag"),
         F.floor(F.col("chunk") / CHUNKS_PER_SPAN).cast("int").alias("span"),
     )
-    before_span = _carry_newest(spans, ["seg"], "span", keep).withColumn("chunk", F.lit(-1))
+    # A span or chunk may hold targets only; its placeholder row makes it a step.
+    span_row = step_row.withColumn("chunk", F.lit(-1)).distinct()
+    before_span = _carry_newest(
+        spans.unionByName(span_row), ["seg"], "span", keep
+    ).withColumn("chunk", F.lit(-1))
     inside = tops.unionByName(before_span).unionByName(step_row)
     carried = (
         _carry_newest(inside, ["seg", "span"], "chunk", keep)

@@ -13,9 +13,19 @@ from pyspark.sql import functions as F
 from oddsloom.session import use_utc
 
 
+SPREAD = ("events", "lineitem", "orders", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A benchmark table with naive timestamps read as UTC instants."""
+    """A benchmark table with naive timestamps read as UTC instants.
+
+    A table stored in fewer files than there are cores is spread over the cores
+    first; tables of many files are read as they lie, without a shuffle.
+    """
     df = use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and name in SPREAD:
+        df = df.repartition(cores)
     casts = {
         field.name: F.col(field.name).cast("timestamp")
         for field in df.schema
