@@ -88,23 +88,22 @@ def merge_observations(
     Rows of matches that are no longer matched stay, marked inactive.
     """
     keys = list(OBSERVATION_KEY)
-    wide = F.struct(*[name for name in fresh.columns if name not in keys])
-    new = fresh.select(*keys, wide.alias("new"), F.lit(True).alias("_fresh"))
-    old_fields = [name for name in current.columns if name not in keys]
-    old = current.select(*keys, F.struct(*old_fields).alias("old"))
-    condition = None
-    for name in keys:
-        test = new[name].eqNullSafe(old[name])
-        condition = test if condition is None else condition & test
-    merged = new.join(old, condition, "full_outer").select(
-        *[F.coalesce(new[name], old[name]).alias(name) for name in keys], "new", "old"
+    values = [name for name in fresh.columns if name not in keys]
+    kept = [name for name in current.columns if name not in keys]
+    none_old = F.lit(None).cast(current.select(F.struct(*kept).alias("s")).schema["s"].dataType)
+    none_new = F.lit(None).cast(fresh.select(F.struct(*values).alias("s")).schema["s"].dataType)
+    # Grouping treats null lines as equal, which a join on the key would not.
+    both = fresh.select(*keys, F.struct(*values).alias("new"), none_old.alias("old")).unionByName(
+        current.select(*keys, none_new.alias("new"), F.struct(*kept).alias("old"))
+    )
+    merged = both.groupBy(*keys).agg(
+        F.first("new", ignorenulls=True).alias("new"), F.first("old", ignorenulls=True).alias("old")
     )
     alive = matched_ids.select("match_id").distinct().withColumn("_alive", F.lit(True))
     joined = merged.join(alive, "match_id", "left")
     active = F.col("new").isNotNull() | (
         F.coalesce("old.is_active", F.lit(False)) & F.col("_alive").isNotNull()
     )
-    values = [name for name in fresh.columns if name not in keys]
     return joined.select(
         *keys,
         *[F.coalesce(f"new.{name}", f"old.{name}").alias(name) for name in values],
@@ -207,17 +206,17 @@ def lookup(
     if "is_active" in corridors.columns:
         usable = usable.where("is_active")
     keys = [*group, "bucket", "scope_type", "scope_value"]
-    condition = usable["sample_size"] >= asked["_least"]
-    for name in keys:
-        nullable = name == "line"
-        test = asked[name].eqNullSafe(usable[name]) if nullable else asked[name] == usable[name]
-        condition = condition & test
-    if "cutoff_at" in probes.columns and "as_of" in corridors.columns:
-        condition = condition & (usable["as_of"] <= asked["cutoff_at"])
     found = [name for name in usable.columns if name not in (*group, "bucket")]
-    hits = asked.join(usable, condition).select(
-        asked[probe_id], F.struct(*[usable[name] for name in found]).alias("c")
+    offered = usable.select(
+        *[F.col(name).alias(f"_k_{name}") for name in keys], F.struct(*found).alias("c")
     )
+    condition = F.col("c.sample_size") >= F.col("_least")
+    for name in keys:
+        left, right = F.col(name), F.col(f"_k_{name}")
+        condition = condition & (left.eqNullSafe(right) if name == "line" else left == right)
+    if "cutoff_at" in probes.columns and "as_of" in corridors.columns:
+        condition = condition & (F.col("c.as_of") <= F.col("cutoff_at"))
+    hits = asked.join(offered, condition).select(probe_id, "c")
     rank = F.struct(
         (F.col("c.scope_type") == "tournament_family").cast("int"), F.col("c.sample_size")
     )

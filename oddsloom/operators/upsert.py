@@ -37,8 +37,8 @@ def append_new(current: DataFrame | None, new: DataFrame, *, keys: Sequence[str]
     """Rows of ``new`` whose key is not stored yet."""
     if current is None:
         return new
-    condition = None
+    stored = current.select(*[F.col(name).alias(f"_k_{name}") for name in keys])
+    condition = F.lit(True)
     for name in keys:
-        test = new[name].eqNullSafe(current[name])
-        condition = test if condition is None else condition & test
-    return new.join(current, condition, "left_anti")
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
+    return new.join(stored, condition, "left_anti")
