@@ -31,6 +31,7 @@ SCOPES = PLAYER_SCOPES + PAIR_SCOPES
 SESSION_GAP_SECONDS = 45 * 60
 CHUNK_ROWS = 50_000
 BUCKET_SECONDS = 600
+SLOT_SECONDS = 3 * 3600
 CHUNKS_PER_SPAN = 500
 _NEVER = 2**62
 _SCOPE_COLUMN = {
@@ -406,17 +407,169 @@ def last_n_form(
     )
 
 
+def _slot_state(gap_us: int):
+    """Open island, streak and latest availability before each slot of a segment.
+
+    One row per slot comes in, so a segment brings as many rows as its time
+    span has slots.
+    """
+
+    def scan(frame):
+        import pandas as pd
+
+        out = []
+        last, ready, island, run = None, 0, (0, 0, 0, 0), (0, 0)
+        for row in frame.sort_values("slot").itertuples(index=False):
+            if last is not None:
+                out.append((row.seg, row.slot, last, ready, *island, *run))
+            if pd.isna(row.first_us):
+                continue
+            joined = last is not None and row.first_us - last <= gap_us and not row.broken
+            added = (row.w, row.d, row.l, row.f)
+            island = tuple(int(a + b) for a, b in zip(island, added)) if joined else tuple(map(int, added))
+            same = row.uniform and row.outcome == run[0]
+            run = (int(row.outcome), int(row.run + (run[1] if same else 0)))
+            last, ready = int(row.last_us), max(ready, int(row.ready_us))
+        return pd.DataFrame(out, columns=_STATE_COLUMNS)
+
+    return scan
+
+
+_STATE = (
+    "seg string, slot long, last_us long, known_us long, w long, d long, l long, f long, "
+    "outcome int, run long"
+)
+_STATE_COLUMNS = [part.strip().split(" ")[0] for part in _STATE.split(",")]
+
+
+def _slot_rows(past: DataFrame, slots: DataFrame, gap_us: int) -> DataFrame:
+    """Per (seg, slot): its ends, trailing island sums and trailing streak."""
+    order = Window.partitionBy("seg", "slot").orderBy("at_us", "event_id")
+    newest = Window.partitionBy("seg", "slot").orderBy(F.desc("at_us"), F.desc("event_id"))
+    sign = F.signum(F.col("gf") - F.col("ga")).cast("int")
+    marked = past.withColumns(
+        {
+            "outcome": F.when(sign > 0, 1).when(sign == 0, 2).otherwise(3),
+            "gap": F.lead("at_us").over(order) - F.col("at_us") > gap_us,
+        }
+    )
+    up_to = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumns(
+        {
+            "breaks": F.count_if(F.coalesce("gap", F.lit(False))).over(up_to),
+            "newest": F.first("outcome").over(up_to),
+        }
+    )
+    marked = marked.withColumn("others", F.count_if(F.col("outcome") != F.col("newest")).over(up_to))
+    open_island, open_run = F.col("breaks") == 0, F.col("others") == 0
+    rows = marked.groupBy("seg", "slot").agg(
+        F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.max("ready_us").alias("ready_us"),
+        (F.max("breaks") > 0).alias("broken"),
+        *[F.count_if(open_island & (F.col("outcome") == number)).alias(name) for number, name in ((1, "w"), (2, "d"), (3, "l"))],
+        F.sum(F.when(open_island, F.col("gf")).otherwise(0)).alias("f"),
+        F.max("newest").alias("outcome"), F.count_if(open_run).alias("run"),
+        (F.max("others") == 0).alias("uniform"),
+    )
+    return slots.join(rows, ["seg", "slot"], "left")
+
+
+def _slotted(rows: DataFrame, chunk_rows: int, slot_us: int, gap_us: int) -> DataFrame:
+    """Cut large segments by start time, in whole slots.
+
+    A chunk gets a copy of the slot before it and, from the slots before that,
+    the open island and streak. That is exact for targets that see every older
+    row, as they do when results are known within a slot. The others (a result
+    that came later, or the target's own match further back) are answered from
+    the uncut segment, which is only built for segments that have such targets.
+    """
+    slotted = rows.withColumn("slot", F.floor(F.col("at_us") / F.lit(slot_us)).cast("long"))
+    counts = slotted.groupBy("seg", "slot").agg(F.count("*").alias("n"))
+    hot = counts.groupBy("seg").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).select("seg")
+    so_far = Window.partitionBy("seg").orderBy("slot").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    plan = (
+        counts.join(hot, "seg", "left_semi")
+        .withColumn("before", F.sum("n").over(so_far) - F.col("n"))
+        .select("seg", "slot", (F.floor(F.col("before") / chunk_rows) + 1).cast("int").alias("chunk"))
+    )
+    # The first slot of a chunk decides what it copies and continues.
+    starts = plan.groupBy("seg", "chunk").agg(F.min("slot").alias("first_slot"))
+    placed = slotted.join(plan, ["seg", "slot"], "left")
+    cold = placed.where(F.col("chunk").isNull()).withColumn("chunk", F.lit(0))
+    dense = placed.where(F.col("chunk").isNotNull())
+    past = dense.where(F.col("kind") == kernel.HISTORY)
+    copies = past.drop("chunk").join(
+        starts.select("seg", "chunk", (F.col("first_slot") - 1).alias("slot")), ["seg", "slot"]
+    )
+    # State before the copied slot: needed at first_slot - 1.
+    wanted = starts.select("seg", (F.col("first_slot") - 1).alias("slot"))
+    slots = plan.select("seg", "slot").unionByName(wanted).distinct()
+    states = _slot_rows(past, slots, gap_us).groupBy("seg").applyInPandas(_slot_state(gap_us), _STATE)
+    carried = starts.withColumn("slot", F.col("first_slot") - 1).join(states, ["seg", "slot"])
+
+    def seed(tag: int, **values: Column) -> Column:
+        names = ("at_us", "ready_us", "event_id", "gf", "ga")
+        return F.struct(
+            *[values.get(name, F.lit(0)).cast("int" if name in ("gf", "ga") else "long").alias(name) for name in names],
+            F.lit(tag).alias("tag"),
+        )
+
+    seeds = carried.select(
+        "seg", "chunk",
+        F.explode(
+            F.array(
+                seed(0, at_us=F.col("last_us"), event_id=F.col("w"), gf=F.col("d"), ga=F.col("l"), ready_us=F.col("f")),
+                *[seed(number, event_id=F.when(F.col("outcome") == number, F.col("run")).otherwise(0)) for number in (1, 2, 3)],
+            )
+        ).alias("s"),
+    ).select("seg", F.lit(kernel.SEED).alias("kind"), "s.*", "chunk")
+
+    own = past.select("seg", "event_id", F.col("slot").alias("own_slot"))
+    looking = (
+        dense.where(F.col("kind") == kernel.TARGET)
+        .join(starts, ["seg", "chunk"])
+        .join(carried.select("seg", "chunk", "known_us"), ["seg", "chunk"], "left")
+        .join(own, ["seg", "event_id"], "left")
+    )
+    unseen = F.coalesce(F.col("known_us") >= F.col("at_us"), F.lit(False))
+    far = F.coalesce(F.col("own_slot") < F.col("first_slot") - 1, F.lit(False))
+    looking = looking.withColumn("late", unseen | far)
+    late = looking.where("late").withColumn("chunk", F.lit(0))
+    whole = past.join(late.select("seg").distinct(), "seg", "left_semi").withColumn("chunk", F.lit(0))
+    columns = [*rows.columns, "chunk"]
+    out = cold.select(*columns)
+    for part in (past, copies, seeds, looking.where(~F.col("late")), late, whole):
+        out = out.unionByName(part.select(*columns))
+    return out
+
+
 def session_form(
-    history: DataFrame, targets: DataFrame, *, session_gap_seconds: int = SESSION_GAP_SECONDS
+    history: DataFrame,
+    targets: DataFrame,
+    *,
+    session_gap_seconds: int = SESSION_GAP_SECONDS,
+    chunk_rows: int = CHUNK_ROWS,
+    slot_seconds: int = SLOT_SECONDS,
+    cut: bool | None = None,
 ) -> DataFrame:
     """Recency, open-session sums and streaks per (event, cutoff, side).
 
     The open session is the newest match and every older one reached without a
     gap between starts above ``session_gap_seconds``, however old the newest is.
+    Players above ``chunk_rows`` are cut by time as in :func:`last_n_form`.
     """
+    if slot_seconds < 3 * 3600:
+        raise ValueError("a slot must cover the longest recency count, three hours")
     rows = history_segments(history, ["global"]).unionByName(
         target_segments(targets.dropDuplicates(["event_id", "cutoff_at"]), ["global"])
-    ).withColumn("chunk", F.lit(0))
+    )
+    if cut is None:
+        cut = _heaviest(history, targets) > chunk_rows
+    if cut:
+        rows = _slotted(rows, chunk_rows, slot_seconds * 1_000_000, session_gap_seconds * 1_000_000)
+    else:
+        rows = rows.withColumn("chunk", F.lit(0))
     base = _sorted_groups(rows).mapInArrow(
         kernel.run_sessions(session_gap_seconds * 1_000_000, _SESSION_SCHEMA),
         _ddl(_SESSION_SCHEMA),

@@ -195,11 +195,13 @@ def session_of(rows, cutoff, gap=timedelta(minutes=45)):
     )
 
 
-@pytest.mark.parametrize("seed,late", [(6, None), (7, datetime(2026, 1, 1, 18))])
-def test_sessions_and_streaks(spark, seed, late):
+@pytest.mark.parametrize("seed,late,cut", [
+    (6, None, False), (7, datetime(2026, 1, 1, 18), False), (6, None, True), (7, datetime(2026, 1, 1, 18), True),
+])
+def test_sessions_and_streaks(spark, seed, late, cut):
     history, targets = world(seed, 350, players=3, late=late)
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
-    rows = asof.session_form(h, t).collect()
+    rows = asof.session_form(h, t, cut=cut, chunk_rows=20).collect()
     assert len(rows) == 2 * len({(x[0], x[1]) for x in targets})
     by_key = {(x[0], x[1]): x for x in targets}
     for r in rows:
@@ -213,6 +215,29 @@ def test_sessions_and_streaks(spark, seed, late):
         assert got == wanted
 
 
+def test_cut_sessions_of_prompt_results(spark):
+    """Long runs over many chunks, every result known within minutes."""
+    rng = random.Random(11)
+    start, at, history = datetime(2026, 1, 1), 0, []
+    for eid in range(500):
+        at += rng.choice([5, 10, 20, 44, 45, 46, 200]) if rng.random() < 0.3 else 12
+        mine, theirs = (3, 1) if eid % 97 else (0, 2)
+        history.append((eid, start + timedelta(minutes=at), start + timedelta(minutes=at + rng.randrange(4, 90)), "football",
+                        "a", None, None, "f", "A", rng.choice("BC"), None, None, mine, theirs))
+    targets = [(9000 + i, start + timedelta(minutes=rng.randrange(at + 400)), "football", "a", None, None, "f", "A", "B", None, None) for i in range(120)]
+    targets += [(h[0], h[1], "football", "a", None, None, "f", "A", "B", None, None) for h in history[::5]]
+    h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
+    by_key = {(x[0], x[1]): x for x in targets}
+    for r in asof.session_form(h, t, cut=True, chunk_rows=30).collect():
+        wanted = session_of(matches(history, by_key[r.event_id, r.cutoff_at], "global", r.side), r.cutoff_at)
+        got = (
+            r.matches_last_30m, r.matches_last_1h, r.matches_last_3h,
+            round(r.minutes_since_previous_game, 6), r.wins, r.draws, r.losses, r.goals,
+            r.consecutive_wins, r.consecutive_draws, r.consecutive_losses,
+        )
+        assert got == wanted
+
+
 def test_windows_must_be_positive(spark):
     history, targets = world(8, 10)
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
