@@ -109,3 +109,24 @@ def source_range(events: DataFrame, by: Sequence[str] = ("source",)) -> DataFram
         F.min("started_at").alias("first_start"), F.max("started_at").alias("last_start"),
         F.count("*").alias("events"),
     )
+
+
+def with_participants(
+    df: DataFrame, participants: DataFrame, *, event: str = "event_id", blank: Sequence[str] = ("P1", "P2")
+) -> DataFrame:
+    """Add both sides' names and teams to rows of events.
+
+    ``participants``: event id, side, raw_name and optionally raw_team_name.
+    Sides become columns once, so the report needs one left join, not two.
+    """
+    names = [name for name in ("raw_name", "raw_team_name") if name in participants.columns]
+    sides = participants.groupBy(event).agg(
+        *[
+            F.max(F.when(F.col("side") == side, F.col(name))).alias(f"{name}{side}")
+            for side in (1, 2) for name in names
+        ]
+    )
+    joined = df.join(sides, event, "left")
+    return joined.withColumns(
+        {f"raw_name{side}": F.coalesce(f"raw_name{side}", F.lit(blank[side - 1])) for side in (1, 2)}
+    )

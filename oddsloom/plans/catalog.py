@@ -10,6 +10,7 @@ from oddsloom.plans import (
     linkage,
     pricing,
     probability,
+    records,
     signals,
     streams,
 )  # noqa: F401

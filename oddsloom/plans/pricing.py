@@ -106,7 +106,9 @@ def oriented_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = F.when(snapshot % 2 == 0, F.lit(True)).otherwise(snapshot % 3 == 0)
     flag = settlement.reversed_flag(frozen, recorded)
     s1, s2 = settlement.orient(F.col("score1"), F.col("score2"), flag)
-    return bindings.quotes(spark, sf_dir).select("snapshot_id", s1.alias("score1"), s2.alias("score2"))
+    return bindings.quotes(spark, sf_dir).select(
+        "snapshot_id", s1.cast("long").alias("score1"), s2.cast("long").alias("score2")
+    )
 
 
 @query("value_metrics", f"""{QUOTES}
