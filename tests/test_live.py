@@ -1,11 +1,13 @@
 """Alerts, settlement and streams."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from oddsloom.operators import alerts, live, quality
+from oddsloom.operators import alerts, corridors, live, quality
+from oddsloom.sources.strategies import strategies
 from oddsloom.streaming import pipeline
 
 T0 = datetime(2026, 1, 1, 12)
@@ -151,5 +153,48 @@ def test_stale_limit_is_strict(spark):
     assert {r.i for r in pipeline.fresh_only(df, F.lit(T0)).collect()} == {1, 2}
 
 
+def live_tables(spark):
+    """One upcoming event with a corridor-free strategy and a short history."""
+    history = spark.createDataFrame(
+        [(i, AT(-600 + 30 * i), AT(-590 + 30 * i), "football", "A", "B", 3, i % 2) for i in range(12)],
+        "event_id long, started_at timestamp, available_at timestamp, sport string, player1 string, player2 string, score1 int, score2 int",
+    )
+    matches = spark.createDataFrame(
+        [(1, 900, 50, 0.97, False, AT(60), "scheduled", "hist", "football", None, None, "book", "T", "A", "B")],
+        "match_id long, source_event_id long, book_event_id long, confidence double, reversed_sides boolean, started_at timestamp, "
+        "status string, source string, sport string, game string, family string, bookmaker string, tournament string, player1 string, player2 string",
+    )
+    nothing = spark.range(0).select(
+        F.lit("book").alias("bookmaker"), F.lit("football").alias("sport"), F.lit("").alias("game_key"), F.lit("1x2").alias("market"),
+        F.lit("P1").alias("selection"), F.lit(None).cast("decimal(10,3)").alias("line"), F.lit("").alias("family"),
+        F.lit("2.0").cast("decimal(12,5)").alias("odds"), F.lit("win").alias("outcome"),
+    )
+    return {"history": history, "matches": matches, "corridors": corridors.build(nothing)}
+
+
+def test_signal_stream_sends_the_best_alert_once(spark, tmp_path):
+    table = strategies(spark, {"s": {
+        "prediction_enabled": True, "alerts_enabled": True, "source": "hist", "model_name": live.RESULT_MODEL, "model_version": "v1",
+        "min_samples": 5, "allowed_markets": ["1x2"], "suspicious_edge_percent": 500.0,
+    }})
+    schema = "book_event_id long, snapshot_id long, market string, selection string, line decimal(10,3), odds decimal(12,5), received_at timestamp"
+    source, out, progress = (str(tmp_path / n) for n in ("q", "out", "progress"))
+    step = pipeline.signal_batches(lambda: live_tables(spark), table, lambda: F.lit(T0), out)
+    batches = [
+        [(50, 1, "1x2", "P1", None, Decimal("1.5"), AT(-3)), (50, 2, "1x2", "P1", None, Decimal("2.0"), AT(-1)), (50, 3, "1x2", "X", None, Decimal("9.0"), AT(-1)),
+         (50, 4, "1x2", "P2", None, Decimal("3.0"), AT(-5)), (51, 5, "1x2", "P1", None, Decimal("2.0"), AT(-1))],
+        [(50, 6, "1x2", "P1", None, Decimal("2.1"), AT(0)), (50, 7, "1x2", "P1", None, Decimal("2.1"), AT(1))],
+    ]
+    for rows in batches:
+        write(spark, tmp_path, "q", rows, schema)
+        pipeline.batch_sink(pipeline.file_stream(spark, source, schema), out, progress, transform=step).awaitTermination()
+    got = {r.snapshot_id: r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {2, 3, 4, 6}
+    assert got[2].decision == "alert" and got[2].alert_key == "s:50:1x2:P1:-" and got[2].sample_size == 12
+    assert got[2].expires_at == AT(1) and float(got[2].stake_percent) == 1.5
+    assert "stale_odds" in got[4].filter_reasons and "below_minimum_odds" in got[3].filter_reasons
+    assert got[6].decision == "skip" and got[6].filter_reasons == ["duplicate_alert"]
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
