@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsloom.llm import quality_qda
+from oddsloom.llm import quality_qda, secret_ledger
 from oddsloom.llm.common import read
-from oddsloom.session import materialize
+from oddsloom.session import materialize, scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -24,3 +24,9 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(quality_qda.with_statistics(read(spark, sf_dir, "documents")), "statistics")
     model = quality_qda.fit(rows, read(spark, sf_dir, "labels"), "quality")
     return quality_qda.score(rows, model)
+
+
+@_query
+def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_ledger.digest(secret_ledger.scan(docs, scratch_path(spark, "ledger"), "0"))
