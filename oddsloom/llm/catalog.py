@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsloom.llm import quality_qda, secret_ledger
+from oddsloom.llm import quality_qda, secret_ledger, simhash_gray
 from oddsloom.llm.common import read
 from oddsloom.session import materialize, scratch_path
 
@@ -30,3 +30,8 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_ledger.digest(secret_ledger.scan(docs, scratch_path(spark, "ledger"), "0"))
+
+
+@_query
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
