@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsloom.llm import quality_qda, secret_ledger, simhash_gray
-from oddsloom.llm.common import read
+from oddsloom.llm import bpe_tree, quality_qda, secret_ledger, simhash_gray
+from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,9 +29,14 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return secret_ledger.digest(secret_ledger.scan(docs, scratch_path(spark, "ledger"), "0"))
+    return secret_ledger.digest(secret_ledger.scan(docs, scratch_path(spark, "ledger"), "0", texts=False))
 
 
 @_query
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode(read(spark, sf_dir, "documents"), tokenizer_path(), output="digest")

@@ -37,3 +37,10 @@ def map_batches(
                 yield result
 
     return df.mapInArrow(run, schema)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

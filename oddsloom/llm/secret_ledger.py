@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsloom.session import materialize
+
 FINDING = "struct<rule:string,kind:string,start:long,end:long>"
 _LEDGER = f"blob string, versions array<string>, findings array<{FINDING}>"
 
@@ -175,9 +177,18 @@ def join_findings(addressed: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, folder: str, batch: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with blob, gated and findings, after bringing the ledger in ``folder`` up to date."""
+def scan(
+    docs: DataFrame, folder: str, batch: str, rules: tuple[Rule, ...] = RULES, texts: bool = True
+) -> DataFrame:
+    """``docs`` with blob, gated and findings, after bringing the ledger in ``folder`` up to date.
+
+    The addressed rows are written once, since they are read by the scan and by
+    the join. Without ``texts`` the text of rows that pass no gate becomes null.
+    """
     addressed = address(docs, rules)
+    if not texts:
+        addressed = addressed.withColumn("text", F.when(F.size("gated") > 0, F.col("text")))
+    addressed = materialize(addressed, "addressed")
     update_ledger(addressed, folder, batch, rules)
     return join_findings(addressed, findings(docs.sparkSession, folder, rules))
 
