@@ -197,9 +197,9 @@ def codec(path: str) -> Codec:
 
 
 def split_text(raw: bytes, leaf: int = LEAF) -> list[bytes]:
-    """Parts of a text by halving until none is over ``leaf`` bytes; their number is a power of two."""
+    """Parts of a text by halving until none is over ``leaf`` bytes, 8 at least; their number is a power of two."""
     parts = [raw]
-    while max(map(len, parts)) > leaf:
+    while max(map(len, parts)) > max(8, leaf):
         halved = []
         for part in parts:
             middle = _char_start(part, len(part) // 2)
