@@ -115,30 +115,24 @@ def _block_pairs(nodes: DataFrame, count: int) -> DataFrame:
     ``nodes`` are the blocks without their fingerprints. Upper nodes group
     blocks by leading bits of their rank; each level prunes the next one.
     """
-    depth = max(0, math.ceil(math.log2(max(1, count))))
-    steps = [*range(0, depth, _FANOUT_BITS)]
+    depth = max(1, math.ceil(math.log2(max(2, count))))
+    steps = [*range(_FANOUT_BITS, depth + _FANOUT_BITS, _FANOUT_BITS)]
     place = F.col("block").bitwiseXOR(F.lit(-(1 << 63)))
-    keyed = nodes
-    for bits in steps:
-        up = F.shiftrightunsigned(place, 64 - bits) if bits else F.lit(0).cast("long")
-        keyed = keyed.withColumn(f"up{bits}", up)
+    keyed = nodes.withColumns({f"up{bits}": F.shiftrightunsigned(place, 64 - bits) for bits in steps})
     levels = []
-    for bits, upper in zip(steps, [None, *steps]):
-        parent = F.first(f"up{upper}") if upper is not None else F.lit(0).cast("long")
+    for bits, upper in zip(steps, [steps[0], *steps]):
         levels.append(
             keyed.groupBy(F.col(f"up{bits}").alias("node")).agg(
-                F.bit_and("every").alias("every"), F.bit_or("any").alias("any"), parent.alias("parent")
+                F.bit_and("every").alias("every"), F.bit_or("any").alias("any"), F.first(f"up{upper}").alias("parent")
             )
         )
-    last = F.col(f"up{steps[-1]}") if steps else F.lit(0).cast("long")
-    levels.append(keyed.select(F.col("block").alias("node"), "every", "any", last.alias("parent")))
-    pairs = None
-    for level in levels:
+    levels.append(keyed.select(F.col("block").alias("node"), "every", "any", F.col(f"up{steps[-1]}").alias("parent")))
+    # The top level has 2 ** _FANOUT_BITS nodes at most; each names all that it may be paired with.
+    top = F.sequence(F.lit(0).cast("long"), F.lit((1 << _FANOUT_BITS) - 1).cast("long"))
+    pairs = levels[0].select(F.col("node").alias("a"), F.explode(top).alias("b")).where("a <= b")
+    for level in [levels[0].drop("parent").withColumn("parent", F.col("node")), *levels[1:]]:
         left, right = level.alias("l"), level.alias("r")
-        if pairs is None:
-            both = left.join(right, F.col("l.parent") == F.col("r.parent"))
-        else:
-            both = pairs.join(left, F.col("a") == F.col("l.parent")).join(right, F.col("b") == F.col("r.parent"))
+        both = pairs.join(left, F.col("a") == F.col("l.parent")).join(right, F.col("b") == F.col("r.parent"))
         near = both.where(_apart("l", "r") <= DISTANCE).where("l.node <= r.node")
         pairs = near.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
     return pairs
