@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsloom.llm import bpe_tree, quality_qda, secret_ledger, simhash_gray
+from oddsloom.llm import bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -40,3 +40,8 @@ def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode(read(spark, sf_dir, "documents"), tokenizer_path(), output="digest")
+
+
+@_query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
