@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oddsloom.llm import bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray
+from oddsloom.llm import bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -45,3 +45,9 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, read(spark, sf_dir, "labels")))
