@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from oddsloom.llm import bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
@@ -51,3 +52,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -110,8 +110,8 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, its fold and the statistics of each whole text."""
+def with_statistics(docs: DataFrame, skip_held_out: bool = False) -> DataFrame:
+    """doc_id, its fold and the statistics of each whole text; on request without the held-out fold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +122,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             )
 
     chosen = docs.select(F.col("doc_id").cast("long"), fold(F.col("doc_id")).cast("int").alias("fold"), "text")
+    if skip_held_out:
+        chosen = chosen.where("fold <> 0")
     return chosen.mapInArrow(run, "doc_id long, fold int, statistics array<double>")
 
 
