@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddsloom.llm import bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
+from oddsloom.llm import block_knn, bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -54,6 +55,27 @@ def op9_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_zstd.score(docs, toxicity_zstd.fit(docs, read(spark, sf_dir, "labels")))
 
 
+@_query
+def op7_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_knn.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+LLM_ORACLES["op7_block_knn"] = """
+WITH usable AS (
+    SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+    FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
