@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddsloom.llm import block_knn, bpe_tree, decontaminate, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
+from oddsloom.llm import block_knn, bpe_tree, decontaminate, license_scan, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -79,3 +79,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.detect(read(spark, sf_dir, "documents")))
