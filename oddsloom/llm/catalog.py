@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddsloom.llm import block_knn, bpe_tree, decontaminate, license_scan, pii_bootstrap, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
+from oddsloom.llm import block_knn, bloom_lm, bpe_tree, decontaminate, license_scan, pii_bootstrap, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -89,3 +89,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_bootstrap.digest(pii_bootstrap.find(read(spark, sf_dir, "documents")))
+
+
+@_query
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(read(spark, sf_dir, "documents"))
