@@ -1,11 +1,12 @@
 """Benchmark passages in documents: rare word n-grams as seeds, then Smith-Waterman.
 
 Test items are cut into passages of words. A first pass counts in how many
-documents each of their n-grams occurs; the rarer half of a passage's n-grams
-are its seeds, so every passage keeps seeds however often it was copied. A
-second pass looks the n-grams of whole documents up among the seeds. A document
-with a seed of a passage is aligned with it, around all places where seeds lie,
-by Smith-Waterman over words; the score is the alignment's share of a perfect
+documents each of their n-grams occurs; a seed weighs the more the rarer it is.
+A second pass looks the n-grams of whole documents up among the seeds. Where the
+seeds of a passage that lie close together have a small share of the weight of
+all its seeds, document and passage are aligned by Smith-Waterman over words.
+The share is relative, so a passage that was copied often, or edited alike in
+many copies, is found as well. The score is the alignment's share of a perfect
 one, so inserted, deleted and replaced words lower it step by step.
 
 Only passages travel to the tasks, in shards of a fixed number of words; each
@@ -31,6 +32,8 @@ PASSAGE, STRIDE = 256, 128
 #: Words of all passages that one pass broadcasts (8 bytes each, and as much for the seeds).
 SHARD_WORDS = 1_000_000
 THRESHOLD = 0.4
+#: Share of the weight of a passage's seeds that is worth an alignment.
+SEED_SHARE = 0.05
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
 _FILTER_BITS = 22
 
@@ -90,36 +93,47 @@ def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Seeds:
-    """Passages of one shard and the sorted hashes of their seeds."""
+    """Passages of one shard, and the sorted hashes of their seeds with their weights."""
 
-    def __init__(self, passages: list[tuple[int | None, np.ndarray]], seeds: list[np.ndarray]) -> None:
+    def __init__(
+        self, passages: list[tuple[int | None, np.ndarray]], seeds: list[np.ndarray], weights: list[np.ndarray]
+    ) -> None:
         self.items = [item for item, _ in passages]
         self.words = [words for _, words in passages]
         hashes = np.concatenate([*seeds, np.empty(0, np.uint64)])
         owners = np.repeat(np.arange(len(seeds)), [len(own) for own in seeds])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owners = hashes[order], owners[order]
+        self.weights = np.concatenate([*weights, np.empty(0)])[order]
+        self.wanted = SEED_SHARE * np.bincount(owners, self.weights[np.argsort(order)], len(seeds))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the grams that are seeds, and for each the passage; a seed of several passages gives several."""
+        """Places of the grams that are seeds, and for each the number of the seed; one for each passage that has it."""
         places = np.nonzero(self.filter[grams >> np.uint64(64 - _FILTER_BITS)])[0]
         low = np.searchsorted(self.hashes, grams[places], "left")
         high = np.searchsorted(self.hashes, grams[places], "right")
         sizes = high - low
         first = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         at = np.arange(int(sizes.sum())) - np.repeat(first, sizes) + np.repeat(low, sizes)
-        return np.repeat(places, sizes), self.owners[at]
+        return np.repeat(places, sizes), at
 
     def matches(self, text: str, threshold: float) -> dict[int | None, tuple[float, int, int]]:
         """Per item found in a text: score, and first and last word of the window part that ends the alignment."""
         words = word_hashes(text)
-        places, owners = self.hits(gram_hashes(words))
+        places, seeds = self.hits(gram_hashes(words))
         found: dict[int | None, tuple[float, int, int]] = {}
-        for owner in np.unique(owners):
-            passage, own = self.words[owner], np.sort(places[owners == owner])
-            for cluster in np.split(own, np.nonzero(np.diff(own) > 2 * len(passage))[0] + 1):
+        if not len(places):
+            return found
+        reached = np.bincount(self.owners[seeds], self.weights[seeds], len(self.words)) >= self.wanted
+        for owner in np.unique(self.owners[seeds][reached[self.owners[seeds]]]):
+            passage, mine = self.words[owner], self.owners[seeds] == owner
+            own, own_seeds = places[mine], seeds[mine]
+            gaps = np.nonzero(np.diff(own) > 2 * len(passage))[0] + 1
+            for cluster, held in zip(np.split(own, gaps), np.split(own_seeds, gaps), strict=True):
+                if self.weights[np.unique(held)].sum() < self.wanted[owner]:
+                    continue
                 begin = max(0, int(cluster[0]) - len(passage))
                 end = min(len(words), int(cluster[-1]) + GRAM + len(passage))
                 best, last = align(passage, words[begin:end])
@@ -183,6 +197,7 @@ def shards(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS
     cut = passages(benchmark)
     total = cut.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     count = max(1, -(-total // shard_words))
+    rows_read = docs.count() if total else 0
     part = F.pmod(F.xxhash64("item_id", "number"), F.lit(count))
     for shard in range(count if total else 0):
         rows = cut.where(part == shard).orderBy("item_id", "number").collect()
@@ -190,11 +205,9 @@ def shards(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS
         grams = [np.unique(gram_hashes(words)) for _, words in held]
         wanted = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]))
         known = _frequencies(docs, wanted)
-        seeds = []
-        for own in grams:
-            often = np.array([known.get(int(at), 0) for at in np.searchsorted(wanted, own)])
-            seeds.append(own[often <= np.median(often)])
-        yield Seeds(held, seeds)
+        often = [np.array([known.get(int(at), 0) for at in np.searchsorted(wanted, own)]) for own in grams]
+        weights = [np.log1p(rows_read / (seen + 0.5)) for seen in often]
+        yield Seeds(held, grams, weights)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
