@@ -19,7 +19,7 @@ texts count as empty: a single end token.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,6 @@ HEAD = 1 << 19
 SMOOTHING = 4.0
 HELD_OUT_FOLD = 1
 
-_BLOCK_BITS = BLOCK_BYTES * 8
 _PRIME, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 END = np.uint64(0xD6E8FEB86659FD93)
@@ -88,24 +87,24 @@ def _places(grams: np.ndarray, blocks: int) -> np.ndarray:
     return (_mixed(grams ^ _PAIR) >> np.uint64(20)) % np.uint64(blocks)
 
 
-def _bits(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bits(grams: np.ndarray, level: int, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Three bit numbers within the block."""
     first = _mixed(grams + np.uint64(level) * _SPREAD)
-    size = np.uint64(_BLOCK_BITS)
+    size = np.uint64(block_bytes * 8)
     return first % size, (first >> np.uint64(32)) % size, _mixed(first ^ _PAIR) % size
 
 
-def levels(shard: np.ndarray, first: int, grams: np.ndarray, blocks: int) -> np.ndarray:
+def levels(shard: np.ndarray, first: int, grams: np.ndarray, blocks: int, block_bytes: int) -> np.ndarray:
     """Quantised count level of each n-gram, 0 where absent or in another shard; ``shard`` begins at block ``first``."""
-    held = len(shard) // BLOCK_BYTES
+    held = len(shard) // block_bytes
     place = _places(grams, blocks).astype(np.int64) - first
     result = np.zeros(len(grams), np.uint8)
     active = np.nonzero((place >= 0) & (place < held))[0]
     level = 1
     while len(active):
         for probe in range(3):
-            at = _bits(grams[active], level)[probe].astype(np.int64)
-            cell = shard[place[active] * BLOCK_BYTES + (at >> 3)]
+            at = _bits(grams[active], level, block_bytes)[probe].astype(np.int64)
+            cell = shard[place[active] * block_bytes + (at >> 3)]
             active = active[(cell >> (at & 7).astype(np.uint8)) & 1 > 0]
         result[active] = level
         level += 1
@@ -130,7 +129,7 @@ def _counted(rows: DataFrame, of_pairs: bool) -> DataFrame:
     return rows.select("text").mapInArrow(run, "gram long, n long")
 
 
-def build_filter(grams: DataFrame, blocks: int) -> DataFrame:
+def build_filter(grams: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block and its bytes, from rows of (gram, n) in which a gram may occur several times."""
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +150,9 @@ def build_filter(grams: DataFrame, blocks: int) -> DataFrame:
         top = np.floor(np.log2(counts)).astype(int) + 1
         for block in np.unique(place):
             mine = place == block
-            own, own_top, bits = gathered[mine], top[mine], np.zeros(_BLOCK_BITS, bool)
+            own, own_top, bits = gathered[mine], top[mine], np.zeros(block_bytes * 8, bool)
             for level in range(1, int(own_top.max()) + 1):
-                for at in _bits(own[own_top >= level], level):
+                for at in _bits(own[own_top >= level], level, block_bytes):
                     bits[at.astype(np.int64)] = True
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block)], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])],
@@ -164,14 +163,14 @@ def build_filter(grams: DataFrame, blocks: int) -> DataFrame:
     return placed.repartition("block").select("block", "gram", "n").mapInArrow(fill, "block long, bits binary")
 
 
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The frequent words and their counts, at most HEAD, and the least count among them."""
+def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The frequent words and their counts, at most ``most``, and the least count among them."""
     level = F.floor(F.log2("n")).cast("int").alias("level")
     sizes = sorted(((row.level, row.m) for row in counts.groupBy(level).agg(F.count("*").alias("m")).collect()), reverse=True)
     least, total = 1 << 62, 0
     for bottom, size in sizes:
         total += size
-        if total > HEAD:
+        if total > most:
             break
         least = 1 << bottom
     table = counts.where(F.col("n") >= least).select("gram", "n").toArrow()
@@ -180,7 +179,9 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return grams[order], table["n"].to_numpy()[order], least
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(
+    docs: DataFrame, head_words: int = HEAD, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each whole text."""
     spark = docs.sparkSession
     held_out = (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out")
@@ -190,21 +191,21 @@ def score(docs: DataFrame) -> DataFrame:
         _counted(training, False).groupBy("gram").agg(F.sum("n").alias("n")), "word-counts"
     )
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-total * BITS_PER_TOKEN // _BLOCK_BITS))
-    made = materialize(build_filter(_counted(training, True).unionByName(counts), blocks), "filter")
-    grams, amounts, least = _head(counts)
+    blocks = max(1, -(-total * BITS_PER_TOKEN // (block_bytes * 8)))
+    made = materialize(build_filter(_counted(training, True).unionByName(counts), blocks, block_bytes), "filter")
+    grams, amounts, least = _head(counts, head_words)
     head = spark.sparkContext.broadcast((grams, amounts))
     floor = total + 0.5 * (distinct + 1)
-    per_shard = max(1, SHARD_BYTES // BLOCK_BYTES)
+    per_shard = max(1, shard_bytes // block_bytes)
 
     def shard(number: int) -> np.ndarray:
         """Blocks of one shard; blocks without n-grams have no row."""
         own = F.col("block").between(number * per_shard, (number + 1) * per_shard - 1)
         size = min(per_shard, blocks - number * per_shard)
-        table = np.zeros(size * BLOCK_BYTES, np.uint8)
+        table = np.zeros(size * block_bytes, np.uint8)
         for row in made.where(own).toLocalIterator():
-            at = (row.block - number * per_shard) * BLOCK_BYTES
-            table[at : at + BLOCK_BYTES] = np.frombuffer(row.bits, np.uint8)
+            at = (row.block - number * per_shard) * block_bytes
+            table[at : at + block_bytes] = np.frombuffer(row.bits, np.uint8)
         return table
 
     def model(word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -214,8 +215,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     def levels_of(words: np.ndarray, counts: np.ndarray, table: np.ndarray, first: int) -> np.ndarray:
         """Levels of words and of pairs, one after the other."""
-        word = levels(table, first, words, blocks)
-        return np.concatenate((word, levels(table, first, pairs(words, counts), blocks)))
+        grams = np.concatenate((words, pairs(words, counts)))
+        return levels(table, first, grams, blocks, block_bytes)
 
     def before_of(word: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
         before = np.empty_like(word)
@@ -272,7 +273,7 @@ def score(docs: DataFrame) -> DataFrame:
     table = spark.sparkContext.broadcast(shard(0))
     scored = materialize(numbered.mapInArrow(first_pass(table), schema), "scored")
     if shards > 1:
-        scored = _more_shards(scored, numbered, shards, shard, per_shard, blocks, model)
+        scored = _more_shards(scored, numbered, shards, shard, per_shard, levels_of, model)
     rest = scored.select("row", F.explode("rest").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("tf"))
     unseen = counts.where(F.col("n") < least)
     logs = F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)
@@ -295,7 +296,10 @@ def _notes(noted: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [zlib.compress(np.concatenate(pair).tobytes(), 1) for pair in halves]
 
 
-def _more_shards(scored: DataFrame, numbered: DataFrame, shards, shard, per_shard, blocks, model) -> DataFrame:
+def _more_shards(
+    scored: DataFrame, numbered: DataFrame, shards: int, shard: Callable[[int], np.ndarray], per_shard: int,
+    levels_of: Callable[..., np.ndarray], model: Callable[..., np.ndarray],
+) -> DataFrame:
     """Add the notes of the other shards and compute scores from all notes of a row."""
     spark, every = scored.sparkSession, scored.select("row", "notes")
 
@@ -305,9 +309,7 @@ def _more_shards(scored: DataFrame, numbered: DataFrame, shards, shard, per_shar
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
                     words, counts = tokens(strings(some["text"]))
-                    word = levels(table.value, first, words, blocks)
-                    pair = levels(table.value, first, pairs(words, counts), blocks)
-                    notes = pa.array(_notes(np.concatenate((word, pair)), counts), pa.binary())
+                    notes = pa.array(_notes(levels_of(words, counts, table.value, first), counts), pa.binary())
                     yield pa.RecordBatch.from_arrays([some["row"], notes], names=["row", "notes"])
 
         return run
