@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from oddsloom.functions import odds as odds_fn
 from oddsloom.functions import settlement
@@ -125,32 +123,6 @@ def decide(df: DataFrame) -> DataFrame:
     )
 
 
-def _capped_kelly(schema: pa.Schema, run: Sequence[str]):
-    """Sequential bankroll of capped Kelly runs.
-
-    A cap makes each stake depend on the exact bankroll before it, so there is
-    no partial result to combine. Rows stream through in order and only the
-    bankroll is kept, but a run is one task.
-    """
-
-    def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bankroll = None, 0.0
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                name = tuple(row[column] for column in run)
-                if name != key:
-                    key, bankroll = name, row["initial_bankroll"]
-                row["bankroll_before"] = bankroll
-                stake = min(bankroll * row["kelly"], row["max_stake"])
-                row["capped_stake"] = stake
-                if row["unit_return"] is not None:
-                    bankroll += stake * row["unit_return"]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return process
-
-
 def _with_results(df: DataFrame) -> DataFrame:
     """Decision, outcome and return per staked unit of each opportunity."""
     decided = settlement.with_outcome(decide(df)).withColumn(
@@ -194,11 +166,11 @@ def simulate(
     stake, bet_multiplier, outcome, payout, profit and bankroll_before.
 
     Unit stakes add up and uncapped Kelly multiplies, so both are running sums.
-    Capped Kelly is neither; such rows need :func:`simulate_capped` and fail
-    here. The input is read twice, once for the bucket totals.
+    Capped Kelly is neither: each stake depends on the exact bankroll before
+    it. Such rows fail. The input is read twice, once for the bucket totals.
     """
     capped = F.col("kelly").isNotNull() & F.col("max_stake").isNotNull()
-    refuse = F.raise_error(F.lit("capped Kelly needs simulate_capped")).cast("string")
+    refuse = F.raise_error(F.lit("Kelly stakes with a limit cannot be simulated")).cast("string")
     staged = _with_results(df)
     staged = staged.withColumn("decision", F.when(capped, refuse).otherwise(F.col("decision")))
     alert = F.col("decision") == "alert"
@@ -222,29 +194,6 @@ def simulate(
     return _finish(sized.drop("_won", "_grown"))
 
 
-def simulate_capped(df: DataFrame, *, run: Sequence[str] = RUN) -> DataFrame:
-    """:func:`simulate` for Kelly runs with a stake limit.
-
-    Only placed bets walk the sequential path, with the few columns it needs.
-    """
-    staged = _with_results(df)
-    keys = [*run, "_at", *ORDER[1:]]
-    numbers = ["initial_bankroll", "kelly", "max_stake", "unit_return"]
-    timed = staged.withColumn("_at", F.unix_micros("decision_at"))
-    chain = timed.where(F.col("decision") == "alert").select(
-        *keys, *[F.col(name).cast("double").alias(name) for name in numbers]
-    )
-    shape = chain.withColumns({"bankroll_before": F.lit(0.0), "capped_stake": F.lit(0.0)}).schema
-    walked = (
-        chain.repartition(*run)
-        .sortWithinPartitions(*keys)
-        .mapInArrow(_capped_kelly(to_arrow_schema(shape), run), shape)
-        .select(*keys, "bankroll_before", "capped_stake")
-    )
-    joined = timed.join(walked, keys, "left").withColumnRenamed("capped_stake", "stake")
-    return _finish(joined.drop("_at"))
-
-
 def run_metrics(
     decisions: DataFrame, *, run: Sequence[str] = RUN, bucket_seconds: int = prefix.BUCKET_SECONDS
 ) -> DataFrame:

@@ -23,7 +23,6 @@ STRATEGIES = {
     "kelly": {"stake_mode": "kelly_0_1", "min_match_confidence": 0.95, "allowed_tournaments": ["T0", "T2"],
               "min_value_percent": 2.0},
 }
-CAPPED = {"capped": {"stake_mode": "kelly_0_25", "max_stake": 4.0, "min_value_percent": 1.0}}
 
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +136,6 @@ def drawdown_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.run_metrics(run))
 
 
-@query("capped_kelly_path")
-def capped_kelly_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential bankroll with a stake cap; checked against a fold in the tests."""
-    run = simulate.simulate_capped(strategy_bets(spark, sf_dir, CAPPED)).where("decision = 'alert'")
-    return rounded(run.select("odds_snapshot_id", "outcome", "bankroll_before", "stake", "profit"))
-
-
 @query("temporal_guards", f"""{_OPPORTUNITIES}
 SELECT odds_snapshot_id, 'odds snapshot is from the future' AS violation FROM opps WHERE odds_snapshot_id % 97 = 0
 UNION ALL SELECT odds_snapshot_id, 'decision is after event start' FROM opps WHERE odds_snapshot_id % 97 = 1

@@ -31,7 +31,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run(
     stream: DataFrame, name: str, *, mode: str = "append",
-    transform: Callable[[str], Callable[[DataFrame], DataFrame]] | None = None,
+    transform: Callable[[str], Callable[[DataFrame, int], DataFrame]] | None = None,
 ) -> DataFrame:
     """Process everything available and read back what the sink holds."""
     spark = stream.sparkSession
@@ -90,7 +90,7 @@ def payload_dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kept = run(pipeline.distinct_payloads(payloads, "2 days").drop("body"), "payloads")
     total = bindings.table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
-    return kept.agg(F.count_distinct("content_sha256").alias("contents")).select(
+    return kept.agg(F.count("*").alias("contents")).select(
         "contents", total.alias("payloads")
     )
 

@@ -26,10 +26,3 @@ def write_csv(df: DataFrame, path: str) -> None:
         for name, field in zip(df.columns, df.schema)
     ]
     df.select(*flat).write.mode("overwrite").option("header", "true").csv(path)
-
-
-def append_snapshots(quotes: DataFrame, path: str) -> None:
-    """Odds are only ever appended, by the day they were received."""
-    quotes.withColumn("received_date", F.to_date("received_at")).write.mode("append").partitionBy(
-        "received_date"
-    ).parquet(path)

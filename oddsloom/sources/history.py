@@ -58,6 +58,15 @@ def _split(items: DataFrame, label: str, required: list[str]) -> dict[str, DataF
     }
 
 
+def _with_unreadable(out: dict[str, DataFrame], payloads: DataFrame, readable: Column, label: str) -> dict[str, DataFrame]:
+    """Add a reject for each payload that cannot be read, so that none leaves without a trace."""
+    lost = payloads.where(~F.coalesce(readable, F.lit(False))).select(
+        "payload_id", "received_at", F.lit(None).cast("int").alias("position"),
+        F.lit(f"{label} payload cannot be read").alias("reject_reason"),
+    )
+    return {**out, "rejects": out["rejects"].unionByName(lost), "items": out["items"].unionByName(lost)}
+
+
 def _results(events: DataFrame, updated: Column | None = None) -> DataFrame:
     """Scores of finished events with the clocks that tell when they were known."""
     finished = events.where((F.col("status") == "finished") & F.col("score1").isNotNull() & F.col("score2").isNotNull())
@@ -83,13 +92,15 @@ def result_columns() -> list[Column]:
 def parse_a_page(payloads: DataFrame) -> dict[str, DataFrame]:
     """Tournament references of source A and the page count."""
     read = payloads.select("payload_id", "received_at", F.from_json("body", schemas.HISTORY_A_PAGE).alias("j"))
-    good = read.where(F.col("j.tournaments").isNotNull() & (F.col("j.totalPages") >= 1))
+    readable = F.col("j.tournaments").isNotNull() & (F.col("j.totalPages") >= 1)
+    good = read.where(readable)
     rows = good.select("payload_id", "received_at", F.posexplode("j.tournaments").alias("position", "r")).select(
         "payload_id", "received_at", "position", "r",
         F.col("r.id").cast("string").alias("tournament_id"), F.col("r.status_id").alias("status_id"),
         text_fn.first_text(F.col("r.token_international"), F.col("r.token")).alias("name"),
     )
     out = _split(rows, "tournament", ["tournament_id", "status_id", "name"])
+    out = _with_unreadable(out, read, readable, "tournament page")
     out["pages"] = good.select("payload_id", F.col("j.totalPages").alias("total_pages"))
     return out
 
@@ -109,7 +120,9 @@ def parse_a_matches(payloads: DataFrame) -> dict[str, DataFrame]:
     headed = read.select(
         "payload_id", "received_at", F.col("t.id").cast("string").alias("tournament_id"),
         F.col("t.status_id").alias("tournament_status"), name.alias("tournament_name"), "m",
-    ).where(~_all_null(F.col("tournament_id"), F.col("tournament_status"), F.col("tournament_name")))
+    )
+    known = ~_all_null(F.col("tournament_id"), F.col("tournament_status"), F.col("tournament_name"))
+    every, headed = headed, headed.where(known)
 
     def participant(side: int) -> dict[str, Column]:
         p = F.col(f"r.participant{side}")
@@ -134,6 +147,7 @@ def parse_a_matches(payloads: DataFrame) -> dict[str, DataFrame]:
     final = (F.col("status_id") == FINISHED_STATUS) & F.col("score1").isNotNull() & F.col("score2").isNotNull()
     rows = rows.withColumn("status", F.when(final, "finished").otherwise("unknown"))
     out = _split(rows, "match", ["event_id", "status_id", "started_at", "player_key1", "player_key2"])
+    out = _with_unreadable(out, every, known & F.col("m").isNotNull(), "tournament matches")
     events = out["rows"].withColumns({"sport": F.lit("football"), "game": F.lit("efootball")})
     tournaments = headed.select("payload_id", "received_at", "tournament_id", F.col("tournament_name").alias("name"), F.col("tournament_status").alias("status_id"))
     return {**out, "events": events, "results": _results(events), "tournaments": tournaments}
@@ -145,7 +159,8 @@ def parse_b_page(payloads: DataFrame, items_per_page: int) -> dict[str, DataFram
         raise ValueError("items_per_page must be positive")
     read = payloads.select("payload_id", "received_at", F.from_json("body", schemas.HISTORY_B_PAGE).alias("j"))
     total = F.trim("j.total_items").try_cast("bigint")
-    good = read.where(F.col("j.items").isNotNull() & total.isNotNull())
+    readable = F.col("j.items").isNotNull() & total.isNotNull()
+    good = read.where(readable)
     rows = good.select("payload_id", "received_at", F.posexplode("j.items").alias("position", "r")).select(
         "payload_id", "received_at", "position", "r",
         text_fn.first_text(F.col("r.id")).alias("route_id"),
@@ -155,6 +170,7 @@ def parse_b_page(payloads: DataFrame, items_per_page: int) -> dict[str, DataFram
         text_fn.first_text(F.col("r.country")).alias("country"),
     )
     out = _split(rows, "tour", ["route_id", "tournament_id", "name", "state"])
+    out = _with_unreadable(out, read, readable, "tour page")
     out["pages"] = good.select(
         "payload_id", total.alias("total_items"), F.ceil(total / items_per_page).alias("total_pages")
     )
@@ -205,7 +221,7 @@ def parse_b_games(payloads: DataFrame, *, zone: str, sport: str) -> dict[str, Da
     required = ["event_id", "started_at", "state"] + [
         f"{name}{side}" for side in (1, 2) for name in ("player_key", "player_name", "team_key", "team_name")
     ]
-    out = _split(rows, "game", required)
+    out = _with_unreadable(_split(rows, "game", required), read, F.col("j.tour_blocks.games").isNotNull(), "tour")
     kind, game = B_SPORTS[sport]
     events = out["rows"].drop("state").withColumns({"sport": F.lit(kind), "game": F.lit(game)})
     return {**out, "events": events, "results": _results(events, F.col("source_updated_at"))}
@@ -242,6 +258,7 @@ def parse_c_schedule(payloads: DataFrame, *, api_sport: str) -> dict[str, DataFr
         .otherwise("unknown")
     )
     out = _split(rows.withColumn("status", status).drop("source_status", "cancelled"), "match", [*texts, "started_at"])
+    out = _with_unreadable(out, read, F.col("j").isNotNull(), "schedule")
     sport, game = C_SPORTS[api_sport]
     events = text_fn.normalize_names(out["rows"], "tournament_name", output="_folded")
     events = events.withColumns(

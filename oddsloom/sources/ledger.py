@@ -41,9 +41,3 @@ def runs(
     )
     status = F.when(F.col("rejected") > 0, "partial").otherwise("success")
     return counts.join(shown, list(by), "left").withColumn("status", status)
-
-
-def corrupt_payloads(parsed: DataFrame, body: str, payload: str) -> DataFrame:
-    """Payloads that are not the expected JSON, as ledger rows."""
-    broken = parsed.where(F.col(payload).isNull())
-    return broken.withColumn("reject_reason", F.lit("payload is not valid JSON")).drop(payload, body)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming import StreamingQuery
 
 from oddsloom.operators import alerts, live, quotes
@@ -38,14 +39,18 @@ def batch_sink(
     path: str,
     checkpoint: str,
     *,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
+    transform: Callable[[DataFrame, int], DataFrame] | None = None,
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Run ``transform`` on every micro-batch and keep its rows under ``path``."""
+    """Run ``transform`` on every micro-batch and keep its rows under ``path``.
+
+    A batch that is tried again replaces its own directory. ``transform`` gets
+    the batch's id, so that it can tell rows of earlier batches from its own.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if transform is None else transform(batch)
+        rows = batch if transform is None else transform(batch, batch_id)
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
@@ -142,21 +147,26 @@ def quotes_with_results(
     return q.join(r, condition, how).drop("result_event_id")
 
 
-def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Rows a sink has written so far; empty before the first batch."""
+def stored(spark: SparkSession, path: str, like: DataFrame, before: int) -> DataFrame:
+    """Rows that a sink's batches before ``before`` have written; empty before the first one.
+
+    Directories of later batches, left by a try that failed, are pruned.
+    """
     try:
-        return spark.read.schema(like.schema).parquet(path)
+        schema = StructType([*like.schema.fields, StructField("batch_id", LongType())])
+        written = spark.read.schema(schema).parquet(path)
+        return written.where(F.col("batch_id") < before).drop("batch_id")
     except Exception as error:  # the folder appears with the first batch
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return like.limit(0)
 
 
-def alert_sink(path: str, row_id: str = "prediction_id") -> Callable[[DataFrame], DataFrame]:
+def alert_sink(path: str, row_id: str = "prediction_id") -> Callable[[DataFrame, int], DataFrame]:
     """Transform for :func:`batch_sink`: alerts whose key was stored become skips."""
 
-    def transform(batch: DataFrame) -> DataFrame:
-        known = stored(batch.sparkSession, path, batch).where("decision = 'alert'")
+    def transform(batch: DataFrame, batch_id: int) -> DataFrame:
+        known = stored(batch.sparkSession, path, batch, batch_id).where("decision = 'alert'")
         return alerts.drop_repeated(batch, known, row_id=row_id)
 
     return transform
@@ -164,32 +174,32 @@ def alert_sink(path: str, row_id: str = "prediction_id") -> Callable[[DataFrame]
 
 def signal_batches(
     static: Callable[[], dict[str, DataFrame]], strategies: DataFrame, now: Callable[[], Column], path: str
-) -> Callable[[DataFrame], DataFrame]:
+) -> Callable[[DataFrame, int], DataFrame]:
     """Transform: a quote micro-batch to signals.
 
     ``static`` is read anew for every batch, so matches, history and corridors
     may change between batches.
     """
 
-    def transform(batch: DataFrame) -> DataFrame:
+    def transform(batch: DataFrame, batch_id: int) -> DataFrame:
         tables = static()
         found = live.generate_signals(
             batch, tables["matches"], tables["history"], strategies, tables["corridors"], now=now()
         )
-        return alert_sink(path)(found)
+        return alert_sink(path)(found, batch_id)
 
     return transform
 
 
 def settlement_batches(
     signals: Callable[[], DataFrame], now: Callable[[], Column], path: str
-) -> Callable[[DataFrame], DataFrame]:
+) -> Callable[[DataFrame, int], DataFrame]:
     """Transform: a micro-batch of results to settlements of open signals."""
 
-    def transform(batch: DataFrame) -> DataFrame:
+    def transform(batch: DataFrame, batch_id: int) -> DataFrame:
         open_signals = signals()
         shape = live.settle_signals(open_signals, batch, None, now=now())
-        done = stored(batch.sparkSession, path, shape)
+        done = stored(batch.sparkSession, path, shape, batch_id)
         return live.settle_signals(open_signals, batch, done, now=now())
 
     return transform

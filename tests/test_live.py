@@ -123,6 +123,26 @@ def test_repeated_alert_keys_across_batches(spark, tmp_path):
     assert got == {1: "alert", 2: "skip", 3: "alert", 4: "skip", 5: "alert"}
 
 
+def test_a_batch_tried_again_keeps_its_rows(spark, tmp_path):
+    out = str(tmp_path / "alerts")
+    step = pipeline.alert_sink(out)
+    schema = "prediction_id long, alert_key string, decision string, filter_reasons array<string>"
+    batches = [[(1, "a", "alert", []), (2, "b", "alert", [])], [(3, "b", "alert", []), (4, "c", "alert", [])]]
+    for batch_id in (0, 0, 1, 1, 0):
+        rows = step(spark.createDataFrame(batches[batch_id], schema), batch_id)
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        got = {r.prediction_id: r.decision for r in spark.read.parquet(out).collect()}
+        assert got[1] == got[2] == "alert" and got.get(3, "skip") == "skip" and got.get(4, "alert") == "alert"
+    out = str(tmp_path / "settled")
+    step = pipeline.settlement_batches(lambda: signal_rows(spark), lambda: F.lit(T0), out)
+    results = spark.createDataFrame([(10, 1, 2)], "event_id long, score1 int, score2 int")
+    sizes = []
+    for batch_id in (0, 0, 1):
+        step(results, batch_id).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        sizes.append(spark.read.parquet(f"{out}/batch_id={batch_id}").count())
+    assert sizes[0] == sizes[1] > 0 and sizes[2] == 0
+
+
 def test_sessions_close_in_append_mode(spark, tmp_path):
     schema = "player string, started_at timestamp, goals int"
     source, out, progress = (str(tmp_path / n) for n in ("s", "out", "progress"))
