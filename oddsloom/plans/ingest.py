@@ -127,17 +127,17 @@ def catalog_tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN k % 19 = 0 THEN 'invalid core fields for event ' || event_id WHEN k % 17 = 0 THEN 'missing startTime for event ' || event_id END AS reason
   FROM b WHERE k % 3 <> 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) AS rn FROM items WHERE reason IS NOT NULL),
-shown AS (SELECT day, string_agg(reason, '; ' ORDER BY rn) AS last_error FROM ranked WHERE rn <= 20 GROUP BY day)
-SELECT i.day, count(*) AS received, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(reason) AS rejected,
+shown AS (SELECT day, string_agg(reason, '; ' ORDER BY rn) AS last_error FROM ranked WHERE rn <= 20 GROUP BY day),
+seen AS (SELECT dayofyear(ts) AS day, 2 * count(*) AS received FROM b GROUP BY 1)
+SELECT r.day, any_value(r.received) AS received, count(i.day) FILTER (WHERE reason IS NULL) AS parsed, count(reason) AS rejected,
   CASE WHEN count(reason) > 0 THEN 'partial' ELSE 'success' END AS status, any_value(s.last_error) AS last_error
-FROM items i LEFT JOIN shown s ON s.day = i.day GROUP BY i.day""")
+FROM seen r LEFT JOIN items i ON i.day = r.day LEFT JOIN shown s ON s.day = r.day GROUP BY r.day""")
 def rejection_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parser runs per day: counts, status and the first twenty reasons."""
-    items = book_catalog.parse(catalog_payloads(spark, sf_dir))["items"]
-    daily = items.select(
-        F.dayofyear("received_at").cast("long").alias("day"), F.col("payload_id").alias("position"), "reject_reason"
-    )
-    return ledger.runs(daily, ["day"])
+    parsed = book_catalog.parse(catalog_payloads(spark, sf_dir))
+    day = F.dayofyear("received_at").cast("long").alias("day")
+    daily = parsed["items"].select(day, F.col("payload_id").alias("position"), "reject_reason")
+    return ledger.runs(daily, ["day"], received=parsed["received"].select(day, "received"))
 
 
 def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,10 @@ def _invalid_core(event: Column) -> Column:
 
 
 def parse(payloads: DataFrame) -> dict[str, DataFrame]:
-    """tournaments, events, quotes, rejects and items (every event seen).
+    """tournaments, events, quotes, rejects, items (root events of known tournaments) and received.
+
+    ``received`` counts all events of a payload, looked at or not; 0 where it
+    cannot be read.
 
     A payload is self-contained: parents, tournaments and events are looked up
     in its own arrays. Payloads are parsed independently, without a shuffle.
@@ -216,4 +219,7 @@ def parse(payloads: DataFrame) -> dict[str, DataFrame]:
         "quotes": quotes,
         "rejects": listed.where(F.col("reject_reason").isNotNull()),
         "items": listed,
+        "received": read.select(
+            "payload_id", "received_at", F.greatest(F.coalesce(F.size("j.events"), F.lit(0)), F.lit(0)).alias("received")
+        ),
     }

@@ -17,10 +17,14 @@ def split(df: DataFrame, reason: str = "reject_reason") -> tuple[DataFrame, Data
 
 
 def runs(
-    items: DataFrame, by: Sequence[str], *, position: str = "position", reason: str = "reject_reason"
+    items: DataFrame, by: Sequence[str], *, position: str = "position", reason: str = "reject_reason",
+    received: DataFrame | None = None,
 ) -> DataFrame:
     """One row per parser run: counts, status and the first reasons.
 
+    ``received`` gives ``by`` and the number of entries of each payload, for
+    sources whose payloads hold more than the items that are looked at.
+
     Reasons are ranked before they are collected, so a run in which everything
     fails still brings at most the shown number of them together.
     """
@@ -40,4 +44,10 @@ def runs(
         .select(*by, F.array_join(F.transform("first", lambda item: item[reason]), "; ").alias("last_error"))
     )
     status = F.when(F.col("rejected") > 0, "partial").otherwise("success")
+    if received is not None:
+        whole = received.groupBy(*by).agg(F.sum("received").alias("received"))
+        zero = F.lit(0).cast("long")
+        counts = whole.join(counts.drop("received"), list(by), "left").select(
+            *by, "received", F.coalesce("parsed", zero).alias("parsed"), F.coalesce("rejected", zero).alias("rejected")
+        )
     return counts.join(shown, list(by), "left").withColumn("status", status)
