@@ -26,14 +26,15 @@ STRATEGIES = {
 
 
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One candidate bet per quote with at least 150 s left before kickoff."""
+    """One candidate bet per quote; a quote that comes too late opens a market that starts 150 s after it."""
     quotes = settlement.canonicalize(bindings.quotes(spark, sf_dir))
     snapshot, price = F.col("snapshot_id"), F.col("odds").cast("double")
     received = F.unix_micros("received_at")
     edge = 0.8 + (snapshot % 60) / 100.0
-    return quotes.where(received + 150_000_000 <= F.unix_micros("kickoff")).select(
+    start = F.greatest(F.col("kickoff"), F.timestamp_micros(received + 150_000_000))
+    return quotes.select(
         F.col("contract_event").alias("event_id"),
-        F.col("kickoff").alias("event_started_at"),
+        start.alias("event_started_at"),
         F.timestamp_micros(received + (snapshot % 150) * 1_000_000).alias("decision_at"),
         F.col("received_at").alias("feature_cutoff_at"),
         F.col("received_at").alias("odds_received_at"),
@@ -59,7 +60,7 @@ _OPPORTUNITIES = f"""{bindings.with_views('quotes')}, {CANONICAL},
 opps AS (SELECT contract_event AS event_id, kickoff, epoch_us(received_at) + (snapshot_id % 150) * 1000000 AS decision_us, epoch_us(received_at) AS received_us,
     snapshot_id AS odds_snapshot_id, least(0.999::DOUBLE, (0.8::DOUBLE + (snapshot_id % 60) / 100.0::DOUBLE) / CAST(odds AS DOUBLE)) AS p, CAST(odds AS DOUBLE) AS o,
     market, side AS selection, line, 'T' || (snapshot_id % 4) AS tournament, snapshot_id % 40 AS n, snapshot_id % 5 AS h, 0.85::DOUBLE + (snapshot_id % 16) / 100.0::DOUBLE AS conf,
-    score1, score2 FROM canon WHERE epoch_us(received_at) + 150000000 <= epoch_us(kickoff)),
+    score1, score2 FROM canon),
 strat AS (SELECT * FROM (VALUES
   ('flat', 1.05::DOUBLE, 5, 0, 1.2::DOUBLE, 10.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.9::DOUBLE, 'fixed', 1.0::DOUBLE, [], []),
   ('observed', 1.0, 12, 1, 1.01, 100.0, 0.05, 0.9, 0.0, 0.9, 'observed_ml', 0.5, ['1x2'], []),

@@ -75,7 +75,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofyear("ts")
     user, k, kind = F.col("user_id"), F.col("k"), F.col("event_type")
     line = F.lit(0.5) + F.lit(0.5) * (k % 8)
-    return _base(spark, sf_dir).where(F.col("value") >= 0.01).select(
+    return _base(spark, sf_dir).select(
         F.col("event_id").alias("snapshot_id"),
         (user * 1000 + day).alias("contract_event"),
         (F.date_trunc("day", "ts") + F.expr("INTERVAL 18 HOURS")).alias("kickoff"),
@@ -88,7 +88,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("TM("), line.cast("decimal(10,1)").cast("string"), F.lit(")")))
         .alias("selection"),
         F.when(kind.isin("signup", "error"), line.cast("decimal(10,3)")).alias("line"),
-        (F.lit(1) + F.col("value") / 20).cast("decimal(12,5)").alias("odds"),
+        (F.lit(1.001) + F.col("value") / 20).cast("decimal(12,5)").alias("odds"),
         ((user * 7 + day) % 5).cast("int").alias("score1"),
         ((user * 3 + day) % 4).cast("int").alias("score2"),
     )
@@ -141,9 +141,9 @@ SELECT event_id AS snapshot_id, user_id * 1000 + dayofyear(ts) AS contract_event
        CASE event_type WHEN 'view' THEN 'P1' WHEN 'click' THEN 'X' WHEN 'purchase' THEN 'P2'
             WHEN 'signup' THEN 'over' ELSE 'TM(' || CAST(0.5 + 0.5 * (k % 8) AS DECIMAL(10,1)) || ')' END AS selection,
        CASE WHEN event_type IN ('signup','error') THEN CAST(0.5 + 0.5 * (k % 8) AS DECIMAL(10,3)) END AS line,
-       CAST(1 + value / 20 AS DECIMAL(12,5)) AS odds,
+       CAST(1.001::DOUBLE + value / 20 AS DECIMAL(12,5)) AS odds,
        (user_id * 7 + dayofyear(ts)) % 5 AS score1, (user_id * 3 + dayofyear(ts)) % 4 AS score2
-FROM b WHERE value >= 0.01)""",
+FROM b)""",
     "bets": """bets AS (
 SELECT CAST(1.01 + l_discount * 10 + l_tax * 5 AS DECIMAL(12,5)) AS odds,
        CASE l_returnflag WHEN 'A' THEN 'win' WHEN 'R' THEN 'loss' ELSE 'return' END AS outcome,

@@ -57,14 +57,14 @@ def session_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("latest_quote_stream", """WITH q AS (SELECT user_id * 1000 + dayofyear(ts) AS contract_event, event_type AS selection, ts, event_id, CAST(1 + value / 20 AS DECIMAL(12,5)) AS odds FROM events WHERE value >= 0.01)
+@query("latest_quote_stream", """WITH q AS (SELECT user_id * 1000 + dayofyear(ts) AS contract_event, event_type AS selection, ts, event_id, CAST(1.001::DOUBLE + value / 20 AS DECIMAL(12,5)) AS odds FROM events)
 SELECT contract_event, selection, CAST(arg_min(odds, ts) AS DOUBLE) AS opening_odds, CAST(arg_max(odds, ts) AS DOUBLE) AS current_odds, arg_max(event_id, ts) AS snapshot_id, count(*) AS observations FROM q GROUP BY contract_event, selection""")
 def latest_quote_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening and newest price per contract from streaming state."""
-    stream = events_stream(spark, sf_dir).where(F.col("value") >= 0.01).select(
+    stream = events_stream(spark, sf_dir).select(
         (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("contract_event"),
         F.col("event_type").alias("selection"), F.col("ts").alias("received_at"),
-        F.col("event_id").alias("snapshot_id"), (F.lit(1) + F.col("value") / 20).cast("decimal(12,5)").alias("odds"),
+        F.col("event_id").alias("snapshot_id"), (F.lit(1.001) + F.col("value") / 20).cast("decimal(12,5)").alias("odds"),
     )
     keys = ("contract_event", "selection")
     updates = run(pipeline.quote_state(stream, keys), "quotes", mode="update")
