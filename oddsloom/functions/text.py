@@ -64,7 +64,7 @@ def first_text(*options: Column) -> Column:
 def normalize_names(df: DataFrame, column: str, kind: str = "text", output: str = "normalized") -> DataFrame:
     """Add the folded form of a name column.
 
-    Unicode folding needs Python, but only distinct names outside ASCII go
+    Unicode folding needs Python, but only names outside ASCII are folded
     there; everything else stays in generated code. A null name stays null.
     """
     if kind not in KINDS:
@@ -73,11 +73,10 @@ def normalize_names(df: DataFrame, column: str, kind: str = "text", output: str
     staged = df.withColumn("_raw", text).withColumn(
         "_plain", F.when(is_ascii(F.col("_raw")), fold_ascii(F.col("_raw")))
     )
-    names = staged.where(F.col("_raw").isNotNull() & F.col("_plain").isNull())
-    names = names.select("_raw").distinct()
-    folded = names.withColumn("_folded", _fold_udf(kind == "source")("_raw"))
-    joined = staged.join(folded, "_raw", "left")
-    return joined.select(*df.columns, F.coalesce("_plain", "_folded").alias(output))
+    # Only names outside ASCII reach Python; the rest pass as nulls, and no row is moved.
+    other = F.when(F.col("_plain").isNull(), F.col("_raw"))
+    folded = F.coalesce("_plain", _fold_udf(kind == "source")(other))
+    return staged.select(*df.columns, folded.alias(output))
 
 
 def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
