@@ -18,6 +18,8 @@ texts count as empty: a single end token.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,11 +42,14 @@ HELD_OUT_FOLD = 1
 _PRIME, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 END = np.uint64(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13, 32]] = 0
-_BYTES = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * _SPREAD
-_BYTES ^= _BYTES >> np.uint64(29)
+#: A word per byte in lower case, 0 for white space.
+_CODES = (np.arange(1, 257, dtype=np.uint64)) * _SPREAD
+_CODES ^= _CODES >> np.uint64(29)
+_CODES[65:91] = _CODES[97:123]
+_CODES[[9, 10, 11, 12, 13, 32]] = 0
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
+#: Bytes of text that are hashed at once, and n-grams that are counted at once.
+_PIECE, _COUNTED = 1 << 20, 1 << 22
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -52,29 +57,74 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+@functools.lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse."""
+    inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
+    return tuple(
+        np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, base)))) for base in (_PRIME, inverse)
+    )
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word; a polynomial over its bytes, read off a running sum over all bytes."""
+    codes = np.frombuffer(raw, np.uint8)
+    forward, back = _powers(1 << max(16, len(raw).bit_length()))
+    inside = _CODES[codes] != 0
+    edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODES[codes] * forward[: len(raw)], out=sums[1:])
+    return _mixed((sums[ends] - sums[starts]) * back[starts]), starts
+
+
+def _pieces(raws: list[bytes]) -> Iterator[bytes]:
+    """The texts, a space after each, in pieces of about _PIECE bytes that end between words."""
+    held, size = [], 0
+    for raw in raws:
+        begin = 0
+        while len(raw) - begin > _PIECE:
+            cut = _SPACE.search(raw, begin + _PIECE)
+            end = cut.end() if cut else len(raw)
+            yield b"".join([*held, raw[begin:end]])
+            held, size, begin = [], 0, end
+        held += [raw[begin:], b" "]
+        size += len(raw) - begin + 1
+        if size >= _PIECE:
+            yield b"".join(held)
+            held, size = [], 0
+    yield b"".join(held)
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of several texts, each text closed by END, and the number of tokens of each."""
     raws = [text.encode("utf-8", "replace") for text in texts]
-    whole = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-    space = (whole == 32) | ((whole >= 9) & (whole <= 13))
-    inside = ~space
-    edges = np.diff(inside.astype(np.int8), prepend=np.int8(0))
-    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    hashes, starts, at = [], [], 0
+    for piece in _pieces(raws):
+        own, begins = _word_hashes(piece)
+        hashes.append(own)
+        starts.append(begins + at)
+        at += len(piece)
+    words, begins = np.concatenate(hashes), np.concatenate(starts)
     text_ends = np.cumsum([len(raw) + 1 for raw in raws])
-    words_before = np.searchsorted(starts, text_ends)
-    counts = np.diff(words_before, prepend=0) + 1
+    counts = np.diff(np.searchsorted(begins, text_ends), prepend=0) + 1
     result = np.full(int(counts.sum()), END)
-    if len(starts):
-        lengths = ends - starts
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        offsets = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-        powers = np.cumprod(np.full(int(lengths.max()), _PRIME))
-        hashes = _mixed(np.add.reduceat(_BYTES[_LOWER[whole[inside]]] * powers[offsets], first))
-        place = np.arange(len(starts)) + np.searchsorted(text_ends, starts, "right")
-        result[place] = hashes
+    result[np.arange(len(words)) + np.searchsorted(text_ends, begins, "right")] = words
     return result, counts
 
 
+def _bundles(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _PIECE characters together."""
+    begin = size = 0
+    for place, text in enumerate(texts):
+        size += len(text)
+        if size >= _PIECE:
+            yield begin, place + 1
+            begin, size = place + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def pairs(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Hash of each token with the one before it; the first one of a text follows END."""
     before = np.empty_like(words)
@@ -84,14 +134,18 @@ def pairs(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _places(grams: np.ndarray, blocks: int) -> np.ndarray:
-    return (_mixed(grams ^ _PAIR) >> np.uint64(20)) % np.uint64(blocks)
+    half = np.uint64(32)
+    return ((_mixed(grams ^ _PAIR) >> half) * np.uint64(blocks)) >> half
 
 
-def _bits(grams: np.ndarray, level: int, block_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three bit numbers within the block."""
-    first = _mixed(grams + np.uint64(level) * _SPREAD)
-    size = np.uint64(block_bytes * 8)
-    return first % size, (first >> np.uint64(32)) % size, _mixed(first ^ _PAIR) % size
+def _first(grams: np.ndarray, level: int) -> np.ndarray:
+    return _mixed(grams + np.uint64(level) * _SPREAD)
+
+
+def _bit(first: np.ndarray, probe: int, block_bytes: int) -> np.ndarray:
+    """Number of one of the three bits of a level within the block, whose size is a power of two."""
+    mixed = first >> np.uint64(32) if probe == 1 else _mixed(first ^ _PAIR) if probe == 2 else first
+    return (mixed & np.uint64(block_bytes * 8 - 1)).astype(np.int64)
 
 
 def levels(shard: np.ndarray, first: int, grams: np.ndarray, blocks: int, block_bytes: int) -> np.ndarray:
@@ -100,12 +154,13 @@ def levels(shard: np.ndarray, first: int, grams: np.ndarray, blocks: int, block_
     place = _places(grams, blocks).astype(np.int64) - first
     result = np.zeros(len(grams), np.uint8)
     active = np.nonzero((place >= 0) & (place < held))[0]
-    level = 1
+    asked, offset, level = grams[active], place[active] * block_bytes, 1
     while len(active):
+        mixed = _first(asked, level)
         for probe in range(3):
-            at = _bits(grams[active], level, block_bytes)[probe].astype(np.int64)
-            cell = shard[place[active] * block_bytes + (at >> 3)]
-            active = active[(cell >> (at & 7).astype(np.uint8)) & 1 > 0]
+            at = _bit(mixed, probe, block_bytes)
+            hit = (shard[offset + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+            active, asked, offset, mixed = active[hit], asked[hit], offset[hit], mixed[hit]
         result[active] = level
         level += 1
     return result
@@ -117,14 +172,25 @@ def _amount(level: np.ndarray) -> np.ndarray:
 
 
 def _counted(rows: DataFrame, of_pairs: bool) -> DataFrame:
-    """n-gram hashes of the texts with their counts, per batch."""
+    """n-gram hashes of the texts with their counts, a bounded number of tokens at a time."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                words, counts = tokens(strings(batch["text"].slice(at, 2048)))
-                grams, n = np.unique(pairs(words, counts) if of_pairs else words, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+            texts = strings(batch["text"])
+            for begin, end in _bundles(texts):
+                words, counts = tokens(texts[begin:end])
+                held.append(pairs(words, counts) if of_pairs else words)
+                size += len(words)
+                if size >= _COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return rows.select("text").mapInArrow(run, "gram long, n long")
 
@@ -152,8 +218,9 @@ def build_filter(grams: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES)
             mine = place == block
             own, own_top, bits = gathered[mine], top[mine], np.zeros(block_bytes * 8, bool)
             for level in range(1, int(own_top.max()) + 1):
-                for at in _bits(own[own_top >= level], level, block_bytes):
-                    bits[at.astype(np.int64)] = True
+                mixed = _first(own[own_top >= level], level)
+                for probe in range(3):
+                    bits[_bit(mixed, probe, block_bytes)] = True
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block)], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])],
                 names=["block", "bits"],
@@ -215,8 +282,9 @@ def score(
 
     def levels_of(words: np.ndarray, counts: np.ndarray, table: np.ndarray, first: int) -> np.ndarray:
         """Levels of words and of pairs, one after the other."""
-        grams = np.concatenate((words, pairs(words, counts)))
-        return levels(table, first, grams, blocks, block_bytes)
+        own, place = np.unique(words, return_inverse=True)
+        word = levels(table, first, own, blocks, block_bytes)[place]
+        return np.concatenate((word, levels(table, first, pairs(words, counts), blocks, block_bytes)))
 
     def before_of(word: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
         before = np.empty_like(word)
@@ -233,10 +301,12 @@ def score(
     def base(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
         """Sum and number of known tokens over the head, and the rest per text."""
         known, amount = head.value
-        at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-        hit = known[at] == words if len(known) else np.zeros(len(words), bool)
-        logs = np.zeros(len(words))
-        logs[hit] = np.log10((amount[at[hit]] + 0.5) / floor)
+        own, place = np.unique(words, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        own_hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+        own_logs = np.zeros(len(own))
+        own_logs[own_hit] = np.log10((amount[at[own_hit]] + 0.5) / floor)
+        hit, logs = own_hit[place], own_logs[place]
         starts = np.cumsum(counts) - counts
         rest = np.split(np.where(hit, np.uint64(0), words), starts[1:])
         missing = [part[~own] for part, own in zip(rest, np.split(hit, starts[1:]), strict=True)]
@@ -249,9 +319,10 @@ def score(
     def first_pass(table) -> object:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    words, counts = tokens(strings(some["text"]))
+                texts = strings(batch["text"])
+                for begin, end in _bundles(texts):
+                    some = batch.slice(begin, end - begin)
+                    words, counts = tokens(texts[begin:end])
                     sums, known, rest = base(words, counts)
                     columns = [
                         some["row"], some["doc_id"], some["held_out"], pa.array(counts.astype(np.int64)),
@@ -306,9 +377,10 @@ def _more_shards(
     def noting(table, first):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    some = batch.slice(at, 256)
-                    words, counts = tokens(strings(some["text"]))
+                texts = strings(batch["text"])
+                for begin, end in _bundles(texts):
+                    some = batch.slice(begin, end - begin)
+                    words, counts = tokens(texts[begin:end])
                     notes = pa.array(_notes(levels_of(words, counts, table.value, first), counts), pa.binary())
                     yield pa.RecordBatch.from_arrays([some["row"], notes], names=["row", "notes"])
 
