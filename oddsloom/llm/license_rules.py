@@ -89,7 +89,7 @@ GPL-2.0; 4; gpl; gnu org licenses (?:old licenses )?gpl 2 0(?: en)?(?: html| txt
 GPL; 4; gpl; gnu org (?:copyleft|licenses) gpl(?: html| txt)?
 GPL; 5; general public; gnu general public license
 GPL; 5; gpl; gnu gpl|gpl licen[cs]ed?
-GPL-classpath-exception; 1; classpath; linking this library statically or dynamically with other modules .{0,200}?classpath exception|classpath exception
+GPL-classpath-exception; 1; classpath; linking this library statically or dynamically with other modules(?: .{0,200}?)? classpath exception|classpath exception
 LGPL-3.0-or-later; 1; lesser general; under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
 LGPL-2.1-or-later; 1; lesser general; under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
 LGPL-3.0; 1; lesser general; (?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu lesser general public license (?:version|v) ?3(?: 0)?
