@@ -16,7 +16,7 @@ SAMPLE = (
     "asof_player_form", "asof_scoped_form", "streak_features", "walk_forward_metrics", "poisson_totals",
     "settled_quotes", "implied_probability", "corridor_lookup", "quote_corridors", "signal_filter_reasons",
     "drawdown_streaks", "market_backtest", "event_matching", "name_resolution", "json_ingest",
-    "rejection_ledger", "alert_dedup", "live_signals", "audit_orphans", "latest_quote_stream",
+    "rejection_ledger", "baseline_probabilities", "temporal_guards", "payload_dedup_stream", "alert_dedup", "live_signals", "audit_orphans", "latest_quote_stream",
 )
 
 
