@@ -1,12 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary texts, one on
-that passages of toxic texts which ordinary texts lack. A window's distance is
-the number of bytes that adding the toxic dictionary to the ordinary one saves.
-Both compressors share the ordinary part, so a window without toxic passages
-compresses alike under both and its distance is close to zero. The distances of
-all windows of a whole text are summed up in a few statistics, which a logistic
-curve, fitted on labelled rows that no dictionary has seen, turns into a score.
+Two separate zstandard dictionaries are trained, one on windows of toxic texts and
+one on windows of ordinary ones. A window's distance is the number of bytes that
+the toxic dictionary saves against the ordinary one. A second distance tells
+single words better: the bytes saved by putting a list of words that toxic texts
+hold more often (raw content, not trained) before windows of ordinary texts. The
+two distances of all windows of a whole text are summed up in a few statistics
+each, which a logistic curve, fitted on labelled rows that no dictionary has
+seen, turns into a score. The README has the figures of each distance alone.
 
 Labels are only read outside the held-out fold (fold 0). Fitting uses a bounded
 sample of labelled rows; scoring reads every byte of every text.
@@ -30,8 +31,10 @@ from oddsloom.session import materialize
 SAMPLE = 6000
 #: Bytes of a window and of the step to the next; a word of up to WINDOW - STEP bytes is whole in some window.
 WINDOW, STEP = 64, 40
-ORDINARY_BYTES, TOXIC_PASSAGES = 40_000, 4000
-#: Candidates for the least evidence, as the lower bound of a log ratio, that a passage is toxic.
+ORDINARY_BYTES, TOXIC_WORDS = 40_000, 4000
+#: Size of a trained dictionary, and windows of each class that it is trained on at most.
+BOOK_BYTES, BOOK_WINDOWS = 16_000, 40_000
+#: Candidates for the least evidence, as the lower bound of a log ratio, that a word is toxic.
 EVIDENCE = (1.5, 2.0, 2.5, 3.0)
 _EDGE = b".,!?;:\"'()[]|#$%&*"
 _BUNDLE = 20_000
@@ -45,9 +48,9 @@ def windows(raw: bytes) -> Iterator[list[bytes]]:
 
 
 class Distances:
-    """Compressors over the ordinary dictionary alone and over it with one of several toxic ones before it."""
+    """Compressors over the two trained dictionaries, and over ordinary windows with each of several word lists before."""
 
-    def __init__(self, ordinary: bytes, toxic: list[bytes]) -> None:
+    def __init__(self, trained: tuple[bytes, bytes], ordinary: bytes, words: list[bytes]) -> None:
         parameters = zstandard.ZstdCompressionParameters(
             window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=32,
             strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False,
@@ -55,11 +58,13 @@ class Distances:
         )
 
         def compressor(content: bytes) -> zstandard.ZstdCompressor:
-            book = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            book = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_AUTO)
             book.precompute_compress(compression_params=parameters)
             return zstandard.ZstdCompressor(dict_data=book, compression_params=parameters)
 
-        self.plain, self.others = compressor(ordinary), [compressor(book + ordinary) for book in toxic]
+        plain = compressor(ordinary)
+        self.pairs = [(compressor(trained[0]), compressor(trained[1]))]
+        self.pairs += [(plain, compressor(book + ordinary)) for book in words]
 
     @staticmethod
     def _lengths(compressor: zstandard.ZstdCompressor, bundle: list[bytes]) -> np.ndarray:
@@ -67,19 +72,19 @@ class Distances:
         return np.fromiter((len(packed[i]) for i in range(len(packed))), np.int64, len(bundle))
 
     def statistics(self, texts: list[str]) -> np.ndarray:
-        """Per text and toxic dictionary: what a logistic curve reads."""
+        """Per text and pair of dictionaries, the trained ones first: what a logistic curve reads."""
         raws = [text.encode("utf-8", "replace").lower() for text in texts]
-        sums = np.zeros((len(raws), len(self.others), 4))
-        best = np.zeros((len(raws), len(self.others), 3))
+        sums = np.zeros((len(raws), len(self.pairs), 4))
+        best = np.zeros((len(raws), len(self.pairs), 3))
         bundle: list[bytes] = []
         owners: list[int] = []
 
         def flush() -> None:
             owner = np.array(owners)
             places, starts = np.unique(owner, return_index=True)
-            plain = self._lengths(self.plain, bundle)
-            for kind, other in enumerate(self.others):
-                saved = (plain - self._lengths(other, bundle)).astype(float)
+            lengths = {first: self._lengths(first, bundle) for first in dict.fromkeys(first for first, _ in self.pairs)}
+            for kind, (first, other) in enumerate(self.pairs):
+                saved = (lengths[first] - self._lengths(other, bundle)).astype(float)
                 columns = (np.ones(len(saved)), saved, saved >= 3, np.where(saved > 2, saved, 0))
                 for column, values in enumerate(columns):
                     sums[places, kind, column] += np.add.reduceat(np.asarray(values, float), starts)
@@ -112,8 +117,9 @@ class Distances:
 class Model:
     """Dictionaries and a logistic curve; without weights every score is ``constant``."""
 
+    trained: tuple[bytes, bytes]
     ordinary: bytes
-    toxic: bytes
+    words: bytes
     weights: np.ndarray | None
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
@@ -122,7 +128,8 @@ class Model:
     def scores(self, distances: Distances, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.constant)
-        return _curve(_design(distances.statistics(texts)[:, 0], self.centre, self.scale), self.weights)
+        values = distances.statistics(texts).reshape(len(texts), -1)
+        return _curve(_design(values, self.centre, self.scale), self.weights)
 
 
 def _design(values: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -171,7 +178,7 @@ def _sample(docs: DataFrame, labels: DataFrame, column: str, size: int) -> DataF
     return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "part").agg(F.min("text").alias("text"))
 
 
-def _passages(rows: DataFrame) -> list[tuple[bytes, float, int]]:
+def _words(rows: DataFrame) -> list[tuple[bytes, float, int]]:
     """Words that toxic texts hold more often than ordinary ones: word, evidence, toxic texts; bounded in number."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +197,7 @@ def _passages(rows: DataFrame) -> list[tuple[bytes, float, int]]:
     evidence = ratio - 1.5 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = (
         counted.where("a >= 3").withColumn("evidence", evidence).where(F.col("evidence") >= min(EVIDENCE))
-        .orderBy(F.desc("evidence"), "word").limit(TOXIC_PASSAGES)
+        .orderBy(F.desc("evidence"), "word").limit(TOXIC_WORDS)
     )
     return [(bytes(row.word), row.evidence, row.a) for row in best.collect()]
 
@@ -216,18 +223,43 @@ def _ordinary(rows: DataFrame) -> bytes:
     return b" ".join(bytes(row.drawn) for row in kept)
 
 
+def _trained(rows: DataFrame, label: int) -> bytes:
+    """A dictionary trained on windows from all over the texts of a class; where they are too few, the windows themselves."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                raw = text.encode("utf-8", "replace").lower()
+                rng = np.random.default_rng([doc_id & 0xFFFFFFFF, 1])
+                for at in range(0, len(raw), WINDOW * _BUNDLE):
+                    part = raw[at : at + WINDOW * _BUNDLE]
+                    drawn = [part[begin : begin + WINDOW] for begin in range(0, len(part), WINDOW)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(drawn, pa.binary()), pa.array(rng.random(len(drawn)), pa.float64())],
+                        names=["drawn", "place"],
+                    )
+
+    drawn = rows.where(F.col("label") == label).mapInArrow(run, "drawn binary, place double")
+    kept = [bytes(row.drawn) for row in drawn.orderBy("place", "drawn").limit(BOOK_WINDOWS).collect()]
+    try:
+        return zstandard.train_dictionary(BOOK_BYTES, kept).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(kept)[:BOOK_BYTES]
+
+
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", size: int = SAMPLE) -> Model:
     """Train dictionaries and curve. Without labelled rows of both classes the score is constant."""
     rows = materialize(_sample(docs, labels, column, size), "labelled")
     first, second = rows.where("part = 0"), rows.where("part = 1")
-    ordinary, passages = _ordinary(first), _passages(first)
+    trained = (_trained(first, 0), _trained(first, 1))
+    ordinary, words = _ordinary(first), _words(first)
     books = []
     for least in EVIDENCE:
-        chosen = sorted((n, word) for word, evidence, n in passages if evidence >= least)
+        chosen = sorted((n, word) for word, evidence, n in words if evidence >= least)
         books.append(b"".join(b" " + word + b" " for _, word in chosen))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(ordinary, books)
+        distances = Distances(trained, ordinary, books)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
@@ -238,21 +270,21 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", size: int = S
 
     seen = second.select("label", "text").mapInArrow(run, "label int, statistics array<double>").collect()
     label = np.array([row.label for row in seen], float)
-    if not passages or len(set(label.tolist())) < 2:
+    if not all(trained) or len(set(label.tolist())) < 2:
         share = float(label.mean()) if len(label) else 0.0
-        return Model(ordinary, b"", None, constant=share)
-    values = np.array([row.statistics for row in seen]).reshape(len(seen), len(books), -1)
-    fitted = [_fit_curve(values[:, kind], label) for kind in range(len(books))]
+        return Model(trained, ordinary, b"", None, constant=share)
+    values = np.array([row.statistics for row in seen]).reshape(len(seen), 1 + len(books), -1)
+    fitted = [_fit_curve(values[:, [0, kind]].reshape(len(seen), -1), label) for kind in range(1, 1 + len(books))]
     chosen = int(np.argmin([loss for *_, loss in fitted]))
     weights, centre, scale, _ = fitted[chosen]
-    return Model(ordinary, books[chosen], weights, centre, scale)
+    return Model(trained, ordinary, books[chosen], weights, centre, scale)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted for each whole text; null texts count as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distances = Distances(model.ordinary, [model.toxic])
+        distances = Distances(model.trained, model.ordinary, [model.words])
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)

@@ -349,6 +349,28 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity_zstd.score(every, none).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("script", ["phrase", "no spaces"])
+def test_toxicity_of_passages_without_toxic_words(spark, script):
+    """The same words, or characters, in ordinary texts too: only their order in long passages tells."""
+    rng = np.random.default_rng(6)
+    if script == "phrase":
+        units, glue = [w + str(i) for w in WORDS for i in range(4)], " "
+    else:
+        units, glue = [chr(0x4E00 + 37 * i) for i in range(64)], ""
+    bad = [glue.join(rng.permutation(units)[:10]) for _ in range(3)]
+    rows = []
+    for i in range(600):
+        words = [units[k] for k in rng.integers(0, 64, 80)]
+        if i % 4 == 0:
+            for at in rng.integers(0, 80, 3):
+                words[at] = bad[int(rng.integers(0, 3))]
+        rows.append((i, glue.join(words)))
+    marked = labels_of(spark, [(i, int(i % 4 == 0), "x") for i in range(600)], "toxic")
+    every = docs(spark, rows)
+    held = [r for r in toxicity_zstd.score(every, toxicity_zstd.fit(every, marked)).collect() if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.9 * len(held)
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     passage = prose(5000, 45)
     rows = [(i, prose(i, 120) + ".", "en", "s", 1) for i in range(60)]
