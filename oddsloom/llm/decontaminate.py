@@ -7,7 +7,9 @@ seeds of a passage that lie close together have a small share of the weight of
 all its seeds, document and passage are aligned by Smith-Waterman over words.
 The share is relative, so a passage that was copied often, or edited alike in
 many copies, is found as well. The score is the alignment's share of a perfect
-one, so inserted, deleted and replaced words lower it step by step.
+one, so inserted, deleted and replaced words lower it step by step. Long items
+are also cut into short overlapping parts, so that an excerpt of a fixed number
+of words is found however long its item is; a part's score is that of the part.
 
 Only passages travel to the tasks, in shards of a fixed number of words; each
 further shard is a further pass, so what is broadcast does not grow. Words are
@@ -32,6 +34,9 @@ PASSAGE, STRIDE = 256, 128
 #: Words of all passages that one pass broadcasts (8 bytes each, and as much for the seeds).
 SHARD_WORDS = 1_000_000
 THRESHOLD = 0.4
+#: Words of a part of a long item, by how many the next starts later, and matched words that are worth a find in one.
+#: Any excerpt of ENOUGH words is whole in some part, and items of up to ENOUGH / THRESHOLD words need no parts.
+PART, PART_STRIDE, ENOUGH = 50, 25, 25
 #: Share of the weight of a passage's seeds that is worth an alignment.
 SEED_SHARE = 0.05
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
@@ -96,10 +101,11 @@ class Seeds:
     """Passages of one shard, and the sorted hashes of their seeds with their weights."""
 
     def __init__(
-        self, passages: list[tuple[int | None, np.ndarray]], seeds: list[np.ndarray], weights: list[np.ndarray]
+        self, passages: list[tuple[int | None, int, np.ndarray]], seeds: list[np.ndarray], weights: list[np.ndarray]
     ) -> None:
-        self.items = [item for item, _ in passages]
-        self.words = [words for _, words in passages]
+        self.items = [item for item, _, _ in passages]
+        self.parts = [number < 0 for _, number, _ in passages]
+        self.words = [words for _, _, words in passages]
         hashes = np.concatenate([*seeds, np.empty(0, np.uint64)])
         owners = np.repeat(np.arange(len(seeds)), [len(own) for own in seeds])
         order = np.argsort(hashes, kind="stable")
@@ -120,10 +126,14 @@ class Seeds:
         return np.repeat(places, sizes), at
 
     def matches(self, text: str, threshold: float) -> dict[int | None, tuple[float, int, int]]:
-        """Per item found in a text: score, and first and last word of the window part that ends the alignment."""
+        """Per item found in a text: score, and first and last word of the window part that ends the alignment.
+
+        Parts of an item only count where no whole passage of it is found.
+        """
         words = word_hashes(text)
         places, seeds = self.hits(gram_hashes(words))
         found: dict[int | None, tuple[float, int, int]] = {}
+        in_parts: dict[int | None, tuple[float, int, int]] = {}
         if not len(places):
             return found
         reached = np.bincount(self.owners[seeds], self.weights[seeds], len(self.words)) >= self.wanted
@@ -138,14 +148,15 @@ class Seeds:
                 end = min(len(words), int(cluster[-1]) + GRAM + len(passage))
                 best, last = align(passage, words[begin:end])
                 score = best / (_MATCH * len(passage))
-                known = found.get(self.items[owner])
-                if score >= threshold and (known is None or score > known[0]):
-                    found[self.items[owner]] = (score, max(begin, begin + last - len(passage)), begin + last)
-        return found
+                kept, least = (in_parts, max(threshold, ENOUGH / PART)) if self.parts[owner] else (found, threshold)
+                known = kept.get(self.items[owner])
+                if score >= least and (known is None or score > known[0]):
+                    kept[self.items[owner]] = (score, max(begin, begin + last - len(passage)), begin + last)
+        return {**in_parts, **found}
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
-    """item_id, passage number and word hashes (as signed longs) of all items of enough words."""
+    """item_id, number and word hashes (as signed longs) of all items of enough words; parts have numbers below zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +169,12 @@ def passages(benchmark: DataFrame) -> DataFrame:
                         items.append(item)
                         numbers.append(number)
                         words.append(hashes[number * STRIDE : number * STRIDE + PASSAGE].view(np.int64))
+                    if len(hashes) * THRESHOLD > ENOUGH:
+                        for number in range(1 - (-(len(hashes) - PART) // PART_STRIDE)):
+                            begin = min(number * PART_STRIDE, len(hashes) - PART)
+                            items.append(item)
+                            numbers.append(-1 - number)
+                            words.append(hashes[begin : begin + PART].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(items, pa.int64()), pa.array(numbers, pa.int64()), pa.array(words, pa.list_(pa.int64()))],
                 names=["item_id", "number", "words"],
@@ -193,16 +210,16 @@ def _frequencies(texts: DataFrame, wanted: np.ndarray) -> dict[int, int]:
 
 
 def shards(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS) -> Iterator[Seeds]:
-    """Passages with their seeds, a bounded number of words at a time."""
+    """Passages with their seeds, about ``shard_words`` words at a time; an item's passages and parts stay together."""
     cut = passages(benchmark)
     total = cut.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     count = max(1, -(-total // shard_words))
     rows_read = docs.count() if total else 0
-    part = F.pmod(F.xxhash64("item_id", "number"), F.lit(count))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(count))
     for shard in range(count if total else 0):
         rows = cut.where(part == shard).orderBy("item_id", "number").collect()
-        held = [(row.item_id, np.array(row.words, np.int64).view(np.uint64)) for row in rows]
-        grams = [np.unique(gram_hashes(words)) for _, words in held]
+        held = [(row.item_id, row.number, np.array(row.words, np.int64).view(np.uint64)) for row in rows]
+        grams = [np.unique(gram_hashes(words)) for _, _, words in held]
         wanted = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]))
         known = _frequencies(docs, wanted)
         often = [np.array([known.get(int(at), 0) for at in np.searchsorted(wanted, own)]) for own in grams]

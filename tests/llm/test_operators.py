@@ -274,6 +274,27 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, []), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("length", [63, 100, 250, 256, 700])
+def test_excerpts_of_long_items(spark, length):
+    """Excerpts of 60 and of 25 words from anywhere in an item, also ones copied into many documents."""
+    item = prose(3000 + length, length).split()
+    rows = [(i, prose(i, 150)) for i in range(30)]
+    want = set()
+    for size in (60, 25):
+        for n, begin in enumerate(sorted({*range(0, length - size, 17), length - size})):
+            rows.append((100 * size + n, " ".join([prose(n, 70), *item[begin : begin + size], prose(n + 9, 70)])))
+            want.add(100 * size + n)
+    copied = " ".join(item[length // 3 : length // 3 + 40])
+    rows += [(100_000 + n, prose(400 + n, 30) + " " + copied) for n in range(60)]
+    want |= {100_000 + n for n in range(60)}
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, prose(1, 250) + "x")], "item_id long, text string")
+    every = docs(spark, rows)
+    found = [row for row in decontaminate.find(every, benchmark).collect() if row.item_id == 0]
+    assert sorted(row.doc_id for row in found) == sorted(want)
+    clean = {row.doc_id for row in decontaminate.drop_contaminated(every, benchmark.where("item_id = 0")).collect()}
+    assert clean == {doc_id for doc_id, _ in rows} - want
+
+
 def test_alignment_equals_direct_table():
     rng = np.random.default_rng(2)
     for _ in range(30):
