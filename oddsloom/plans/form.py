@@ -92,20 +92,30 @@ _SCOPED_PAIRS = f"""p AS (
     OR (s.scope = 'tournament' AND h.tournament_key IS NOT DISTINCT FROM t.tournament_key))"""
 
 
-@query("asof_scoped_form", f"""{bindings.with_views('matches')}, {SIDES},
+def _scoped_sql(sizes: str) -> str:
+    return f"""{bindings.with_views('matches')}, {SIDES},
 s AS (SELECT unnest(['source', 'game', 'tournament', 'format']) AS scope), {_SCOPED_PAIRS},
-w AS (SELECT unnest([10, 0]) AS last_n)
+w AS ({sizes})
 SELECT s.scope, t.event_id, t.side, w.last_n,
 {_metrics_sql()}
 FROM t CROSS JOIN s CROSS JOIN w
 LEFT JOIN p ON p.scope = s.scope AND p.event_id = t.event_id AND p.side = t.side AND (w.last_n = 0 OR p.rn <= w.last_n)
-GROUP BY s.scope, t.event_id, t.side, w.last_n""")
+GROUP BY s.scope, t.event_id, t.side, w.last_n"""
+
+
+@query("asof_scoped_form", _scoped_sql("SELECT unnest([10, 0]) AS last_n"))
 def asof_scoped_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes compare null-safely: a null tournament or format equals a null one."""
     form = _form(spark, sf_dir, scopes=_SCOPED, windows=(10,))
     return rounded(form.drop("cutoff_at"))
 
 
+@query("asof_scoped_form_all_windows", _scoped_sql(SIZES))
+def asof_scoped_form_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = _form(spark, sf_dir, scopes=_SCOPED)
+    return rounded(form.drop("cutoff_at"))
+
+
 @query("asof_h2h_form", f"""{bindings.with_views('matches')}, {DIRECTED}, {PAIR_PAIRS}, w AS ({SIZES}),
 s AS (SELECT unnest(['h2h', 'h2h_same_direction']) AS scope)
 SELECT s.scope, t.event_id, w.last_n,
@@ -132,7 +142,8 @@ _TEAMS = """m AS (SELECT *, CASE WHEN event_id % 7 <> 0 THEN CAST((player1 + eve
   CASE WHEN event_id % 5 <> 0 THEN CAST((player2 + event_id) % 2 AS VARCHAR) END AS team2 FROM matches)"""
 
 
-@query("asof_team_form", f"""{bindings.with_views('matches')}, {_TEAMS},
+def _team_sql(sizes: str) -> str:
+    return f"""{bindings.with_views('matches')}, {_TEAMS},
 g AS (
   SELECT event_id, started_at, available_at, sport, player1 AS one, team1 AS t1, player2 AS two, team2 AS t2, score1 AS gf, score2 AS ga FROM m
   UNION ALL
@@ -146,22 +157,34 @@ p AS (
          row_number() OVER (PARTITION BY t.scope, t.event_id, t.side {LATEST}) AS rn
   FROM k t JOIN g h ON h.one = t.one AND h.t1 = t.t1 AND {ELIGIBLE}
    AND (t.scope = 'player_team' OR (h.two = t.two AND h.t2 = t.t2))),
-w AS (SELECT unnest([5, 25, 0]) AS last_n)
+w AS ({sizes})
 SELECT k.scope, k.event_id, k.side, w.last_n,
 {_metrics_sql()}
 FROM k CROSS JOIN w
 LEFT JOIN p ON p.scope = k.scope AND p.event_id = k.event_id AND p.side = k.side AND (w.last_n = 0 OR p.rn <= w.last_n)
-GROUP BY k.scope, k.event_id, k.side, w.last_n""")
-def asof_team_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+GROUP BY k.scope, k.event_id, k.side, w.last_n"""
+
+
+def _team_form(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     form = asof.last_n_form(
         with_teams(bindings.matches(spark, sf_dir)),
         with_teams(bindings.match_targets(spark, sf_dir)),
         scopes=("player_team", "player_team_h2h"),
-        windows=(5, 25),
+        **options,
     )
     return rounded(form.drop("cutoff_at"))
 
 
+@query("asof_team_form", _team_sql("SELECT unnest([5, 25, 0]) AS last_n"))
+def asof_team_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _team_form(spark, sf_dir, windows=(5, 25))
+
+
+@query("asof_team_form_all_windows", _team_sql(SIZES))
+def asof_team_form_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _team_form(spark, sf_dir)
+
+
 _SESSION_SQL = f"""{bindings.with_views('matches')}, {SIDES}, {PLAYER_PAIRS},
 gaps AS (SELECT *, CASE WHEN lag(started_at) OVER o - started_at > INTERVAL 45 MINUTE THEN 1 ELSE 0 END AS brk
   FROM p WINDOW o AS (PARTITION BY event_id, side ORDER BY rn)),

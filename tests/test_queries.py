@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from oddsloom.operators.asof import WINDOWS
 from oddsloom.plans.catalog import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,6 +52,13 @@ def test_query_equals_its_sql(spark, db, name):
     assert shaped(frame.columns, frame.collect()) == shaped(columns, cursor.fetchall())
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["asof_scoped_form_all_windows", "asof_team_form_all_windows"])
+def test_every_window_in_every_scope(spark, db, name):
+    test_query_equals_its_sql(spark, db, name)
+    assert {row.last_n for row in QUERIES[name](spark, SMALL).select("last_n").distinct().collect()} == {*WINDOWS, 0}
+
+
 @needs_data
 def test_contract(spark):
     assert contract.entry(spark).count() > 0
