@@ -62,7 +62,7 @@ BSD-3-Clause; 2; spdx; spdx license identifier bsd 3 clause(?: clear)?
 BSD-3-Clause; 3; bsd; bsd 3 clause(?: license)?|3 clause bsd(?: license)?|three clause bsd(?: license)?
 BSD-3-Clause; 4; bsd; opensource org licenses? bsd 3 clause
 BSD-3-Clause; 5; bsd; (?:new|modified|revised) bsd license
-BSD-4-Clause; 1; copyright; all advertising materials mentioning features or use of this software must display the following acknowledge?ment(?= copyright)
+BSD-4-Clause; 1; advertising materials; all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 BSD-4-Clause; 2; spdx; spdx license identifier bsd 4 clause(?: uc)?
 BSD-4-Clause; 3; bsd; bsd 4 clause(?: license)?|original bsd license|four clause bsd(?: license)?
 BSD; 1; bsd; use of this source code is governed by a bsd style license
@@ -103,7 +103,7 @@ LGPL-2.0; 3; library general; (?:gnu )?library general public license(?: (?:vers
 LGPL-3.0; 3; lgpl; lgpl ?v?3(?: 0)?|lgpl version 3
 LGPL-2.1; 3; lgpl; lgpl ?v?2 1|lgpl version 2 1
 LGPL-3.0; 4; lgpl; gnu org licenses lgpl 3 0(?: en)?(?: html| txt)?
-LGPL; 4; lgpl; gnu org (?:copyleft|licenses) (?:lesser|lgpl)(?: html| txt)?(?= lgpl)|gnu org (?:copyleft|licenses) lgpl(?: html| txt)?
+LGPL; 4; gnu org; gnu org (?:copyleft|licenses) (?:lesser|lgpl)(?: html| txt)?
 LGPL; 5; lesser general; (?:gnu )?lesser general public license
 LGPL; 5; lgpl; gnu lgpl|lgpl licen[cs]ed?
 AGPL-3.0-or-later; 1; affero general; under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
@@ -147,7 +147,8 @@ CDDL-1.0; 3; development and distribution; common development and distribution l
 CDDL; 5; development and distribution; common development and distribution license
 CPL-1.0; 2; spdx; spdx license identifier cpl 1 0
 CPL-1.0; 3; license; common public license(?: version| v)? ?1(?: 0)?
-EUPL-1.2; 1; european union; licensed under the (?:eupl|european union public licen[cs]e)(?: version| v)? ?1 2(?= european union)|european union public licen[cs]e(?: version| v)? ?1 2
+EUPL-1.2; 1; eupl; licensed under the eupl(?: version| v)? ?1 2
+EUPL-1.2; 1; european union; (?:licensed under the )?european union public licen[cs]e(?: version| v)? ?1 2
 EUPL-1.2; 2; spdx; spdx license identifier eupl 1 2
 EUPL-1.1; 3; european union; european union public licen[cs]e(?: version| v)? ?1 1
 EUPL; 5; european union; european union public licen[cs]e
@@ -261,7 +262,7 @@ Beerware; 1; license; beer ?ware license
 JSON; 1; license; json license
 Proprietary; 1; copyright; copyright .{0,80}?all rights reserved
 Proprietary; 1; permission; no part of this (?:publication|work|document) may be reproduced .{0,120}?without (?:the )?(?:prior )?(?:written )?permission
-Proprietary; 5; copyright; (?:strictly )?confidential and proprietary(?= copyright)
+Proprietary; 5; confidential and proprietary; (?:strictly )?confidential and proprietary
 Unknown; 5; licensed under; licensed under (?:the )?(?:terms of )?[^ ]+(?: [^ ]+){0,3}? licen[cs]e
 """
 

@@ -97,6 +97,17 @@ def test_license_suppression_equals_direct_rule(spark):
         assert x.kept == (not stronger)
 
 
+def test_license_rules_need_no_keyword_behind_the_match(spark):
+    rows = [
+        (1, "All advertising materials mentioning features or use of this software must display the following "
+            "acknowledgement: This product includes software developed by the University."),
+        (2, "Licensed under the EUPL, 1.2"), (3, "This file is strictly confidential and proprietary."),
+        (4, "see www.gnu.org/copyleft/lesser.html"), (5, "licensed under the European Union Public Licence v1.2"),
+    ]
+    found = {row.doc_id: row.labels for row in license_scan.summary(license_scan.detect(docs(spark, rows))).collect()}
+    assert found == {1: "BSD-4-Clause", 2: "EUPL-1.2", 3: "Proprietary", 4: "LGPL", 5: "EUPL-1.2"}
+
+
 def luhn(digits):
     values = [int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(digits))]
     return sum(values) % 10 == 0
