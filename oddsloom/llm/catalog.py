@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oddsloom.llm import block_knn, bloom_lm, bpe_tree, decontaminate, license_scan, pii_bootstrap, quality_qda, secret_ledger, simhash_gray, toxicity_zstd
+from oddsloom.llm import (
+    block_knn,
+    bloom_lm,
+    bpe_tree,
+    decontaminate,
+    license_scan,
+    merkle_butterfly,
+    pii_bootstrap,
+    quality_qda,
+    secret_ledger,
+    simhash_gray,
+    toxicity_zstd,
+)
 from oddsloom.llm.common import read, tokenizer_path
 from oddsloom.session import materialize, scratch_path
 
@@ -94,3 +106,80 @@ def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second row, by the checksum of its id, is held against a copy without line ends."""
+    altered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    copy_text = F.when(altered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_butterfly.digest(merkle_butterfly.verify(read(spark, sf_dir, "documents"), copy_text))
+
+
+#: The list of the 256 steps of crc32, and the checksum of a list of bytes read off it.
+_CRC_STEPS = """list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+def _crc32(bytes_: str, steps: str = "t") -> str:
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), "
+        f"lambda c, b: xor(c >> 8, {steps}[(xor(c, b) & 255) + 1])))"
+    )
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """Trees of up to 3 ** levels leaves; nodes that are alone stay, others become their run's digest."""
+    doc_bytes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))"
+
+    def field(name: str) -> str:
+        return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+    def hashed(text: str) -> str:
+        return f"sha256({' || '.join([field(n) for n in ('doc_id', 'source', 'lang', 'n_chars')] + [text])})"
+
+    parts = [
+        f"""WITH steps AS (SELECT {_CRC_STEPS} AS t), docs AS (
+            SELECT doc_id, source, {hashed(field("text"))} AS leaf,
+                CASE WHEN {_crc32(doc_bytes)} % 2 = 0 THEN {hashed(field("replace(text, chr(10), '')"))}
+                    ELSE {hashed(field("text"))} END AS claimed
+            FROM documents, steps
+        ), d0 AS (
+            SELECT doc_id, source, leaf, claimed AS cur, leaf AS node, '' AS beside,
+                row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot
+            FROM docs)"""
+    ]
+
+    def climb(table: str, step: int, key: str) -> str:
+        """The next level: each row knows its node, its number, the folded value and all siblings so far."""
+        return f"""
+        , n{table}{step} AS (SELECT DISTINCT {key}, spot, node FROM {table}{step}),
+        r{table}{step} AS (
+            SELECT {key}, spot // 3 AS up, string_agg(node, '' ORDER BY spot) AS run, list(node ORDER BY spot) AS nodes,
+                max(max(spot)) OVER (PARTITION BY {key}) AS most
+            FROM n{table}{step} GROUP BY {key}, spot // 3
+        ), {table}{step + 1} AS (
+            SELECT d.doc_id, d.source, d.leaf,
+                CASE WHEN most = 0 THEN d.cur ELSE sha256(array_to_string(nodes[:d.spot % 3], '') || d.cur
+                    || array_to_string(nodes[d.spot % 3 + 2:], '')) END AS cur,
+                CASE WHEN most = 0 THEN d.node ELSE sha256(run) END AS node,
+                CASE WHEN most = 0 THEN beside ELSE beside || array_to_string(nodes[:d.spot % 3], '')
+                    || array_to_string(nodes[d.spot % 3 + 2:], '') END AS beside,
+                up AS spot{", d.subroot, d.one" if table == "s" else ""}
+            FROM {table}{step} d JOIN r{table}{step} r
+                ON d.{key} IS NOT DISTINCT FROM r.{key} AND d.spot // 3 = r.up)"""
+
+    parts += [climb("d", step, "source") for step in range(levels)]
+    parts.append(
+        f""", s0 AS (SELECT doc_id, source, leaf, cur, node, beside, node AS subroot, 1 AS one,
+            dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS spot FROM d{levels})"""
+    )
+    parts += [climb("s", step, "one") for step in range(levels)]
+    parts.append(
+        f""" SELECT doc_id, leaf, subroot, node AS root, sha256(beside) AS proof_sha256, cur AS folded_root,
+            cur = node AS verified FROM s{levels}"""
+    )
+    return "".join(parts)
+
+
+LLM_ORACLES["op13_merkle_butterfly"] = _merkle_sql()
