@@ -17,6 +17,7 @@ from oddsloom.llm import (
     merkle_butterfly,
     pii_bootstrap,
     quality_qda,
+    repair_ids,
     secret_ledger,
     simhash_gray,
     toxicity_zstd,
@@ -108,6 +109,11 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(read(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.summary(repair_ids.write(read(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 @_query
 def op13_merkle_butterfly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second row, by the checksum of its id, is held against a copy without line ends."""
