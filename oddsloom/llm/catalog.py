@@ -20,6 +20,7 @@ from oddsloom.llm import (
     repair_ids,
     secret_ledger,
     simhash_gray,
+    spelling_trie,
     toxicity_zstd,
 )
 from oddsloom.llm.common import read, tokenizer_path
@@ -189,3 +190,44 @@ def _merkle_sql(levels: int = 12) -> str:
 
 
 LLM_ORACLES["op13_merkle_butterfly"] = _merkle_sql()
+
+
+@_query
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = materialize(spelling_trie.count_words(read(spark, sf_dir, "documents")), "words")
+    return spelling_trie.variants(words)
+
+
+#: UTF-8 of id and run; runs hold letters up to U+00FF only.
+_RUN_BYTES = """flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x:
+    CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195::BIGINT, CAST(unicode(x) - 64 AS BIGINT)] END))"""
+
+LLM_ORACLES["op12_spelling_trie"] = f"""
+WITH RECURSIVE steps AS (SELECT {_CRC_STEPS} AS t), runs AS (
+    SELECT doc_id, translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS piece FROM documents)
+    WHERE length(piece) >= 6 GROUP BY ALL
+), hashed AS (SELECT run, k, {_crc32(_RUN_BYTES)} AS h FROM runs, steps), words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+        CAST(sum(k) AS BIGINT) AS n
+    FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+), places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words), cuts AS (
+    SELECT word, n, substr(word, 1, i - 1) || '_' || substr(word, i + 1) AS hole,
+        substr(word, 1, i - 1) || substr(word, i + 1) AS less
+    FROM places
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+        CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+    FROM words w LEFT JOIN best b ON w.word = b.word
+), chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NOT NULL
+), ends AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON c.at = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
