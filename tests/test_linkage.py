@@ -126,50 +126,66 @@ def clock_distance(a, b):
     return max(60.0, abs((a - b).total_seconds()))
 
 
-def test_nearest_holds_the_two_best(spark):
+def test_nearest_are_the_two_best(spark):
     rng = random.Random(3)
+
     def rows(n, first):
-        return [(first + i, T0 + timedelta(seconds=rng.randrange(9000)), rng.choice("ab")) for i in range(n)]
+        """Dense minutes, equal moments and places on the edges of slots."""
+        return [
+            (first + i, T0 + timedelta(seconds=rng.choice([rng.randrange(9000), 60 * rng.randrange(150), 1800, 3600, 3605])), rng.choice("aab"))
+            for i in range(n)
+        ]
+
     left, right = rows(150, 0), rows(250, 1000)
     s = spark.createDataFrame(left, "source_id long, at timestamp, k string")
     c = spark.createDataFrame(right, "candidate_id long, at timestamp, k string")
-    found = {}
-    for r in nearest(s, c, keys=("k",)).collect():
-        found.setdefault(r.source_id, set()).add(r.candidate_id)
-    for sid, at, key in left:
-        near = sorted((clock_distance(at, t), cid) for cid, t, k in right if k == key and abs((at - t).total_seconds()) <= 1800)
-        assert {cid for _, cid in near[:2]} <= found.get(sid, set())
-        assert found.get(sid, set()) <= {cid for _, cid in near} and len(found.get(sid, ())) <= 7
+    salted = c.withColumn("salt", F.col("candidate_id") % 3), s.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    for found in (nearest(s, c, keys=("k",)), nearest(salted[1], salted[0], keys=("k",), salt="salt")):
+        got = {(r.source_id, r.rank): (r.candidate_id, r.gap) for r in found.collect()}
+        want = {}
+        for sid, at, key in left:
+            near = sorted((clock_distance(at, t), cid) for cid, t, k in right if k == key and abs((at - t).total_seconds()) <= 1800)
+            want |= {(sid, rank): (cid, gap * 1e6) for rank, (gap, cid) in enumerate(near[:2], 1)}
+        assert got == want
 
 
 def brute(sources, books):
-    """Best and second among events of the same player pair."""
+    """Best and second of all events within half an hour."""
     out = {}
-    for sid, at, p1, p2, fam in sources:
+    for sid, at, p1, p2, fam, name in sources:
         scored = []
-        for bid, bt, q1, q2, bfam in books:
+        for bid, bt, q1, q2, bfam, bname in books:
             dt = abs((at - bt).total_seconds())
-            if {p1, p2} != {q1, q2} or dt > 1800:
+            if dt > 1800 or None in (p1, p2, q1, q2):
                 continue
             t = 1.0 if dt <= 60 else 1 - (dt - 60) / 1200 if dt <= 300 else 0.8 - 0.3 * (dt - 300) / 600 if dt <= 900 else 0.5 * (1800 - dt) / 900
-            name = 1.0 if fam and fam == bfam else 0.0
-            scored.append((-(0.5 + 0.2 * name + 0.2 * t) / 0.9, bid))
-        scored.sort()
+            if fam and bfam:
+                tour = float(fam == bfam)
+            else:
+                tour = ratio(name.lower(), bname.lower()) if name and bname else 0.0
+            sides = max((p1 == q1) + (p2 == q2), (p1 == q2) + (p2 == q1))
+            scored.append((-(0.25 * sides + 0.2 * tour + 0.2 * t) / 0.9, bid))
+        scored.sort(key=lambda pair: (round(pair[0], 12), pair[1]))
         if scored:
             out[sid] = (scored[0][1], round(-scored[0][0], 9), round(-scored[1][0], 9) if len(scored) > 1 else 0.0)
     return out
 
 
-def test_matching_equals_all_pairs_on_a_dense_pair(spark):
-    rng = random.Random(4)
+@pytest.mark.parametrize("seed", [4, 5])
+def test_matching_equals_all_pairs(spark, seed):
+    """Busy and rare players, families known and not, names that resemble each other, dense minutes."""
+    rng = random.Random(seed)
+
     def rows(n, first):
         out = []
         for i in range(n):
-            pair = rng.choice([("A", "B"), ("B", "A"), ("A", "B"), ("C", "D")])
-            out.append((first + i, T0 + timedelta(seconds=rng.randrange(12000)), *pair, rng.choice(["f", "g", None])))
+            pair = rng.choice([("A", "B"), ("B", "A"), ("A", "B"), ("C", "D"), ("A", "E"), (f"X{rng.randrange(60)}", f"Y{rng.randrange(60)}"), ("Q", None)])
+            at = T0 + timedelta(seconds=rng.choice([rng.randrange(15000), 60 * rng.randrange(30)]))
+            out.append((first + i, at, *pair, rng.choice(["f", "g", None, ""]), rng.choice(["Cup One", "cup two", "League", "", None])))
         return out
-    sources, books = rows(120, 0), rows(160, 5000)
-    schema = "event_id long, started_at timestamp, player1 string, player2 string, family string"
+
+    sources, books = rows(150, 0), rows(170, 5000)
+    schema = "event_id long, started_at timestamp, player1 string, player2 string, family string, tournament_name string"
     s, b = spark.createDataFrame(sources, schema), spark.createDataFrame(books, schema)
     chosen = matching.choose(matching.candidates(s, b)).collect()
     got = {r.source_id: (r.candidate_id, round(r.confidence, 9), round(r.second_best_confidence, 9)) for r in chosen}
@@ -182,10 +198,11 @@ def test_match_statuses(spark):
     s = spark.createDataFrame([
         (1, at(0), "A", "B", "f"), (2, at(0), "C", "D", "f"), (3, at(0), "E", "F", "f"), (4, at(0), "G", "H", "f"),
         (5, at(500), "A", "B", "f"), (6, at(0), None, "B", "f"), (7, at(0.5), "C", "D", "f"), (8, at(0), "K", "L", "f"),
+        (9, at(60), "K", "L", "f"),
     ], schema)
     b = spark.createDataFrame([
         (101, at(0), "B", "A", "f"), (102, at(0), "C", "D", "f"), (103, at(0), "E", "F", "f"), (104, at(1), "E", "F", "f"),
-        (105, at(0), "K", "L", "f"),
+        (105, at(0), "K", "L", "f"), (106, at(100), "V", "W", "f"),
     ], schema)
     old = spark.createDataFrame([(1, 999, "matched"), (88, 105, "matched")], "source_id long, candidate_id long, status string")
     rows = {(r.source_id, r.candidate_id): r for r in matching.match_events(s, b, old).collect()}
@@ -193,9 +210,24 @@ def test_match_statuses(spark):
     assert rows[1, 999].status == "rejected"
     assert rows[2, 102].status == "ambiguous" and rows[2, 102].collision and rows[7, 102].collision
     assert rows[3, 103].reason == "close_rival"
-    assert rows[4, None].status == "ambiguous" and rows[5, None].status == "rejected"
+    # Nobody in common: the neighbour with the smallest id, by tournament and time alone.
+    assert rows[4, 101].status == "ambiguous" and rows[4, 101].reason == "low_confidence"
+    assert rows[4, 101].components.player1 == 0.0 and rows[4, 101].components.tournament == 1.0
+    assert round(rows[4, 101].confidence, 6) == round(0.4 / 0.9, 6) == round(rows[4, 101].second_best_confidence, 6)
+    assert rows[9, None].status == "rejected" and rows[9, None].reason == "no_candidate"
+    assert not [key for key in rows if key[0] == 5]
     assert rows[8, 105].already_matched and rows[8, 105].status == "ambiguous"
-    assert not [key for key in rows if key[0] == 6]
+    assert rows[6, None].status == "unresolved"
+    counts = matching.statistics(matching.match_events(s, b, old)).first()
+    assert counts.asDict() == {
+        "source_events_seen": 8, "automatic_matches": 1, "ambiguous_matches": 5, "rejected_without_candidate": 1,
+        "unresolved_source_events": 1, "preserved_matches": 0,
+    }
+    frozen = {(r.source_id, r.status) for r in matching.match_events(s, b, old, freeze_matched=True).collect()}
+    assert (1, "preserved") in frozen and (1, "matched") not in frozen
+    later = s.where("event_id = 5")
+    idle = matching.match_events(later, b, old).collect()
+    assert [(r.source_id, r.candidate_id, r.status, r.reason) for r in idle] == [(88, 105, "rejected", "no_source")]
 
 
 def test_one_match_each(spark):
