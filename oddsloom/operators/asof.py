@@ -5,40 +5,43 @@ A target is (event, cutoff). It sees matches of the same sport with
 first by (started_at, event_id).
 
 Every scope is the same problem under another key: history and targets are
-keyed by a *segment* (scope, sport and the columns the scope compares), so no
-(target, match) pair is ever built and the work is linear in rows. Segments
-larger than ``chunk_rows`` are cut along the time axis into chunks; a chunk
-starts from the newest rows and the totals of the chunks before it, so one
-player with a third of all matches is many tasks, with the same result.
+keyed by a *segment* (scope, sport and the columns the scope compares). A result
+is known no earlier than its match starts, so what a target sees is a prefix of
+its segment in order of knowledge, whatever came late. Rows are numbered in that
+order (numbers within a time bucket plus those of the buckets before it), and
+each ``chunk_rows`` of them make a chunk. Chunks are leaves of a tree of fanout
+``FANOUT``; a node keeps its newest matches by start, as many as the largest
+window asks for, and counts per score total. A target reads the chunk it ends
+in, cut at its number, and the few nodes that cover the chunks before. Windows
+follow from the newest matches of all, sums and median of the whole history from
+the counts per total. One path serves every size: a player with a third of all
+matches has more chunks, and no task holds more than a chunk, a bucket or the
+newest rows of a node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from oddsloom.operators import asof_kernel as kernel
+from oddsloom.session import materialize
 
 WINDOWS = (5, 10, 20, 25, 30, 50, 75, 100, 200)
 PLAYER_SCOPES = ("global", "source", "game", "tournament", "format", "player_team")
 PAIR_SCOPES = ("h2h", "h2h_same_direction", "player_team_h2h")
 SCOPES = PLAYER_SCOPES + PAIR_SCOPES
-SESSION_GAP_SECONDS = 45 * 60
-CHUNK_ROWS = 50_000
-BUCKET_SECONDS = 600
-SLOT_SECONDS = 3 * 3600
-CHUNKS_PER_SPAN = 500
-_NEVER = 2**62
+LINES = (1.5, 2.5, 3.5, 4.5, 5.5, 6.5)
+CHUNK_ROWS = 64
+BUCKET_SECONDS = 3600
+FANOUT = 4
+HISTORY, TARGET = 0, 1
 _SCOPE_COLUMN = {
     "source": "source", "game": "game", "tournament": "tournament_key", "format": "format",
 }
-_ROW = "seg string, kind int, at_us long, ready_us long, event_id long, gf int, ga int, tag int"
-_LINE_NAMES = [str(line).replace(".", "_") for line in kernel.LINES]
+_LINE_NAMES = [str(line).replace(".", "_") for line in LINES]
 
 
 def _part(column: Column) -> Column:
@@ -125,7 +128,7 @@ def history_segments(history: DataFrame, scopes: Sequence[str]) -> DataFrame:
         F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"),
     )
     return keyed.select(
-        "e.seg", F.lit(kernel.HISTORY).alias("kind"), "at_us", "ready_us", "event_id",
+        "e.seg", F.lit(HISTORY).alias("kind"), "at_us", "ready_us", "event_id",
         "e.gf", "e.ga", F.lit(0).alias("tag"),
     )
 
@@ -167,182 +170,126 @@ def target_segments(targets: DataFrame, scopes: Sequence[str]) -> DataFrame:
         F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"),
     )
     return keyed.select(
-        "e.seg", F.lit(kernel.TARGET).alias("kind"), "at_us", F.lit(_NEVER).alias("ready_us"),
+        "e.seg", F.lit(TARGET).alias("kind"), "at_us", F.lit(None).cast("long").alias("ready_us"),
         "event_id", "e.gf", "e.ga", "e.tag",
     )
 
 
-def _heaviest(history: DataFrame, targets: DataFrame) -> int:
-    """Rows of the busiest player; an upper bound for every narrower scope."""
-    sides = F.explode(F.array_distinct(F.array("player1", "player2"))).alias("player")
-    rows = history.select("sport", sides).unionByName(targets.select("sport", sides))
-    largest = rows.groupBy("sport", "player").count().agg(F.max("count")).first()[0]
-    return int(largest or 0)
-
-
-def _sorted_groups(rows: DataFrame) -> DataFrame:
-    # A fixed count keeps adaptive coalescing from merging small but costly
-    # groups into a few tasks.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.xxhash64("seg", "chunk")
-    return rows.repartition(tasks, spread).sortWithinPartitions(
-        spread, "seg", "chunk", "at_us", "event_id"
+def _segment_rows(history: DataFrame, targets: DataFrame, scopes: Sequence[str]) -> DataFrame:
+    """Rows of all segments; matches are spread before each becomes a row a scope and side, however few files hold them."""
+    return history_segments(history.repartition("event_id"), scopes).unionByName(
+        target_segments(targets.dropDuplicates(["event_id", "cutoff_at"]), scopes)
     )
 
 
-def _moment() -> Column:
-    """Time-axis position: when a result is known, or when a target looks."""
-    return F.when(F.col("kind") == kernel.HISTORY, F.col("ready_us")).otherwise(F.col("at_us"))
+def _numbered(rows: DataFrame, bucket_seconds: int) -> DataFrame:
+    """``n``: how many matches of the segment were known before this row's moment, and their other sums.
+
+    ``n`` is a match's number in order of knowledge, from 0, and for a target
+    the length of the prefix that it sees.
+    """
+    width = bucket_seconds * 1_000_000
+    timed = rows.withColumn("moment", F.when(F.col("kind") == HISTORY, F.col("ready_us")).otherwise(F.col("at_us")))
+    timed = timed.withColumn("bucket", F.expr(f"(moment - pmod(moment, {width})) div {width}"))
+    zero = F.lit(0).cast("long")
+    values = [F.when(F.col("kind") == HISTORY, value).otherwise(zero) for value in _values(F.col("gf"), F.col("ga"))]
+    timed = timed.withColumns({f"v_{name}": value for name, value in zip(_SUMS, values)})
+    earlier = Window.partitionBy("seg").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = timed.groupBy("seg", "bucket").agg(*[F.sum(f"v_{name}").alias(f"b_{name}") for name in _SUMS])
+    offsets = sums.select("seg", "bucket", *[F.coalesce(F.sum(f"b_{name}").over(earlier), zero).alias(f"b_{name}") for name in _SUMS])
+    inside = (
+        Window.partitionBy("seg", "bucket")
+        .orderBy("moment", F.desc("kind"), "at_us", "event_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    within = timed.withColumns({f"w_{name}": F.coalesce(F.sum(f"v_{name}").over(inside), zero) for name in _SUMS})
+    return within.join(offsets, ["seg", "bucket"]).select(
+        *rows.columns, *[(F.col(f"b_{name}") + F.col(f"w_{name}")).alias(name) for name in _SUMS]
+    )
 
 
 def _newest(rows: DataFrame, keys: Sequence[str], keep: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("at_us"), F.desc("event_id"))
-    return rows.withColumn("_rank", F.row_number().over(order)).where(
-        F.col("_rank") <= keep
-    ).drop("_rank")
+    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= keep).drop("_rank")
 
 
-def _carry_newest(rows: DataFrame, group: Sequence[str], step: str, keep: int) -> DataFrame:
-    """For each step of a group, the newest ``keep`` rows of the steps before it.
+def _at_level(number: str, level: str) -> Column:
+    """The node of a chunk at a level, which is a column too."""
+    return F.floor(F.col(number) / F.pow(F.lit(float(FANOUT)), F.col(level))).cast("long")
 
-    Input holds at most ``keep`` rows per step and a bounded number of steps
-    per group, so one group fits a task whatever the segment's size.
-    """
-    schema = T.StructType([rows.schema[name] for name in rows.columns])
 
-    def running(frame):
-        import pandas as pd
+_MATCH = "struct<at_us:long,event_id:long,known:long,gf:int,ga:int>"
+_CELL = "struct<total:int,n:long>"
+_SUMS = ("n", "w", "d", "f", "t", "tt", *[f"o{i}" for i in range(len(LINES))])
 
-        order = frame.sort_values(["at_us", "event_id"], ascending=False, kind="stable")
-        parts, held = [], order.iloc[:0]
-        for value, block in order.groupby(step, sort=True):
-            if len(held):
-                parts.append(held.assign(**{step: value}))
-            held = pd.concat([held, block]).sort_values(
-                ["at_us", "event_id"], ascending=False, kind="stable"
-            ).head(keep)
-        return pd.concat(parts)[frame.columns] if parts else frame.iloc[:0]
 
-    return rows.groupBy(*group).applyInPandas(running, schema)
+def _values(gf: Column, ga: Column) -> list[Column]:
+    """What a match adds to each sum."""
+    total = (gf + ga).cast("long")
+    values = [F.lit(1), F.when(gf > ga, 1).otherwise(0), F.when(gf == ga, 1).otherwise(0), gf, total, total * total]
+    values += [F.when(total > line, 1).otherwise(0) for line in LINES]
+    return [value.cast("long").alias(name) for name, value in zip(_SUMS, values, strict=True)]
 
 
-def _chunked(rows: DataFrame, chunk_rows: int, bucket_seconds: int, keep: int) -> DataFrame:
-    """Cut segments above ``chunk_rows`` and give each chunk what came before it."""
-    bucketed = rows.withColumn(
-        "bucket", F.floor(_moment() / F.lit(bucket_seconds * 1_000_000)).cast("long")
+def _contexts(past: DataFrame, wanted: DataFrame, keep: int) -> DataFrame:
+    """Per wanted (seg, chunk): its matches, the newest ``keep`` before it, and counts per total before it."""
+    last = wanted.groupBy("seg").agg(F.max("chunk").alias("last"))
+    # A node is read by chunks after it only, so levels end where one node holds all.
+    levels = F.ceil(F.log(float(FANOUT), F.col("last") + 1)).cast("int")
+    spread = past.join(last.where("last > 0").withColumn("levels", levels), "seg").where("chunk < last")
+    nodes = spread.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1))).withColumn(
+        "node", _at_level("chunk", "level")
     )
-    counts = bucketed.groupBy("seg", "bucket").agg(F.count("*").alias("n"))
-    hot = counts.groupBy("seg").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).select("seg")
-    so_far = Window.partitionBy("seg").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    tops = _newest(nodes, ["seg", "level", "node"], keep).select("seg", "level", "node", "at_us", "event_id", "known", "gf", "ga")
+    cells = nodes.groupBy("seg", "level", "node", (F.col("gf") + F.col("ga")).alias("total")).agg(F.count("*").alias("n"))
+
+    # Chunks 0 to b - 1 are, at each level, the elder siblings of b's own node there.
+    reading = wanted.where("chunk > 0").join(last.withColumn("levels", levels), "seg").withColumn(
+        "level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1))
+    ).withColumn("own", _at_level("chunk", "level"))
+    reading = reading.where(F.col("own") % FANOUT > 0).select(
+        "seg", "chunk", "level",
+        F.explode(F.sequence(F.col("own") - F.col("own") % FANOUT, F.col("own") - 1)).alias("node"),
     )
-    plan = (
-        counts.join(hot, "seg", "left_semi")
-        .withColumn("before", F.sum("n").over(so_far) - F.col("n"))
-        .select("seg", "bucket", F.floor(F.col("before") / chunk_rows).cast("int").alias("chunk"))
+    carried = _newest(reading.join(tops, ["seg", "level", "node"]), ["seg", "chunk"], keep)
+    counted = reading.join(cells, ["seg", "level", "node"]).groupBy("seg", "chunk", "total").agg(F.sum("n").alias("n"))
+    match = F.struct("at_us", "event_id", "known", "gf", "ga")
+    here = past.join(wanted, ["seg", "chunk"], "left_semi").unionByName(
+        carried.select("seg", "chunk", "at_us", "event_id", "known", "gf", "ga"), allowMissingColumns=True
     )
-    placed = bucketed.join(plan, ["seg", "bucket"], "left")
-    cold = placed.where(F.col("chunk").isNull()).withColumn("chunk", F.lit(0))
-    dense = placed.where(F.col("chunk").isNotNull())
-    columns = ["seg", "chunk", "kind", "at_us", "ready_us", "event_id", "gf", "ga", "tag"]
-    past = dense.where(F.col("kind") == kernel.HISTORY).select(*columns)
-    chunks = plan.select("seg", "chunk").distinct()
-
-    # Newest rows before each chunk, first across spans of chunks, then inside.
-    tops = _newest(past, ["seg", "chunk"], keep).withColumn(
-        "span", F.floor(F.col("chunk") / CHUNKS_PER_SPAN).cast("int")
+    parts = here.select("seg", "chunk", match.alias("match"), F.lit(None).cast(_CELL).alias("cell")).unionByName(
+        counted.select("seg", "chunk", F.lit(None).cast(_MATCH).alias("match"), F.struct("total", "n").alias("cell"))
     )
-    spans = _newest(tops, ["seg", "span"], keep)
-    step_row = chunks.select(
-        "seg", "chunk", F.lit(kernel.CARRIED).alias("kind"), F.lit(-1).cast("long").alias("at_us"),
-        F.lit(0).cast("long").alias("ready_us"), F.lit(-1).cast("long").alias("event_id"),
-        F.lit(0).alias("gf"), F.lit(0).alias("ga"), F.lit(-1).alias("tag"),
-        F.floor(F.col("chunk") / CHUNKS_PER_SPAN).cast("int").alias("span"),
-    )
-    # A span or chunk may hold targets only; its placeholder row makes it a step.
-    span_row = step_row.withColumn("chunk", F.lit(-1)).distinct()
-    before_span = _carry_newest(
-        spans.unionByName(span_row), ["seg"], "span", keep
-    ).withColumn("chunk", F.lit(-1))
-    inside = tops.unionByName(before_span).unionByName(step_row)
-    carried = (
-        _carry_newest(inside, ["seg", "span"], "chunk", keep)
-        .where((F.col("chunk") >= 0) & (F.col("tag") >= 0))
-        .withColumn("kind", F.lit(kernel.CARRIED))
-        .withColumn("ready_us", F.lit(0).cast("long"))
+    return parts.groupBy("seg", "chunk").agg(
+        F.sort_array(F.collect_list("match"), asc=False).alias("matches"), F.collect_list("cell").alias("cells")
     )
 
-    # Totals before each chunk, one row per distinct score total.
-    cells = _cells(past)
-    grid = chunks.join(cells.select("seg", "total").distinct(), "seg")
-    earlier = Window.partitionBy("seg", "total").orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    filled = grid.join(cells, ["seg", "chunk", "total"], "left")
-    totals = filled.select(
-        "seg", "chunk", F.lit(kernel.TOTALS).alias("kind"),
-        F.sum("w").over(earlier).alias("at_us"),
-        F.sum("d").over(earlier).alias("ready_us"),
-        F.sum("n").over(earlier).alias("event_id"),
-        F.sum("f").over(earlier).cast("int").alias("gf"),
-        F.col("total").cast("int").alias("ga"),
-        F.lit(0).alias("tag"),
-    ).where(F.col("event_id") > 0)
-
-    # A target's own match may already be inside the totals.
-    own = past.select(
-        "seg", "event_id", F.col("ready_us").alias("own_ready"), F.col("gf").alias("own_gf"),
-        F.col("ga").alias("own_ga"),
-    )
-    looking = (
-        dense.where(F.col("kind") == kernel.TARGET)
-        .join(own, ["seg", "event_id"], "left")
-        .withColumn("ready_us", F.coalesce("own_ready", "ready_us"))
-        .withColumn("gf", F.coalesce("own_gf", "gf"))
-        .withColumn("ga", F.coalesce("own_ga", "ga"))
-    )
-    parts = [cold, past, looking, carried, totals]
-    out = parts[0].select(*columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
-    return out
-
-
-def _cells(past: DataFrame) -> DataFrame:
-    """Outcome counts of each chunk per score total."""
-    return past.groupBy("seg", "chunk", (F.col("gf") + F.col("ga")).alias("total")).agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("gf") > F.col("ga")).alias("w"),
-        F.count_if(F.col("gf") == F.col("ga")).alias("d"),
-        F.sum("gf").alias("f"),
-    )
 
+def _middle(values: Column, n: Column) -> Column:
+    """Median of sorted values, 0 without any."""
+    low, high = (F.get(values, F.floor(place / 2).cast("int")) for place in (n - 1, n))
+    return F.coalesce((low + high) / 2.0, F.lit(0.0))
 
-def _scope_columns() -> list[Column]:
-    names = F.array(*[F.lit(name) for name in SCOPES])
-    scope = F.element_at(names, (F.floor(F.col("tag") / 4) + 1).cast("int"))
-    return [scope.alias("scope"), (F.col("tag") % 4).alias("side")]
 
+def _median_of_counts(cells: Column, n: Column) -> Column:
+    """Median of ``n`` values given as (total, n), sorted; a count below zero takes one back."""
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
 
-_WINDOW_SCHEMA = pa.schema(
-    [("event_id", pa.int64()), ("cutoff_us", pa.int64()), ("tag", pa.int32()),
-     ("win_size", pa.int32()), ("n", pa.int64()), ("w", pa.int64()), ("d", pa.int64()),
-     ("f", pa.int64()), ("t", pa.int64()), ("tt", pa.int64()), ("median", pa.float64())]
-    + [(f"o{i}", pa.int64()) for i in range(len(kernel.LINES))]
-)
-_SESSION_COUNTS = (
-    "last_30m", "last_1h", "last_3h", "win", "draw", "loss", "goals", "run_win", "run_draw",
-    "run_loss",
-)
-_SESSION_SCHEMA = pa.schema(
-    [("event_id", pa.int64()), ("cutoff_us", pa.int64()), ("tag", pa.int32())]
-    + [(name, pa.int64()) for name in _SESSION_COUNTS] + [("minutes", pa.float64())]
-)
-_DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
+    def step(state, c):
+        seen = state.seen + c.n
+        return F.struct(
+            seen.alias("seen"),
+            F.when(state.low.isNull() & (2 * seen > n - 1), c.total).otherwise(state.low).alias("low"),
+            F.when(state.high.isNull() & (2 * seen > n), c.total).otherwise(state.high).alias("high"),
+        )
 
+    return F.coalesce(F.aggregate(cells, start, step, lambda state: (state.low + state.high) / 2.0), F.lit(0.0))
 
-def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{field.name} {_DDL[field.type]}" for field in schema)
+
+def _scope_columns() -> list[Column]:
+    names = F.array(*[F.lit(name) for name in SCOPES])
+    scope = F.element_at(names, (F.floor(F.col("tag") / 4) + 1).cast("int"))
+    return [scope.alias("scope"), (F.col("tag") % 4).alias("side")]
 
 
 def last_n_form(
@@ -353,7 +300,6 @@ def last_n_form(
     windows: Sequence[int] = WINDOWS,
     chunk_rows: int = CHUNK_ROWS,
     bucket_seconds: int = BUCKET_SECONDS,
-    cut: bool | None = None,
 ) -> DataFrame:
     """Form aggregates per (event, cutoff, scope, side, window).
 
@@ -361,32 +307,67 @@ def last_n_form(
     score1, score2 and, for the scopes that use them, source, game,
     tournament_key, format, team1, team2. ``targets``: the same identity
     columns and cutoff_at. ``last_n`` is 0 for the whole history.
-
-    ``cut`` forces or skips the cutting of large segments; by default one small
-    count over the player columns decides whether any segment needs it.
     """
     if any(size <= 0 for size in windows):
         raise ValueError("feature windows must be positive")
-    rows = history_segments(history, scopes).unionByName(
-        target_segments(targets.dropDuplicates(["event_id", "cutoff_at"]), scopes)
+    sizes, largest = sorted(set(windows)), max(windows, default=0)
+    numbered = materialize(_numbered(_segment_rows(history, targets, scopes), bucket_seconds), "form-rows")
+    past = numbered.where(F.col("kind") == HISTORY).withColumnRenamed("n", "known").withColumn(
+        "chunk", F.expr(f"known div {chunk_rows}")
+    )
+    looking = numbered.where(F.col("kind") == TARGET).withColumn("chunk", F.expr(f"n div {chunk_rows}"))
+    # One row more than the largest window, since the target's own match may be among them.
+    contexts = materialize(_contexts(past, looking.select("seg", "chunk").distinct(), largest + 1), "form-contexts")
+    own = past.select("seg", "event_id", F.struct("known", "gf", "ga").alias("own"))
+    seen = looking.join(own, ["seg", "event_id"], "left")
+    inside = F.coalesce(F.col("own.known") < F.col("n"), F.lit(False))
+    taken = _values(F.col("own.gf"), F.col("own.ga"))
+    seen = seen.withColumns(
+        {name: F.col(name) - F.when(inside, value).otherwise(0) for name, value in zip(_SUMS, taken)} | {"until": F.col("n")}
     )
-    if cut is None:
-        cut = _heaviest(history, targets) > chunk_rows
-    if cut:
-        rows = _chunked(rows, chunk_rows, bucket_seconds, max(windows, default=0) + 1)
-    else:
-        rows = rows.withColumn("chunk", F.lit(0))
-    base = _sorted_groups(rows).mapInArrow(
-        kernel.run_windows(tuple(windows), _WINDOW_SCHEMA), _ddl(_WINDOW_SCHEMA)
+    met = seen.join(contexts, ["seg", "chunk"], "left")
+    eligible = F.filter("matches", lambda r: (r.known < F.col("until")) & (r.event_id != F.col("event_id")))
+    first = F.col("chunk") * chunk_rows
+    no_cells = F.array().cast(f"array<{_CELL}>")
+    undone = F.struct((F.col("own.gf") + F.col("own.ga")).alias("total"), F.lit(-1).cast("long").alias("n"))
+    key = ["event_id", "at_us", "tag"]
+    base = met.select(
+        *key, *_SUMS, F.coalesce(eligible, F.array().cast(f"array<{_MATCH}>")).alias("seen"), first.alias("first"),
+        F.concat(F.coalesce("cells", no_cells), F.when(F.col("own.known") < first, F.array(undone)).otherwise(no_cells)).alias("cells"),
     )
+    counted = F.concat(
+        "cells", F.transform(F.filter("seen", lambda r: r.known >= F.col("first")), lambda r: F.struct((r.gf + r.ga).alias("total"), F.lit(1).cast("long").alias("n")))
+    )
+    totals = F.transform(F.slice("seen", 1, max(largest, 1)), lambda r: r.gf + r.ga)
+    whole = base.select(
+        *key, *_SUMS, F.sort_array(counted).alias("counted"), totals.alias("totals"), F.lit(0).alias("last_n")
+    ).withColumn("median", _median_of_counts(F.col("counted"), F.col("n")))
+    found = whole.select(*key, "last_n", *_SUMS, "median")
+    if sizes:
+        # Matches between one size and the next are added up once, then the sizes.
+        recent = base.select(*key, F.posexplode(F.slice("seen", 1, largest)).alias("rank", "m"))
+        band = F.lit(largest)
+        for size in reversed(sizes):
+            band = F.when(F.col("rank") < size, size).otherwise(band)
+        added = recent.select(*key, band.alias("last_n"), *_values(F.col("m.gf"), F.col("m.ga")))
+        empty = looking.select(*key, F.explode(F.array(*[F.lit(size) for size in sizes])).alias("last_n"), *[F.lit(0).cast("long").alias(name) for name in _SUMS])
+        banded = added.unionByName(empty).groupBy(*key, "last_n").agg(*[F.sum(name).alias(name) for name in _SUMS])
+        upto = Window.partitionBy(*key).orderBy("last_n").rowsBetween(Window.unboundedPreceding, 0)
+        summed = banded.select(*key, "last_n", *[F.sum(name).over(upto).alias(name) for name in _SUMS])
+        medians = F.transform(
+            F.array(*[F.lit(size) for size in sizes]),
+            lambda size: F.struct(size.alias("last_n"), _middle(F.sort_array(F.slice("totals", 1, size)), F.least(F.size("totals"), size)).alias("median")),
+        )
+        middles = whole.select(*key, F.explode(medians).alias("m")).select(*key, "m.last_n", "m.median")
+        found = found.unionByName(summed.join(middles, [*key, "last_n"]))
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     variance = F.col("n") * F.col("tt") - F.col("t") * F.col("t")
-    over = [F.col(f"o{i}") for i in range(len(kernel.LINES))]
-    return base.select(
+    over = [F.col(f"o{i}") for i in range(len(LINES))]
+    return found.select(
         "event_id",
-        F.timestamp_micros("cutoff_us").alias("cutoff_at"),
+        F.timestamp_micros("at_us").alias("cutoff_at"),
         *_scope_columns(),
-        F.col("win_size").alias("last_n"),
+        "last_n",
         F.col("n").alias("matches"),
         F.col("w").alias("wins"),
         F.col("d").alias("draws"),
@@ -400,193 +381,5 @@ def last_n_form(
         F.col("median").alias("median_total"),
         (F.sqrt(variance.cast("double")) / n).alias("std_total"),
         *[(column / n).alias(f"over_{name}") for column, name in zip(over, _LINE_NAMES)],
-        *[
-            ((F.col("n") - column) / n).alias(f"under_{name}")
-            for column, name in zip(over, _LINE_NAMES)
-        ],
-    )
-
-
-def _slot_state(gap_us: int):
-    """Open island, streak and latest availability before each slot of a segment.
-
-    One row per slot comes in, so a segment brings as many rows as its time
-    span has slots.
-    """
-
-    def scan(frame):
-        import pandas as pd
-
-        out = []
-        last, ready, island, run = None, 0, (0, 0, 0, 0), (0, 0)
-        for row in frame.sort_values("slot").itertuples(index=False):
-            if last is not None:
-                out.append((row.seg, row.slot, last, ready, *island, *run))
-            if pd.isna(row.first_us):
-                continue
-            joined = last is not None and row.first_us - last <= gap_us and not row.broken
-            added = (row.w, row.d, row.l, row.f)
-            island = tuple(int(a + b) for a, b in zip(island, added)) if joined else tuple(map(int, added))
-            same = row.uniform and row.outcome == run[0]
-            run = (int(row.outcome), int(row.run + (run[1] if same else 0)))
-            last, ready = int(row.last_us), max(ready, int(row.ready_us))
-        return pd.DataFrame(out, columns=_STATE_COLUMNS)
-
-    return scan
-
-
-_STATE = (
-    "seg string, slot long, last_us long, known_us long, w long, d long, l long, f long, "
-    "outcome int, run long"
-)
-_STATE_COLUMNS = [part.strip().split(" ")[0] for part in _STATE.split(",")]
-
-
-def _slot_rows(past: DataFrame, slots: DataFrame, gap_us: int) -> DataFrame:
-    """Per (seg, slot): its ends, trailing island sums and trailing streak."""
-    order = Window.partitionBy("seg", "slot").orderBy("at_us", "event_id")
-    newest = Window.partitionBy("seg", "slot").orderBy(F.desc("at_us"), F.desc("event_id"))
-    sign = F.signum(F.col("gf") - F.col("ga")).cast("int")
-    marked = past.withColumns(
-        {
-            "outcome": F.when(sign > 0, 1).when(sign == 0, 2).otherwise(3),
-            "gap": F.lead("at_us").over(order) - F.col("at_us") > gap_us,
-        }
-    )
-    up_to = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumns(
-        {
-            "breaks": F.count_if(F.coalesce("gap", F.lit(False))).over(up_to),
-            "newest": F.first("outcome").over(up_to),
-        }
-    )
-    marked = marked.withColumn("others", F.count_if(F.col("outcome") != F.col("newest")).over(up_to))
-    open_island, open_run = F.col("breaks") == 0, F.col("others") == 0
-    rows = marked.groupBy("seg", "slot").agg(
-        F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.max("ready_us").alias("ready_us"),
-        (F.max("breaks") > 0).alias("broken"),
-        *[F.count_if(open_island & (F.col("outcome") == number)).alias(name) for number, name in ((1, "w"), (2, "d"), (3, "l"))],
-        F.sum(F.when(open_island, F.col("gf")).otherwise(0)).alias("f"),
-        F.max("newest").alias("outcome"), F.count_if(open_run).alias("run"),
-        (F.max("others") == 0).alias("uniform"),
-    )
-    return slots.join(rows, ["seg", "slot"], "left")
-
-
-def _slotted(rows: DataFrame, chunk_rows: int, slot_us: int, gap_us: int) -> DataFrame:
-    """Cut large segments by start time, in whole slots.
-
-    A chunk gets a copy of the slot before it and, from the slots before that,
-    the open island and streak. That is exact for targets that see every older
-    row, as they do when results are known within a slot. The others (a result
-    that came later, or the target's own match further back) are answered from
-    the uncut segment, which is only built for segments that have such targets.
-    """
-    slotted = rows.withColumn("slot", F.floor(F.col("at_us") / F.lit(slot_us)).cast("long"))
-    counts = slotted.groupBy("seg", "slot").agg(F.count("*").alias("n"))
-    hot = counts.groupBy("seg").agg(F.sum("n").alias("n")).where(F.col("n") > chunk_rows).select("seg")
-    so_far = Window.partitionBy("seg").orderBy("slot").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    plan = (
-        counts.join(hot, "seg", "left_semi")
-        .withColumn("before", F.sum("n").over(so_far) - F.col("n"))
-        .select("seg", "slot", (F.floor(F.col("before") / chunk_rows) + 1).cast("int").alias("chunk"))
-    )
-    # The first slot of a chunk decides what it copies and continues.
-    starts = plan.groupBy("seg", "chunk").agg(F.min("slot").alias("first_slot"))
-    placed = slotted.join(plan, ["seg", "slot"], "left")
-    cold = placed.where(F.col("chunk").isNull()).withColumn("chunk", F.lit(0))
-    dense = placed.where(F.col("chunk").isNotNull())
-    past = dense.where(F.col("kind") == kernel.HISTORY)
-    copies = past.drop("chunk").join(
-        starts.select("seg", "chunk", (F.col("first_slot") - 1).alias("slot")), ["seg", "slot"]
-    )
-    # State before the copied slot: needed at first_slot - 1.
-    wanted = starts.select("seg", (F.col("first_slot") - 1).alias("slot"))
-    slots = plan.select("seg", "slot").unionByName(wanted).distinct()
-    states = _slot_rows(past, slots, gap_us).groupBy("seg").applyInPandas(_slot_state(gap_us), _STATE)
-    carried = starts.withColumn("slot", F.col("first_slot") - 1).join(states, ["seg", "slot"])
-
-    def seed(tag: int, **values: Column) -> Column:
-        names = ("at_us", "ready_us", "event_id", "gf", "ga")
-        return F.struct(
-            *[values.get(name, F.lit(0)).cast("int" if name in ("gf", "ga") else "long").alias(name) for name in names],
-            F.lit(tag).alias("tag"),
-        )
-
-    seeds = carried.select(
-        "seg", "chunk",
-        F.explode(
-            F.array(
-                seed(0, at_us=F.col("last_us"), event_id=F.col("w"), gf=F.col("d"), ga=F.col("l"), ready_us=F.col("f")),
-                *[seed(number, event_id=F.when(F.col("outcome") == number, F.col("run")).otherwise(0)) for number in (1, 2, 3)],
-            )
-        ).alias("s"),
-    ).select("seg", F.lit(kernel.SEED).alias("kind"), "s.*", "chunk")
-
-    own = past.select("seg", "event_id", F.col("slot").alias("own_slot"))
-    looking = (
-        dense.where(F.col("kind") == kernel.TARGET)
-        .join(starts, ["seg", "chunk"])
-        .join(carried.select("seg", "chunk", "known_us"), ["seg", "chunk"], "left")
-        .join(own, ["seg", "event_id"], "left")
-    )
-    unseen = F.coalesce(F.col("known_us") >= F.col("at_us"), F.lit(False))
-    far = F.coalesce(F.col("own_slot") < F.col("first_slot") - 1, F.lit(False))
-    looking = looking.withColumn("late", unseen | far)
-    late = looking.where("late").withColumn("chunk", F.lit(0))
-    whole = past.join(late.select("seg").distinct(), "seg", "left_semi").withColumn("chunk", F.lit(0))
-    columns = [*rows.columns, "chunk"]
-    out = cold.select(*columns)
-    for part in (past, copies, seeds, looking.where(~F.col("late")), late, whole):
-        out = out.unionByName(part.select(*columns))
-    return out
-
-
-def session_form(
-    history: DataFrame,
-    targets: DataFrame,
-    *,
-    session_gap_seconds: int = SESSION_GAP_SECONDS,
-    chunk_rows: int = CHUNK_ROWS,
-    slot_seconds: int = SLOT_SECONDS,
-    cut: bool | None = None,
-) -> DataFrame:
-    """Recency, open-session sums and streaks per (event, cutoff, side).
-
-    The open session is the newest match and every older one reached without a
-    gap between starts above ``session_gap_seconds``, however old the newest is.
-    Players above ``chunk_rows`` are cut by time as in :func:`last_n_form`.
-    """
-    if slot_seconds < 3 * 3600:
-        raise ValueError("a slot must cover the longest recency count, three hours")
-    rows = history_segments(history, ["global"]).unionByName(
-        target_segments(targets.dropDuplicates(["event_id", "cutoff_at"]), ["global"])
-    )
-    if cut is None:
-        cut = _heaviest(history, targets) > chunk_rows
-    if cut:
-        rows = _slotted(rows, chunk_rows, slot_seconds * 1_000_000, session_gap_seconds * 1_000_000)
-    else:
-        rows = rows.withColumn("chunk", F.lit(0))
-    base = _sorted_groups(rows).mapInArrow(
-        kernel.run_sessions(session_gap_seconds * 1_000_000, _SESSION_SCHEMA),
-        _ddl(_SESSION_SCHEMA),
-    )
-    return base.select(
-        "event_id",
-        F.timestamp_micros("cutoff_us").alias("cutoff_at"),
-        (F.col("tag") % 4).alias("side"),
-        F.col("last_30m").alias("matches_last_30m"),
-        F.col("last_1h").alias("matches_last_1h"),
-        F.col("last_3h").alias("matches_last_3h"),
-        F.col("minutes").alias("minutes_since_previous_game"),
-        F.col("win").alias("wins"),
-        F.col("draw").alias("draws"),
-        F.col("loss").alias("losses"),
-        "goals",
-        F.col("run_win").alias("consecutive_wins"),
-        F.col("run_draw").alias("consecutive_draws"),
-        F.col("run_loss").alias("consecutive_losses"),
+        *[((F.col("n") - column) / n).alias(f"under_{name}") for column, name in zip(over, _LINE_NAMES)],
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsloom.operators import asof
+from oddsloom.operators import asof, sessions
 from oddsloom.plans import bindings
 from oddsloom.plans.registry import query
 
@@ -83,6 +83,25 @@ def asof_player_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(form.drop("cutoff_at", "scope"))
 
 
+_BUSY = "busy AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE player1 END AS player1) FROM matches)"
+
+
+@query("asof_busy_player_form", f"""{bindings.with_views('matches')}, {_BUSY}, {SIDES.replace('FROM matches', 'FROM busy')}, {PLAYER_PAIRS}, w AS ({SIZES})
+SELECT t.event_id, t.side, w.last_n,
+{_metrics_sql()}
+FROM t CROSS JOIN w LEFT JOIN p ON p.event_id = t.event_id AND p.side = t.side AND (w.last_n = 0 OR p.rn <= w.last_n)
+GROUP BY t.event_id, t.side, w.last_n""")
+def asof_busy_player_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a third of all matches on one player."""
+    def busy(df: DataFrame) -> DataFrame:
+        return df.withColumn("player1", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("player1")))
+
+    form = asof.last_n_form(
+        busy(bindings.matches(spark, sf_dir)), busy(bindings.match_targets(spark, sf_dir)), scopes=("global",)
+    )
+    return rounded(form.drop("cutoff_at", "scope"))
+
+
 _SCOPED = ("source", "game", "tournament", "format")
 _SCOPED_PAIRS = f"""p AS (
   SELECT s.scope, t.event_id, t.side, h.gf, h.ga,
@@ -103,15 +122,9 @@ LEFT JOIN p ON p.scope = s.scope AND p.event_id = t.event_id AND p.side = t.side
 GROUP BY s.scope, t.event_id, t.side, w.last_n"""
 
 
-@query("asof_scoped_form", _scoped_sql("SELECT unnest([10, 0]) AS last_n"))
+@query("asof_scoped_form", _scoped_sql(SIZES))
 def asof_scoped_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes compare null-safely: a null tournament or format equals a null one."""
-    form = _form(spark, sf_dir, scopes=_SCOPED, windows=(10,))
-    return rounded(form.drop("cutoff_at"))
-
-
-@query("asof_scoped_form_all_windows", _scoped_sql(SIZES))
-def asof_scoped_form_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = _form(spark, sf_dir, scopes=_SCOPED)
     return rounded(form.drop("cutoff_at"))
 
@@ -165,26 +178,16 @@ LEFT JOIN p ON p.scope = k.scope AND p.event_id = k.event_id AND p.side = k.side
 GROUP BY k.scope, k.event_id, k.side, w.last_n"""
 
 
-def _team_form(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+@query("asof_team_form", _team_sql(SIZES))
+def asof_team_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = asof.last_n_form(
         with_teams(bindings.matches(spark, sf_dir)),
         with_teams(bindings.match_targets(spark, sf_dir)),
         scopes=("player_team", "player_team_h2h"),
-        **options,
     )
     return rounded(form.drop("cutoff_at"))
 
 
-@query("asof_team_form", _team_sql("SELECT unnest([5, 25, 0]) AS last_n"))
-def asof_team_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _team_form(spark, sf_dir, windows=(5, 25))
-
-
-@query("asof_team_form_all_windows", _team_sql(SIZES))
-def asof_team_form_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _team_form(spark, sf_dir)
-
-
 _SESSION_SQL = f"""{bindings.with_views('matches')}, {SIDES}, {PLAYER_PAIRS},
 gaps AS (SELECT *, CASE WHEN lag(started_at) OVER o - started_at > INTERVAL 45 MINUTE THEN 1 ELSE 0 END AS brk
   FROM p WINDOW o AS (PARTITION BY event_id, side ORDER BY rn)),
@@ -196,7 +199,7 @@ isle AS (SELECT *, sum(brk) OVER (PARTITION BY event_id, side ORDER BY rn) AS is
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.session_form(bindings.matches(spark, sf_dir), bindings.match_targets(spark, sf_dir))
+    return sessions.session_form(bindings.matches(spark, sf_dir), bindings.match_targets(spark, sf_dir))
 
 
 @query("session_features", f"""{_SESSION_SQL}

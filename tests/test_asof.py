@@ -7,7 +7,7 @@ from statistics import fmean, median, pstdev
 
 import pytest
 
-from oddsloom.operators import asof
+from oddsloom.operators import asof, sessions
 
 CUTOFF = datetime(2026, 1, 10, 12, 0)
 HISTORY = (
@@ -133,13 +133,14 @@ def test_bulk_loaded_history(spark):
     check(spark, history, targets, ("global", "h2h"), (3, 10, 50))
 
 
-@pytest.mark.parametrize("seed,late", [(3, None), (4, datetime(2026, 1, 1, 20))])
-def test_cut_segments_give_the_same_rows(spark, seed, late, monkeypatch):
-    monkeypatch.setattr(asof, "CHUNKS_PER_SPAN", 3)
+@pytest.mark.parametrize("seed,late,rows,bucket", [
+    (3, None, 20, 600), (4, datetime(2026, 1, 1, 20), 20, 600), (3, None, 1, 60), (4, datetime(2026, 1, 1, 20), 3, 100_000),
+])
+def test_chunks_of_any_size_give_the_same_rows(spark, seed, late, rows, bucket):
     history, targets = world(seed, 400, players=2, late=late)
     check(
         spark, history, targets, ("global", "tournament", "h2h"), (2, 7, 30),
-        cut=True, chunk_rows=20, bucket_seconds=600,
+        chunk_rows=rows, bucket_seconds=bucket,
     )
 
 
@@ -201,7 +202,7 @@ def session_of(rows, cutoff, gap=timedelta(minutes=45)):
 def test_sessions_and_streaks(spark, seed, late, cut):
     history, targets = world(seed, 350, players=3, late=late)
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
-    rows = asof.session_form(h, t, cut=cut, chunk_rows=20).collect()
+    rows = sessions.session_form(h, t, cut=cut, chunk_rows=20).collect()
     assert len(rows) == 2 * len({(x[0], x[1]) for x in targets})
     by_key = {(x[0], x[1]): x for x in targets}
     for r in rows:
@@ -228,7 +229,7 @@ def test_cut_sessions_of_prompt_results(spark):
     targets += [(h[0], h[1], "football", "a", None, None, "f", "A", "B", None, None) for h in history[::5]]
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
     by_key = {(x[0], x[1]): x for x in targets}
-    for r in asof.session_form(h, t, cut=True, chunk_rows=30).collect():
+    for r in sessions.session_form(h, t, cut=True, chunk_rows=30).collect():
         wanted = session_of(matches(history, by_key[r.event_id, r.cutoff_at], "global", r.side), r.cutoff_at)
         got = (
             r.matches_last_30m, r.matches_last_1h, r.matches_last_3h,
@@ -248,5 +249,5 @@ def test_windows_must_be_positive(spark):
 def test_plan_has_no_pair_join(spark):
     history, targets = world(9, 50)
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
-    plan = asof.last_n_form(h, t, cut=False)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "CartesianProduct" not in plan
+    plan = asof.last_n_form(h, t)._jdf.queryExecution().executedPlan().toString()
+    assert "Nested" not in plan and "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -14,7 +14,7 @@ from oddsloom.plans.catalog import ORACLES, QUERIES
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="benchmark tables not present")
 SAMPLE = (
-    "asof_player_form", "asof_scoped_form", "streak_features", "walk_forward_metrics", "poisson_totals",
+    "asof_player_form", "streak_features", "walk_forward_metrics", "poisson_totals",
     "settled_quotes", "implied_probability", "corridor_lookup", "quote_corridors", "signal_filter_reasons",
     "drawdown_streaks", "market_backtest", "event_matching", "name_resolution", "json_ingest",
     "rejection_ledger", "baseline_probabilities", "temporal_guards", "payload_dedup_stream", "alert_dedup", "live_signals", "audit_orphans", "latest_quote_stream",
@@ -53,7 +53,7 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["asof_scoped_form_all_windows", "asof_team_form_all_windows"])
+@pytest.mark.parametrize("name", ["asof_scoped_form", "asof_team_form"])
 def test_every_window_in_every_scope(spark, db, name):
     test_query_equals_its_sql(spark, db, name)
     assert {row.last_n for row in QUERIES[name](spark, SMALL).select("last_n").distinct().collect()} == {*WINDOWS, 0}
