@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsloom.operators import alerts
-from oddsloom.plans import bindings
+from oddsloom.plans import bindings, ingest
 from oddsloom.plans.form import rounded
 from oddsloom.plans.registry import query
 from oddsloom.session import scratch_path, use_utc
@@ -140,3 +140,36 @@ def stale_quotes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = events_stream(spark, sf_dir).select("event_id", F.col("ts").alias("received_at"))
     fresh = pipeline.fresh_only(stream, F.lit("2024-01-20").cast("timestamp"), 86400.0)
     return run(fresh, "fresh").select("event_id")
+
+
+_BROKEN = "event_id % 11 = 3 OR event_id % 13 = 5"
+
+
+@query("snapshot_stream", f"""WITH b AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, floor((1.01::DOUBLE + value / 20) * 1000) / 1000 AS price FROM events),
+c AS (SELECT *, CASE WHEN {_BROKEN} THEN 'payload requires sports and events arrays' WHEN k % 3 <> 2 AND k % 19 = 0 THEN 'invalid core fields for event ' || event_id
+    WHEN k % 3 <> 2 AND k % 17 = 0 THEN 'missing startTime for event ' || event_id END AS reason FROM b)
+SELECT event_id AS payload_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS received_date, CAST(CASE WHEN {_BROKEN} THEN 0 ELSE 2 END AS BIGINT) AS received,
+  CAST(CASE WHEN reason IS NULL AND k % 3 <> 2 THEN 1 ELSE 0 END AS BIGINT) AS parsed, CAST(CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS BIGINT) AS rejected,
+  CASE WHEN reason IS NULL THEN 'success' ELSE 'partial' END AS status, reason AS last_error,
+  CAST(CASE WHEN reason IS NULL AND k % 3 <> 2 THEN 3 + 3 * (price > 1)::INT ELSE 0 END AS BIGINT) AS quotes,
+  CASE WHEN reason IS NULL AND k % 3 <> 2 THEN CAST(CAST(price + 3 AS DECIMAL(12,5)) AS DOUBLE) END AS highest, CAST(1 AS BIGINT) AS copies FROM c""")
+def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog payloads landing in several files, some of them unreadable, collected over several micro-batches."""
+    payloads = ingest.catalog_payloads(spark, sf_dir)
+    pipeline.use_rocksdb(spark)
+    broken = F.when(F.col("payload_id") % 11 == 3, F.lit("{not json")).when(F.col("payload_id") % 13 == 5, F.lit('{"sports": []}'))
+    landed = scratch_path(spark, "landed")
+    payloads.withColumn("body", F.coalesce(broken, "body")).withColumn("provider", F.lit("book")).repartition(6, "payload_id").write.json(landed)
+    schema = "payload_id long, received_at timestamp, body string, provider string"
+    stream = pipeline.file_stream(spark, landed, schema, max_files=2, fmt="json")
+    out = scratch_path(spark, "snapshots")
+    pipeline.collect_snapshots(stream, out, scratch_path(spark, "snapshots-progress")).awaitTermination()
+    runs = spark.read.parquet(f"{out}/runs")
+    quotes = spark.read.parquet(f"{out}/quotes").groupBy("payload_id").agg(
+        F.count("*").alias("quotes"), F.max("odds").cast("double").alias("highest")
+    )
+    archive = spark.read.parquet(f"{out}/archive").groupBy("payload_id").agg(F.count("*").alias("copies"))
+    return runs.join(quotes, "payload_id", "left").join(archive, "payload_id", "left").select(
+        "payload_id", F.col("received_date").cast("string").alias("received_date"), "received", "parsed", "rejected", "status", "last_error",
+        F.coalesce("quotes", F.lit(0).cast("long")).alias("quotes"), "highest", "copies",
+    )

@@ -139,7 +139,19 @@ def _invalid_core(event: Column) -> Column:
     return event["id"].isNull() | event["team1"].isNull() | event["team2"].isNull()
 
 
+def decode(payloads: DataFrame) -> DataFrame:
+    """payload_id, received_at and ``j``, the parsed body; null where it is no JSON object of the known shape."""
+    return payloads.select(
+        "payload_id", "received_at", F.from_json("body", schemas.BOOK_CATALOG).alias("j")
+    )
+
+
 def parse(payloads: DataFrame) -> dict[str, DataFrame]:
+    """:func:`tables` of payloads that are decoded where each table is computed."""
+    return tables(decode(payloads))
+
+
+def tables(read: DataFrame) -> dict[str, DataFrame]:
     """tournaments, events, quotes, rejects, items (root events of known tournaments) and received.
 
     ``received`` counts all events of a payload, looked at or not; 0 where it
@@ -148,9 +160,6 @@ def parse(payloads: DataFrame) -> dict[str, DataFrame]:
     A payload is self-contained: parents, tournaments and events are looked up
     in its own arrays. Payloads are parsed independently, without a shuffle.
     """
-    read = payloads.select(
-        "payload_id", "received_at", F.from_json("body", schemas.BOOK_CATALOG).alias("j")
-    )
     # No filter on the parsed column: it would be pushed below the projection
     # and parse every payload again. Null arrays simply explode to nothing.
     broken = F.col("j.sports").isNull() | F.col("j.events").isNull()

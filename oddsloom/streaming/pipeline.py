@@ -15,7 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming import StreamingQuery
 
 from oddsloom.operators import alerts, live, quotes
-from oddsloom.sources import raw
+from oddsloom.sources import book_catalog, ledger, raw
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -62,6 +62,41 @@ def batch_sink(
     )
 
 
+def collect_snapshots(
+    payloads: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None
+) -> StreamingQuery:
+    """Archive, parse and append catalog payloads (payload_id, received_at, provider, body) as they come.
+
+    A micro-batch is decoded once and feeds all tables under ``path``: archive
+    (content hash and size of each payload), tournaments, events, quotes,
+    rejects and runs (counts, status and first reasons a payload). Each table
+    has one directory a batch, which a retry replaces, and below it one a
+    received date; so nothing is stored twice and a date is read alone. A
+    payload that cannot be read is archived and rejected, and holds up nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        read = book_catalog.decode(batch).persist()
+        found = book_catalog.tables(read)
+        runs = ledger.runs(
+            found["items"].select("payload_id", "position", "reject_reason"), ["payload_id"],
+            received=found["received"].select("payload_id", "received"),
+        ).join(read.select("payload_id", "received_at"), "payload_id")
+        kept = {name: found[name] for name in ("tournaments", "events", "quotes", "rejects")}
+        archived = raw.archived(batch).drop("body")
+        for name, rows in {**kept, "runs": runs, "archive": archived}.items():
+            dated = rows.withColumn("received_date", F.to_date("received_at"))
+            dated.write.mode("overwrite").partitionBy("received_date").parquet(f"{path}/{name}/batch_id={batch_id}")
+        read.unpersist()
+
+    return (
+        payloads.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def distinct_payloads(payloads: DataFrame, delay: str = "1 hour") -> DataFrame:
     """First copy of each payload content seen within the delay."""
     hashed = raw.archived(payloads).withWatermark("received_at", delay)

@@ -218,3 +218,33 @@ def test_signal_stream_sends_the_best_alert_once(spark, tmp_path):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_snapshots_collected_twice_are_stored_once(spark, tmp_path):
+    """Readable, unreadable and empty payloads; every batch is tried again under its old id."""
+    good = (
+        '{"sports": [{"id": 1, "name": "Football", "alias": "football"}, {"id": 11, "parentId": 1, "name": "FC26. United Esports Leagues. 2x3 min. Czech"}],'
+        ' "events": [{"id": 5, "level": 1, "sportId": 11, "team1": "A (x)", "team2": "B (y)", "startTime": 1767225600, "place": "line"},'
+        ' {"id": 6, "level": 1, "sportId": 11, "team1": "A (x)", "startTime": 1767225600}],'
+        ' "customFactors": [{"e": 5, "factors": [{"f": 921, "v": 1.5}, {"f": 922, "v": 1.0}]}]}'
+    )
+    bodies = [good, "{", "", None, '{"events": []}', good]
+    landed = str(tmp_path / "landed")
+    for i, body in enumerate(bodies):
+        spark.createDataFrame([(i, T0 + timedelta(days=i), "book", body)], "payload_id long, received_at timestamp, provider string, body string").coalesce(1).write.mode(
+            "append").parquet(landed)
+    schema = spark.read.parquet(landed).schema
+    for attempt in range(2):
+        stream = pipeline.file_stream(spark, landed, schema, max_files=4)
+        pipeline.collect_snapshots(stream, str(tmp_path / "out"), str(tmp_path / f"progress{attempt}")).awaitTermination()
+
+    def stored(name):
+        return spark.read.parquet(str(tmp_path / "out" / name))
+
+    assert stored("archive").count() == 6 and stored("archive").select("batch_id").distinct().count() == 2
+    runs = {r.payload_id: (r.received, r.parsed, r.rejected, r.status) for r in stored("runs").collect()}
+    assert runs == {0: (2, 1, 1, "partial"), 5: (2, 1, 1, "partial"), **{i: (0, 0, 1, "partial") for i in (1, 2, 3, 4)}}
+    assert sorted((r.payload_id, r.event_id, float(r.odds)) for r in stored("quotes").collect()) == [(0, "5", 1.5), (5, "5", 1.5)]
+    assert stored("rejects").count() == 6
+    day = stored("quotes").where(F.col("received_date") == F.lit((T0 + timedelta(days=5)).date()))
+    assert day.count() == 1 and "PartitionFilters: [isnotnull(received_date" in day._jdf.queryExecution().executedPlan().toString()
