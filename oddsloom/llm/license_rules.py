@@ -38,7 +38,7 @@ ISC; 5; license; (?:the )?isc license
 0BSD; 1; license; zero clause bsd license|bsd zero clause license
 0BSD; 2; spdx; spdx license identifier 0bsd
 Apache-2.0; 1; apache; licensed (?:to you )?under the apache license version 2(?: 0)?(?: the license)?
-Apache-2.0; 1; license; you may not use this file except in compliance with the license
+Apache-2.0; 1; license; you may not use this file except in compliance with the license you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0
 Apache-2.0; 1; apache; (?:released|distributed|available) under (?:the )?(?:terms of the )?apache (?:software )?license(?: version)? 2(?: 0)?
 Apache-2.0; 2; spdx; spdx license identifier apache 2 0
 Apache-2.0; 3; apache; apache (?:software )?license(?: version| v)? ?2(?: 0)?
@@ -49,14 +49,14 @@ Apache-1.1; 3; apache; apache (?:software )?license(?: version)? 1 1
 Apache-1.1; 2; spdx; spdx license identifier apache 1 1
 Apache-1.0; 3; apache; apache (?:software )?license(?: version)? 1 0
 Apache; 5; apache; apache (?:software )?license
-BSD-2-Clause; 1; redistribut; redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce
+BSD-2-Clause; 1; redistribut; redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by
 BSD-2-Clause; 1; bsd; (?:released|distributed|licensed) under (?:the )?(?:simplified|freebsd|2 clause) bsd license
 BSD-2-Clause; 2; spdx; spdx license identifier bsd 2 clause(?: patent)?
 BSD-2-Clause; 3; bsd; bsd 2 clause(?: license)?|2 clause bsd(?: license)?|two clause bsd(?: license)?
 BSD-2-Clause; 4; bsd; opensource org licenses? bsd 2 clause
 BSD-2-Clause; 5; bsd; simplified bsd license|freebsd license
 BSD-3-Clause; 1; contributors; neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software
-BSD-3-Clause; 1; redistribut; redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+BSD; 1; redistribut; redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 BSD-3-Clause; 1; bsd; (?:released|distributed|licensed) under (?:the )?(?:new|modified|revised|3 clause) bsd license
 BSD-3-Clause; 2; spdx; spdx license identifier bsd 3 clause(?: clear)?
 BSD-3-Clause; 3; bsd; bsd 3 clause(?: license)?|3 clause bsd(?: license)?|three clause bsd(?: license)?
@@ -71,7 +71,8 @@ BSD; 5; bsd; (?:the )?bsd(?: style)? license
 GPL-3.0-or-later; 1; general public; redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 GPL-2.0-or-later; 1; general public; redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
 GPL-3.0-only; 1; general public; under the terms of (?:the )?gnu general public license version 3(?: 0)? only
-GPL-2.0-only; 1; general public; under the terms of (?:the )?gnu general public license version 2(?: 0)?(?: only| as published by the free software foundation)
+GPL-2.0-or-later; 1; general public; under the terms of (?:the )?gnu general public license version 2(?: 0)?(?: as published by the free software foundation)?(?: either version 2(?: 0)?(?: of the license)?)? or (?:at your option )?any later version
+GPL-2.0-only; 1; general public; under the terms of (?:the )?gnu general public license version 2(?: 0)?(?: only| as published by the free software foundation)(?! either| or at your option| or any later)
 GPL-3.0; 1; general public; (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?gnu general public license(?: as published by the free software foundation)? (?:version|v) ?3(?: 0)?
 GPL-2.0; 1; general public; (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?gnu general public license(?: as published by the free software foundation)? (?:version|v) ?2(?: 0)?
 GPL-3.0-or-later; 2; spdx; spdx license identifier gpl 3 0 or later
