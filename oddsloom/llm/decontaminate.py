@@ -14,7 +14,13 @@ of words is found however long its item is; a part's score is that of the part.
 Only passages travel to the tasks, in shards of a fixed number of words; each
 further shard is a further pass, so what is broadcast does not grow. Words are
 runs of letters and digits in ASCII and of all other characters, in lower case.
-Null texts count as empty. Items of under five words are never reported.
+Null texts count as empty. Items of three or four words are found where they
+stand whole, word for word; items of fewer identify no passage and are never
+reported. Repeated rows are searched each, repeated items reported once a
+document. A very long text is searched whole, near its seeds only. Empty tables
+give no rows. Words are told apart by 64-bit hashes, a polynomial over their
+bytes, so texts made to collide can count as equal. Extra columns are ignored by
+``find`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ from pyspark.sql import functions as F
 
 from oddsloom.llm.common import strings
 
-GRAM, LEAST_WORDS = 3, 5
+#: Words of a seed, of the shortest item, and of items that have to stand whole.
+GRAM, LEAST_WORDS, WHOLE_WORDS = 3, 3, 4
 #: Words of a passage, and by how many the next one of a long item starts later.
 PASSAGE, STRIDE = 256, 128
 #: Words of all passages that one pass broadcasts (8 bytes each, and as much for the seeds).
@@ -82,19 +89,25 @@ def gram_hashes(words: np.ndarray) -> np.ndarray:
     return _mixed(total)
 
 
-def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int]:
-    """Best local alignment score of two word sequences, and the last place of it in ``window``."""
-    slope = -_GAP * np.arange(len(window) + 1)
-    row, best, place = np.zeros(len(window) + 1, np.int64), 0, 0
+def align(passage: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment score of two word sequences, and its first place in ``window`` and the one after its last.
+
+    A cell holds its score in the upper and the place where its alignment begins
+    in the lower half of a number, so one maximum carries both along.
+    """
+    one = np.int64(1) << np.int64(32)
+    places = np.arange(len(window) + 1)
+    slope = -_GAP * places * one
+    row, best = places.copy(), (0, 0, 0)
     for word in passage:
-        hit = np.where(window == word, _MATCH, _MISMATCH)
-        cell = np.maximum(row + _GAP, 0)
+        hit = np.where(window == word, _MATCH, _MISMATCH) * one
+        cell = np.maximum(row + _GAP * one, places)
         np.maximum(cell[1:], row[:-1] + hit, out=cell[1:])
         row = np.maximum.accumulate(cell + slope) - slope
         top = int(row.argmax())
-        if row[top] > best:
-            best, place = int(row[top]), top
-    return best, place
+        if int(row[top] >> 32) > best[0]:
+            best = int(row[top] >> 32), int(row[top] & (one - 1)), top
+    return best
 
 
 class Seeds:
@@ -126,7 +139,7 @@ class Seeds:
         return np.repeat(places, sizes), at
 
     def matches(self, text: str, threshold: float) -> dict[int | None, tuple[float, int, int]]:
-        """Per item found in a text: score, and first and last word of the window part that ends the alignment.
+        """Per item found in a text: score, and the first and last word of the alignment.
 
         Parts of an item only count where no whole passage of it is found.
         """
@@ -146,12 +159,13 @@ class Seeds:
                     continue
                 begin = max(0, int(cluster[0]) - len(passage))
                 end = min(len(words), int(cluster[-1]) + GRAM + len(passage))
-                best, last = align(passage, words[begin:end])
+                best, first, last = align(passage, words[begin:end])
                 score = best / (_MATCH * len(passage))
                 kept, least = (in_parts, max(threshold, ENOUGH / PART)) if self.parts[owner] else (found, threshold)
+                least = 1.0 if len(passage) <= WHOLE_WORDS else least
                 known = kept.get(self.items[owner])
                 if score >= least and (known is None or score > known[0]):
-                    kept[self.items[owner]] = (score, max(begin, begin + last - len(passage)), begin + last)
+                    kept[self.items[owner]] = (score, begin + first, begin + last - 1)
         return {**in_parts, **found}
 
 
