@@ -48,8 +48,8 @@ _CODES ^= _CODES >> np.uint64(29)
 _CODES[65:91] = _CODES[97:123]
 _CODES[[9, 10, 11, 12, 13, 32]] = 0
 _SPACE = re.compile(rb"[\x09-\x0D\x20]")
-#: Bytes of text that are hashed at once, and n-grams that are counted at once.
-_PIECE, _COUNTED = 1 << 20, 1 << 22
+#: Bytes of text that are hashed at once, n-grams that are counted at once, and rows whose texts are Python strings at once.
+_PIECE, _COUNTED, _ROWS = 1 << 18, 1 << 20, 256
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -57,7 +57,7 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse."""
     inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
@@ -69,7 +69,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word; a polynomial over its bytes, read off a running sum over all bytes."""
     codes = np.frombuffer(raw, np.uint8)
-    forward, back = _powers(1 << max(16, len(raw).bit_length()))
+    forward, back = _powers(max(2 * _PIECE, 1 << len(raw).bit_length()))
     inside = _CODES[codes] != 0
     edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
@@ -113,16 +113,17 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return result, counts
 
 
-def _bundles(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about _PIECE characters together."""
-    begin = size = 0
-    for place, text in enumerate(texts):
-        size += len(text)
-        if size >= _PIECE:
-            yield begin, place + 1
-            begin, size = place + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _bundles(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows of about _PIECE characters together, and their texts."""
+    for first in range(0, batch.num_rows, _ROWS):
+        rows = batch.slice(first, _ROWS)
+        texts = strings(rows["text"])
+        begin = size = 0
+        for place, text in enumerate(texts):
+            size += len(text)
+            if size >= _PIECE or place == len(texts) - 1:
+                yield rows.slice(begin, place + 1 - begin), texts[begin : place + 1]
+                begin, size = place + 1, 0
 
 
 def pairs(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -171,20 +172,22 @@ def _amount(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level.astype(float) - 1)))
 
 
-def _counted(rows: DataFrame, of_pairs: bool) -> DataFrame:
-    """n-gram hashes of the texts with their counts, a bounded number of tokens at a time."""
+def _counted(rows: DataFrame, blocks: int = 0) -> DataFrame:
+    """Hashes of the texts' words with their counts or, given the number of blocks, of their pairs with blocks and counts."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         grams, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], names=["gram", "n"])
+        columns = [pa.array(grams.view(np.int64)), pa.array(n)]
+        if not blocks:
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(_places(grams, blocks).astype(np.int64)), *columns], names=["block", "gram", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            texts = strings(batch["text"])
-            for begin, end in _bundles(texts):
-                words, counts = tokens(texts[begin:end])
-                held.append(pairs(words, counts) if of_pairs else words)
+            for _, texts in _bundles(batch):
+                words, counts = tokens(texts)
+                held.append(pairs(words, counts) if blocks else words)
                 size += len(words)
                 if size >= _COUNTED:
                     yield counted(held)
@@ -192,17 +195,21 @@ def _counted(rows: DataFrame, of_pairs: bool) -> DataFrame:
         if held:
             yield counted(held)
 
-    return rows.select("text").mapInArrow(run, "gram long, n long")
-
+    return rows.select("text").mapInArrow(run, "block long, gram long, n long" if blocks else "gram long, n long")
 
-def build_filter(grams: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block and its bytes, from rows of (gram, n) in which a gram may occur several times."""
 
+def _with_blocks(grams: DataFrame, blocks: int) -> DataFrame:
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _places(batch["gram"].to_numpy().view(np.uint64), blocks).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch["gram"], batch["n"]], names=["block", "gram", "n"])
 
+    return grams.mapInArrow(place, "block long, gram long, n long")
+
+
+def build_filter(grams: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block and its bytes, from rows of (block, gram, n) in which a gram may occur several times."""
+
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(batch["gram"].to_numpy(), batch["n"].to_numpy()) for batch in batches]
         if not parts:
@@ -226,8 +233,7 @@ def build_filter(grams: DataFrame, blocks: int, block_bytes: int = BLOCK_BYTES)
                 names=["block", "bits"],
             )
 
-    placed = grams.mapInArrow(place, "block long, gram long, n long")
-    return placed.repartition("block").select("block", "gram", "n").mapInArrow(fill, "block long, bits binary")
+    return grams.repartition("block").select("block", "gram", "n").mapInArrow(fill, "block long, bits binary")
 
 
 def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -254,12 +260,11 @@ def score(
     held_out = (fold(F.col("doc_id")) == HELD_OUT_FOLD).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long"), held_out, F.coalesce("text", F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
-    counts = materialize(
-        _counted(training, False).groupBy("gram").agg(F.sum("n").alias("n")), "word-counts"
-    )
+    counts = materialize(_counted(training).groupBy("gram").agg(F.sum("n").alias("n")), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-total * BITS_PER_TOKEN // (block_bytes * 8)))
-    made = materialize(build_filter(_counted(training, True).unionByName(counts), blocks, block_bytes), "filter")
+    counted = _counted(training, blocks).unionByName(_with_blocks(counts, blocks))
+    made = materialize(build_filter(counted, blocks, block_bytes), "filter")
     grams, amounts, least = _head(counts, head_words)
     head = spark.sparkContext.broadcast((grams, amounts))
     floor = total + 0.5 * (distinct + 1)
@@ -313,16 +318,17 @@ def score(
         return np.add.reduceat(logs, starts), np.add.reduceat(hit.astype(np.int64), starts), missing
 
     fields = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rest array<long>"
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
     shards = -(-blocks // per_shard)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    if shards > 1:
+        # Every pass has to meet the same numbers, wherever the rows come from.
+        numbered = materialize(numbered, "numbered")
 
     def first_pass(table) -> object:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = strings(batch["text"])
-                for begin, end in _bundles(texts):
-                    some = batch.slice(begin, end - begin)
-                    words, counts = tokens(texts[begin:end])
+                for some, texts in _bundles(batch):
+                    words, counts = tokens(texts)
                     sums, known, rest = base(words, counts)
                     columns = [
                         some["row"], some["doc_id"], some["held_out"], pa.array(counts.astype(np.int64)),
@@ -377,10 +383,8 @@ def _more_shards(
     def noting(table, first):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = strings(batch["text"])
-                for begin, end in _bundles(texts):
-                    some = batch.slice(begin, end - begin)
-                    words, counts = tokens(texts[begin:end])
+                for some, texts in _bundles(batch):
+                    words, counts = tokens(texts)
                     notes = pa.array(_notes(levels_of(words, counts, table.value, first), counts), pa.binary())
                     yield pa.RecordBatch.from_arrays([some["row"], notes], names=["row", "notes"])
 
