@@ -139,19 +139,56 @@ def rows_of(tables: Mapping[str, DataFrame], check: Unique | Reference | Contrac
     return broken_rows(tables, check)
 
 
+def orphan_counts(tables: Mapping[str, DataFrame], checks: Sequence[Reference]) -> DataFrame:
+    """name and n (child rows without a parent) of all reference checks, reading each table once.
+
+    A table gives the keys it refers to, each under its check, and the keys that
+    others refer to, under no check. All meet by (parent, key): counted per
+    check before they move, so a key that most rows share moves as one row a
+    task, and a group holds a row a check at most.
+    """
+    wanted = {(check.parent, check.parent_key) for check in checks}
+    rows = None
+    for name, table in tables.items():
+        entries = []
+        for check in (check for check in checks if check.table == name):
+            key = F.col(check.key).cast("string")
+            entry = F.struct(
+                F.lit(f"{check.parent}.{check.parent_key}").alias("parent"), key.alias("key"), F.lit(check.name).alias("name")
+            )
+            entries.append(F.when(key.isNotNull(), entry) if check.optional else entry)
+        for key in sorted(key for parent, key in wanted if parent == name):
+            entry = F.struct(F.lit(f"{name}.{key}").alias("parent"), F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("name"))
+            entries.append(F.when(F.col(key).isNotNull(), entry))
+        if entries:
+            own = table.select(F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select("e.*")
+            rows = own if rows is None else rows.unionByName(own)
+    counted = rows.groupBy("parent", "key", "name").agg(F.count("*").alias("n"))
+    met = counted.groupBy("parent", "key").agg(
+        F.count_if(F.col("name").isNull()).alias("parents"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "n"))).alias("held")
+    )
+    lost = met.where("parents = 0").select(F.explode("held").alias("c")).select("c.name", "c.n")
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(check.name) for check in checks])).alias("name"), F.lit(0).cast("long").alias("n"))
+    return lost.unionByName(names).groupBy("name").agg(F.sum("n").alias("n"))
+
+
 def audit(
     tables: Mapping[str, DataFrame],
     checks: Sequence[Unique | Reference | Contract] = CHECKS,
 ) -> DataFrame:
     """(kind, name, n): row counts of all tables and findings of all checks."""
+    references = [check for check in checks if isinstance(check, Reference)]
     parts = [("rows", name, table) for name, table in tables.items()]
-    parts += [("problem", check.name, rows_of(tables, check)) for check in checks]
+    parts += [("problem", check.name, rows_of(tables, check)) for check in checks if not isinstance(check, Reference)]
     out = None
     for kind, name, rows in parts:
         row = rows.agg(F.count("*").alias("n")).select(
             F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n"
         )
         out = row if out is None else out.unionByName(row)
+    if references:
+        found = orphan_counts(tables, references).select(F.lit("problem").alias("kind"), "name", "n")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
