@@ -173,3 +173,36 @@ def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payload_id", F.col("received_date").cast("string").alias("received_date"), "received", "parsed", "rejected", "status", "last_error",
         F.coalesce("quotes", F.lit(0).cast("long")).alias("quotes"), "highest", "copies",
     )
+
+
+@query("alert_delivery_stream", """WITH a AS (SELECT event_id, ts, user_id * 1000 + dayofyear(ts) AS event_key, CAST(json_extract_string(props, '$.k') AS INT) % 5 <> 0 AS alert,
+    ts >= date_trunc('day', ts) + INTERVAL 18 HOUR AS late FROM events)
+SELECT event_key, count(*) AS signals, CAST(max(CASE WHEN alert AND NOT late THEN 1 ELSE 0 END) AS BIGINT) AS sent, count(*) FILTER (WHERE alert AND late) AS expired,
+  greatest(count(*) FILTER (WHERE alert AND NOT late) - 1, 0) AS repeated, count(*) FILTER (WHERE NOT alert) AS skipped FROM a GROUP BY event_key""")
+def alert_delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of a stream in five batches by time; each key is sent once before its kickoff, and its state then goes."""
+    events = bindings.table(spark, sf_dir, "events")
+    day = F.date_trunc("day", "ts")
+    signals = events.select(
+        F.col("event_id").alias("signal_id"), F.col("ts").alias("created_at"), (day + F.expr("INTERVAL 18 HOURS")).alias("expires_at"),
+        (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("event_key"),
+        F.when(F.get_json_object("props", "$.k").cast("int") % 5 != 0, "alert").otherwise("skip").alias("decision"),
+        F.array().cast("array<string>").alias("filter_reasons"),
+    ).withColumn("alert_key", F.col("event_key").cast("string"))
+    pipeline.use_rocksdb(spark)
+    landed = scratch_path(spark, "signals")
+    six_days = F.floor(F.unix_micros("created_at") / F.lit(6 * 86_400_000_000))
+    dated = signals.withColumn("slot", six_days - signals.agg(F.min(six_days)).scalar())
+    for number in range(5):
+        chosen = F.col("slot") == number if number < 4 else F.col("slot") >= number
+        dated.where(chosen).drop("slot").coalesce(1).write.mode("append").parquet(landed)
+    stream = pipeline.file_stream(spark, landed, signals.schema, max_files=1)
+    sent = run(pipeline.delivered_once(stream), "delivered")
+    after = pipeline.with_deliveries(spark.read.parquet(landed), sent)
+    reason = F.try_element_at("filter_reasons", F.lit(-1))
+    return after.groupBy("event_key").agg(
+        F.count("*").alias("signals"), F.count_if(F.col("decision") == "alert").alias("sent"),
+        F.count_if(reason == "delivery_expired").alias("expired"),
+        F.count_if(reason == "duplicate_alert").alias("repeated"),
+        F.count_if((F.size("filter_reasons") == 0) & (F.col("decision") == "skip")).alias("skipped"),
+    )

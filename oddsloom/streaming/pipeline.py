@@ -207,6 +207,37 @@ def alert_sink(path: str, row_id: str = "prediction_id") -> Callable[[DataFrame,
     return transform
 
 
+def delivered_once(
+    signals: DataFrame, *, key: str = "alert_key", at: str = "created_at", until: str = "expires_at", life: str = "1 day"
+) -> DataFrame:
+    """The alerts of a stream that are sent: one of each key, and none whose time was up when it came.
+
+    Keys sent are state, held for ``life`` after the alert and then dropped as
+    the watermark moves on; ``life`` has to cover the time from an alert to its
+    ``until``, since whatever comes later is out anyway. A batch looks its own
+    keys up and reads nothing that was written before.
+    """
+    due = signals.where((F.col("decision") == "alert") & (F.col(until).isNull() | (F.col(at) < F.col(until))))
+    return due.withWatermark(at, life).dropDuplicatesWithinWatermark([key])
+
+
+def with_deliveries(
+    signals: DataFrame, delivered: DataFrame, *, row_id: str = "signal_id", at: str = "created_at", until: str = "expires_at"
+) -> DataFrame:
+    """Signals after delivery: alerts that came too late or repeat a sent key are skips with a reason."""
+    sent = delivered.select(F.col(row_id), F.lit(True).alias("_sent")).distinct()
+    joined = signals.join(sent, row_id, "left")
+    unsent = (F.col("decision") == "alert") & F.col("_sent").isNull()
+    late = F.coalesce(F.col(at) >= F.col(until), F.lit(False))
+    reason = F.when(late, "delivery_expired").otherwise("duplicate_alert")
+    return joined.withColumns(
+        {
+            "filter_reasons": F.when(unsent, F.array_append("filter_reasons", reason)).otherwise(F.col("filter_reasons")),
+            "decision": F.when(unsent, "skip").otherwise(F.col("decision")),
+        }
+    ).select(*signals.columns)
+
+
 def signal_batches(
     static: Callable[[], dict[str, DataFrame]], strategies: DataFrame, now: Callable[[], Column], path: str
 ) -> Callable[[DataFrame, int], DataFrame]:

@@ -248,3 +248,41 @@ def test_snapshots_collected_twice_are_stored_once(spark, tmp_path):
     assert stored("rejects").count() == 6
     day = stored("quotes").where(F.col("received_date") == F.lit((T0 + timedelta(days=5)).date()))
     assert day.count() == 1 and "PartitionFilters: [isnotnull(received_date" in day._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sent_keys_are_state_that_ends(spark, tmp_path):
+    """Batches of one day each: repeats are held back, late alerts too, and keys leave the state after their day."""
+    rows, n = [], 0
+    for day in range(6):
+        for key in range(20):
+            for minute in (0, 5, 60 * 7):
+                n += 1
+                at = T0 + timedelta(days=day, minutes=minute + key)
+                rows.append((n, at, T0 + timedelta(days=day, hours=6), f"{day}:{key}", "alert" if (key + minute) % 7 else "skip", []))
+    schema = "signal_id long, created_at timestamp, expires_at timestamp, alert_key string, decision string, filter_reasons array<string>"
+    landed = str(tmp_path / "landed")
+    for day in range(6):
+        write_rows = [row for row in rows if row[3].startswith(f"{day}:")]
+        spark.createDataFrame(write_rows, schema).coalesce(1).write.mode("append").parquet(landed)
+    pipeline.use_rocksdb(spark)
+    stream = pipeline.file_stream(spark, landed, spark.read.parquet(landed).schema, max_files=1)
+    out = str(tmp_path / "out")
+    query = pipeline.batch_sink(pipeline.delivered_once(stream, life="7 hours"), out, str(tmp_path / "progress"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    sent = spark.read.parquet(out)
+    after = {r.signal_id: (r.decision, list(r.filter_reasons)) for r in pipeline.with_deliveries(spark.createDataFrame(rows, schema), sent).collect()}
+    want, seen = {}, set()
+    for number, at, until, key, decision, _ in rows:
+        if decision == "skip":
+            want[number] = ("skip", [])
+        elif at >= until:
+            want[number] = ("skip", ["delivery_expired"])
+        elif key in seen:
+            want[number] = ("skip", ["duplicate_alert"])
+        else:
+            seen.add(key)
+            want[number] = ("alert", [])
+    by_key = lambda got: sorted((rows[i - 1][3], rows[i - 1][1] >= rows[i - 1][2], *map(str, value)) for i, value in got.items())
+    assert by_key(after) == by_key(want)
+    assert max(held) <= 60 < len(seen)
