@@ -309,7 +309,7 @@ def last_n_form(
     columns and cutoff_at. ``last_n`` is 0 for the whole history.
     """
     if any(size <= 0 for size in windows):
-        raise ValueError("feature windows must be positive")
+        raise ValueError("a window holds one match or more")
     sizes, largest = sorted(set(windows)), max(windows, default=0)
     numbered = materialize(_numbered(_segment_rows(history, targets, scopes), bucket_seconds), "form-rows")
     past = numbered.where(F.col("kind") == HISTORY).withColumnRenamed("n", "known").withColumn(

@@ -178,9 +178,9 @@ def decide(
     threshold are reported as 0.
     """
     if not 0 <= review_threshold <= auto_threshold <= 1:
-        raise ValueError("thresholds must satisfy 0 <= review <= auto <= 1")
+        raise ValueError("need 0 <= review <= auto <= 1")
     if not 0 <= minimum_margin <= 1:
-        raise ValueError("minimum margin must be between zero and one")
+        raise ValueError("the margin lies outside 0 to 1")
 
     def holders(table: DataFrame | None, label: str) -> DataFrame:
         if table is None:

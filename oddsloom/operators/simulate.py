@@ -76,9 +76,9 @@ def anomaly_flags() -> Column:
 def clock_violation() -> Column:
     """Reason a row breaks the order of clocks; null for a sound row."""
     return (
-        F.when(F.col("feature_cutoff_at") > F.col("decision_at"), "feature cutoff is after decision")
-        .when(F.col("odds_received_at") > F.col("decision_at"), "odds snapshot is from the future")
-        .when(F.col("decision_at") > F.col("event_started_at"), "decision is after event start")
+        F.when(F.col("feature_cutoff_at") > F.col("decision_at"), "features look past the decision")
+        .when(F.col("odds_received_at") > F.col("decision_at"), "quote came after the decision")
+        .when(F.col("decision_at") > F.col("event_started_at"), "decision falls after kickoff")
     )
 
 

@@ -138,9 +138,9 @@ def drawdown_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("temporal_guards", f"""{_OPPORTUNITIES}
-SELECT odds_snapshot_id, 'odds snapshot is from the future' AS violation FROM opps WHERE odds_snapshot_id % 97 = 0
-UNION ALL SELECT odds_snapshot_id, 'decision is after event start' FROM opps WHERE odds_snapshot_id % 97 = 1
-UNION ALL SELECT odds_snapshot_id, 'feature cutoff is after decision' FROM opps WHERE odds_snapshot_id % 97 = 2""")
+SELECT odds_snapshot_id, 'quote came after the decision' AS violation FROM opps WHERE odds_snapshot_id % 97 = 0
+UNION ALL SELECT odds_snapshot_id, 'decision falls after kickoff' FROM opps WHERE odds_snapshot_id % 97 = 1
+UNION ALL SELECT odds_snapshot_id, 'features look past the decision' FROM opps WHERE odds_snapshot_id % 97 = 2""")
 def temporal_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose clocks are out of order, after disturbing some of them."""
     case = F.col("odds_snapshot_id") % 97

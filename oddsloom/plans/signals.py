@@ -336,12 +336,37 @@ SELECT g.strategy, g.snapshot_id, CAST(g.samples AS BIGINT) AS sample_size, roun
 FROM gated g LEFT JOIN ranked r ON r.snapshot_id = g.snapshot_id""")
 def live_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One live run: newest quotes, features at quote time, filters, corridors, best alert."""
-    from oddsloom.operators import corridors
+    return _live_run(spark, live_inputs(spark, sf_dir))
+
+
+_LATER_SQL = _LIVE_SQL.replace(
+    "WHERE n.received_at < e.started_at)", "WHERE n.received_at < e.started_at AND NOT (n.market = '1x2' AND n.snapshot_id % 3 = 0))"
+)
 
+
+@query("later_live_signals", f"""{_LATER_SQL}
+SELECT g.strategy, g.snapshot_id, CAST(g.samples AS BIGINT) AS sample_size, round(g.p, 6) AS probability, round(g.v, 7) AS value_percent, CASE WHEN rn = 1 THEN 'alert' ELSE 'skip' END AS decision,
+  array_to_string(CASE WHEN rn > 1 THEN ['better_selection_available'] ELSE r1 END, ',') AS filter_reasons, 1.5::DOUBLE AS stake_percent
+FROM gated g LEFT JOIN ranked r ON r.snapshot_id = g.snapshot_id""")
+def later_live_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run: snapshots that a model of the same version has predicted are left out, and no older quote takes their place."""
     inputs = live_inputs(spark, sf_dir)
+    known = F.explode(
+        F.array(
+            F.struct(F.lit(live.RESULT_MODEL).alias("model_name"), F.lit("v1").alias("model_version"), (F.col("snapshot_id") % 3 == 0).alias("done")),
+            F.struct(F.lit(live.TOTAL_MODEL).alias("model_name"), F.lit("v0").alias("model_version"), F.lit(True).alias("done")),
+        )
+    )
+    predicted = inputs["quotes"].select("snapshot_id", known.alias("m")).where("m.done").select("snapshot_id", "m.model_name", "m.model_version")
+    return _live_run(spark, inputs, predicted=predicted)
+
+
+def _live_run(spark: SparkSession, inputs: dict[str, DataFrame], **options) -> DataFrame:
+    from oddsloom.operators import corridors
+
     out = live.generate_signals(
         inputs["quotes"], inputs["matches"], inputs["history"], strategies(spark, LIVE),
-        corridors.build(inputs["bets"]), now=F.lit(NOW).cast("timestamp"),
+        corridors.build(inputs["bets"]), now=F.lit(NOW).cast("timestamp"), **options,
     )
     return out.select(
         "strategy", "snapshot_id", "sample_size", F.round("probability", 6).alias("probability"),

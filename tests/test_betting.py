@@ -167,8 +167,8 @@ def test_clock_order_is_enforced(spark):
     good = opportunities(spark, [(1, 0, 0.6, 2.0, 2, 1)], {})
     assert simulate.require_order(good).count() == 1
     bad = good.withColumn("odds_received_at", F.col("decision_at") + F.expr("INTERVAL 1 SECOND"))
-    assert simulate.temporal_violations(bad).first().violation == "odds snapshot is from the future"
-    with pytest.raises(Exception, match="from the future"):
+    assert simulate.temporal_violations(bad).first().violation == "quote came after the decision"
+    with pytest.raises(Exception, match="came after the decision"):
         simulate.require_order(bad).collect()
 
 
