@@ -80,12 +80,13 @@ def closing_observations(
     )
 
 
-def merge_observations(
+def merge_with_changes(
     current: DataFrame, fresh: DataFrame, matched_ids: DataFrame, *, as_of: Column
 ) -> DataFrame:
-    """Observation table after a rebuild: replaced by key, never deleted.
+    """Observation table after a rebuild, ``old`` (its row before) and ``change``.
 
-    Rows of matches that are no longer matched stay, marked inactive.
+    A change is created, updated (found again, changed or not), invalidated (its
+    match is no longer matched) or null. Nothing is deleted.
     """
     keys = list(OBSERVATION_KEY)
     values = [name for name in fresh.columns if name not in keys]
@@ -101,54 +102,111 @@ def merge_observations(
     )
     alive = matched_ids.select("match_id").distinct().withColumn("_alive", F.lit(True))
     joined = merged.join(alive, "match_id", "left")
-    active = F.col("new").isNotNull() | (
-        F.coalesce("old.is_active", F.lit(False)) & F.col("_alive").isNotNull()
-    )
+    was_active = F.coalesce("old.is_active", F.lit(False))
+    active = F.col("new").isNotNull() | (was_active & F.col("_alive").isNotNull())
     return joined.select(
         *keys,
         *[F.coalesce(f"new.{name}", f"old.{name}").alias(name) for name in values],
         active.alias("is_active"),
         F.coalesce("old.created_at", as_of).alias("created_at"),
         F.when(~active, F.coalesce("old.invalidated_at", as_of)).alias("invalidated_at"),
+        "old",
+        F.when(F.col("new").isNotNull(), F.when(F.col("old").isNull(), "created").otherwise("updated"))
+        .when(was_active & ~active, "invalidated").alias("change"),
     )
 
 
-def build(
-    observations: DataFrame,
-    *,
-    group: Sequence[str] = GROUP,
-    family: str = "family",
-    width: str = "0.25",
-    min_samples: int = 20,
+def merge_observations(
+    current: DataFrame, fresh: DataFrame, matched_ids: DataFrame, *, as_of: Column
+) -> DataFrame:
+    """Observation table after a rebuild: replaced by key, never deleted.
+
+    Rows of matches that are no longer matched stay, marked inactive.
+    """
+    return merge_with_changes(current, fresh, matched_ids, as_of=as_of).drop("old", "change")
+
+
+def change_statistics(merged: DataFrame) -> DataFrame:
+    """One row of counts over :func:`merge_with_changes`."""
+    return merged.agg(
+        F.count_if(F.col("change").isin("created", "updated")).alias("observations_materialized"),
+        *[F.count_if(F.col("change") == name).alias(f"observations_{name}") for name in ("created", "updated", "invalidated")],
+    )
+
+
+_TOTALS = ("sample_size", "wins", "returns", "odds_total", "implied_total", "profit_total")
+
+
+def totals(
+    observations: DataFrame, *, group: Sequence[str] = GROUP, family: str = "family", width: str = "0.25", sign: str | None = None
 ) -> DataFrame:
-    """Bucket metrics for the whole market and for each tournament family.
+    """Sums per bucket of the whole market and of each tournament family; ``sign`` names a column of 1 and -1.
 
     Sums of fixed-scale decimals, combined on the map side: the result does not
-    depend on the partitioning, and a bucket with most rows costs one partial
-    row per task.
+    depend on the partitioning, a bucket with most rows costs one partial row
+    per task, and rows taken back leave the sums as if they had never been in.
     """
-    if min_samples <= 0:
-        raise ValueError("min_samples must be positive")
     price = F.col("odds").cast("decimal(12,5)")
     whole = F.struct(F.lit("global").alias("scope_type"), F.lit("").alias("scope_value"))
     narrow = F.struct(F.lit("tournament_family").alias("scope_type"), F.col(family).alias("scope_value"))
     scopes = F.when(F.coalesce(F.col(family), F.lit("")) == "", F.array(whole)).otherwise(
         F.array(whole, narrow)
     )
+    times = (F.col(sign) if sign else F.lit(1)).cast("int")
     rows = observations.where(price > 1).select(
-        *group, F.explode(scopes).alias("s"), "outcome", price.alias("odds"),
+        *group, F.explode(scopes).alias("s"), "outcome", price.alias("odds"), times.alias("sign"),
         odds_fn.bucket_index(price, width).alias("bucket"),
         odds_fn.implied(price).alias("implied"),
         settlement.unit_profit(F.col("outcome"), price).alias("profit"),
     )
-    totals = rows.groupBy(*group, "s.scope_type", "s.scope_value", "bucket").agg(
-        F.count("*").alias("sample_size"),
-        F.count_if(F.col("outcome") == "win").alias("wins"),
-        F.count_if(F.col("outcome") == "return").alias("returns"),
-        F.sum("odds").cast("double").alias("odds_total"),
-        F.sum("implied").cast("double").alias("implied_total"),
-        F.sum("profit").cast("double").alias("profit_total"),
-    ).where(F.col("sample_size") >= min_samples)
+
+    def signed(name: str) -> Column:
+        value = F.col(name)
+        return F.sum(F.when(F.col("sign") < 0, -value).otherwise(value)).alias(f"{name}_total")
+
+    return rows.groupBy(*group, F.col("s.scope_type").alias("scope_type"), F.col("s.scope_value").alias("scope_value"), "bucket").agg(
+        F.sum("sign").alias("sample_size"),
+        F.sum(F.when(F.col("outcome") == "win", F.col("sign")).otherwise(0)).alias("wins"),
+        F.sum(F.when(F.col("outcome") == "return", F.col("sign")).otherwise(0)).alias("returns"),
+        signed("odds"), signed("implied"), signed("profit"),
+    )
+
+
+def refresh_totals(
+    held: DataFrame, merged: DataFrame, *, group: Sequence[str] = GROUP, family: str = "family", width: str = "0.25"
+) -> DataFrame:
+    """Bucket sums ``held`` before a merge, brought up to date from its changed observations alone."""
+    values = [name for name in ("odds", "outcome", family, *group) if name not in OBSERVATION_KEY]
+    keys = [name for name in OBSERVATION_KEY if name in group]
+    before = merged.where("change IS NOT NULL AND old.is_active").select(*keys, *[F.col(f"old.{name}").alias(name) for name in values], F.lit(-1).alias("sign"))
+    after = merged.where("change IS NOT NULL AND is_active").select(*keys, *values, F.lit(1).alias("sign"))
+    delta = totals(before.unionByName(after), group=group, family=family, width=width, sign="sign")
+    key = [*group, "scope_type", "scope_value", "bucket"]
+    summed = held.unionByName(delta).groupBy(*key).agg(*[F.sum(name).alias(name) for name in _TOTALS])
+    return summed.where("sample_size > 0")
+
+
+def build(
+    observations: DataFrame,
+    *,
+    group: Sequence[str] = GROUP,
+    family: str = "family",
+    width: str = "0.25",
+    min_samples: int = 20,
+) -> DataFrame:
+    """Bucket metrics for the whole market and for each tournament family."""
+    return metrics(totals(observations, group=group, family=family, width=width), group=group, width=width, min_samples=min_samples)
+
+
+def metrics(
+    sums: DataFrame, *, group: Sequence[str] = GROUP, width: str = "0.25", min_samples: int = 20
+) -> DataFrame:
+    """Rates of the buckets with samples enough, from their sums."""
+    if min_samples <= 0:
+        raise ValueError("min_samples must be positive")
+    totals = sums.where(F.col("sample_size") >= min_samples).withColumns(
+        {name: F.col(name).cast("double") for name in ("odds_total", "implied_total", "profit_total")}
+    )
     n, wins = F.col("sample_size"), F.col("wins")
     return totals.select(
         *group, "scope_type", "scope_value", "bucket",

@@ -106,3 +106,50 @@ def quote_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
             "line", F.col("line").cast("double")
         )
     )
+
+
+_REFRESH = f"""{bindings.with_views('quotes')},
+obs AS (SELECT snapshot_id AS match_id, market, CASE WHEN snapshot_id % 4 = 0 THEN '' ELSE 'f' || (snapshot_id % 4) END AS family, odds,
+    CASE WHEN score1 > score2 THEN 'win' WHEN score1 < score2 THEN 'loss' ELSE 'return' END AS outcome FROM quotes),
+bets AS (SELECT market, family, CASE WHEN match_id % 10 = 3 THEN odds + 0.05::DECIMAL(12,5) ELSE odds END AS odds,
+    CASE WHEN match_id % 10 = 4 AND outcome = 'loss' THEN 'win' ELSE outcome END AS outcome FROM obs WHERE match_id % 20 <> 2)"""
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(stored observations, their merge with a later run): a tenth is new, a tenth not found again, half of that unmatched."""
+    match, day = F.col("match_id"), F.lit("2024-02-01").cast("timestamp")
+    snapshot = F.col("snapshot_id")
+    found = bindings.quotes(spark, sf_dir).select(
+        snapshot.alias("match_id"), "market", F.lit("any").alias("selection"), F.lit(None).cast("decimal(10,3)").alias("line"),
+        F.when(snapshot % 4 == 0, "").otherwise(F.concat(F.lit("f"), (snapshot % 4).cast("string"))).alias("family"), "odds",
+        F.when(F.col("score1") > F.col("score2"), "win").when(F.col("score1") < F.col("score2"), "loss").otherwise("return").alias("outcome"),
+    )
+    stored = found.where(match % 10 != 1).withColumns(
+        {"is_active": F.lit(True), "created_at": day, "invalidated_at": F.lit(None).cast("timestamp")}
+    )
+    changed = F.when((match % 10 == 4) & (F.col("outcome") == "loss"), "win").otherwise(F.col("outcome"))
+    fresh = found.where(match % 10 != 2).withColumns(
+        {
+            "odds": (F.col("odds") + F.when(match % 10 == 3, 0.05).otherwise(0).cast("decimal(12,5)")).cast("decimal(12,5)"),
+            "outcome": changed,
+        }
+    )
+    matched = found.where(match % 20 != 2).select("match_id")
+    return stored, ops.merge_with_changes(stored, fresh, matched, as_of=F.lit("2024-03-01").cast("timestamp"))
+
+
+@query("corridor_refresh", f"""{_REFRESH}, {BUCKETS}
+SELECT market, scope_type, scope_value, bucket, sample_size, wins, losses, returns, {SHAPE} FROM corridors""")
+def corridor_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corridors brought up to date by what a merge changed; the SQL builds them anew."""
+    stored, merged = _refreshed(spark, sf_dir)
+    held = ops.refresh_totals(ops.totals(stored, group=("market",)), merged, group=("market",))
+    built = ops.metrics(held, group=("market",))
+    return rounded(built.drop("odds_min", "odds_max"))
+
+
+@query("corridor_changes", f"""{_REFRESH}
+SELECT count(*) FILTER (WHERE match_id % 10 <> 2) AS observations_materialized, count(*) FILTER (WHERE match_id % 10 = 1) AS observations_created,
+  count(*) FILTER (WHERE match_id % 10 NOT IN (1, 2)) AS observations_updated, count(*) FILTER (WHERE match_id % 20 = 2) AS observations_invalidated FROM obs""")
+def corridor_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.change_statistics(_refreshed(spark, sf_dir)[1])
