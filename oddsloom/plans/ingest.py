@@ -15,7 +15,8 @@ B = bindings.CTE["b"]
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = bindings.table(spark, sf_dir, "events")
+    # A payload is built from each row; rows are spread before, however few files hold them.
+    events = bindings.table(spark, sf_dir, "events").repartition("event_id")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 

@@ -143,15 +143,41 @@ def corridor_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.select(*key, "sample_size", "is_active")
 
 
-@query("participant_resolution", """SELECT p_partkey AS participant_id, 'exact' AS action, min(p_partkey) OVER (PARTITION BY p_name) AS entity_id FROM part""")
+@query("participant_resolution", """WITH ents AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name)
+SELECT p_partkey AS participant_id, CASE p_partkey % 5 WHEN 0 THEN 'alias' WHEN 1 THEN 'review' WHEN 2 THEN 'new' ELSE 'exact' END AS action,
+  CASE p_partkey % 5 WHEN 0 THEN p_partkey WHEN 3 THEN id WHEN 4 THEN id END AS known_id, p_partkey % 5 <> 1 AS attached,
+  CASE p_partkey % 5 WHEN 0 THEN 'alias ' || p_partkey WHEN 1 THEN 'twin ' || p_partkey WHEN 2 THEN md5(CAST(p_partkey AS VARCHAR)) ELSE p_name END AS name,
+  CASE p_partkey % 5 WHEN 2 THEN 'new' WHEN 3 THEN 'exact' WHEN 4 THEN 'exact' END AS alias_method, CASE WHEN p_partkey % 5 = 1 THEN p_partkey END AS candidate_id
+FROM part JOIN ents USING (p_name)""")
 def participant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the form ``Team (nickname)`` attached to known names."""
+    """Labels of the form ``Team (nickname)``: known names, an alias of the source, a name two hold elsewhere, new names.
+
+    Ids of new entities are hashes and not compared; that each new name has one is.
+    """
     part = bindings.table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
     entities = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"))
-    label = F.concat("p_brand", F.lit(" ( "), F.upper("p_name"), F.lit(" )"))
-    people = part.select(F.col("p_partkey").alias("participant_id"), label.alias("label"))
-    out = identity.resolve_participants(people, entities, column="label", kind="player", source="s")
-    return out["attached"].select("participant_id", "action", "entity_id")
+    text = key.cast("string")
+    nickname = (
+        F.when(key % 5 == 0, F.concat(F.lit("Alias "), text)).when(key % 5 == 1, F.concat(F.lit("TWIN "), text))
+        .when(key % 5 == 2, F.md5(text.cast("binary"))).otherwise(F.upper("p_name"))
+    )
+    people = part.select(key.alias("participant_id"), F.concat("p_brand", F.lit(" ( "), nickname, F.lit(" )")).alias("label"))
+    own = part.where(key % 5 == 0).select(F.lit("s").alias("source"), F.concat(F.lit("alias "), text).alias("name"), key.alias("entity_id"))
+    twins = part.where(key % 5 == 1).select(
+        F.lit("x").alias("source"), F.concat(F.lit("twin "), text).alias("name"), F.explode(F.array(key, key + 1)).alias("entity_id")
+    )
+    out = identity.resolve_participants(
+        people, entities, column="label", kind="player", source="s", aliases=own.unionByName(twins), similarity="levenshtein"
+    )
+    fresh = out["new_entities"].select(F.col("entity_id").alias("fresh_id"))
+    aliases = out["new_aliases"].select("name", F.col("match_method").alias("alias_method"))
+    reviews = out["reviews"].select("name", "candidate_id")
+    rows = out["attached"].join(fresh, F.col("entity_id") == F.col("fresh_id"), "left").join(aliases, "name", "left").join(reviews, "name", "left")
+    return rows.select(
+        "participant_id", "action", F.when(F.col("fresh_id").isNull(), F.col("entity_id")).alias("known_id"),
+        F.col("entity_id").isNotNull().alias("attached"), "name", "alias_method", "candidate_id",
+    )
 
 
 @query("sample_sizes", f"""{FORM_SQL}
