@@ -142,6 +142,61 @@ def test_personal_base_and_context(spark):
     assert pii_bootstrap.digest(pii_bootstrap.find(docs(spark, []))).count() == 0
 
 
+def confident_by_hand(occurrences):
+    """Pattern scores from (patterns, instance, kind) by the rounds as described; kind 4 is an unknown token."""
+    seeds = collections.defaultdict(lambda: [0.0] * 4)
+    seen, edges = set(), collections.defaultdict(set)
+    for patterns, instance, kind in occurrences:
+        seen.add(instance)
+        if kind < 4:
+            seeds[instance][kind] = 1.0
+        for pattern in patterns:
+            edges[pattern].add(instance)
+    scores = {i: (seeds[i] if i in seeds else [0.0] * 4) for i in seen}
+    for turn in range(pii_bootstrap.ROUNDS):
+        sure = {p: [sum(scores[i][k] for i in members) / (len(members) + pii_bootstrap.DOUBT) for k in range(4)] for p, members in edges.items()}
+        if turn == pii_bootstrap.ROUNDS - 1:
+            break
+        for i in seen - set(seeds):
+            mine = [sure[p] for p, members in edges.items() if i in members]
+            scores[i] = [1 - math.prod(1 - min(c[k], 0.999) for c in mine) for k in range(4)]
+    return {p for p, c in sure.items() if max(c) >= pii_bootstrap.CONFIDENCE and sum(i in seeds for i in edges[p]) >= pii_bootstrap.LEAST_SEEDS}
+
+
+def test_contexts_of_mixed_kinds(spark):
+    """Cues of each level, met by seeds of several kinds; patterns equal a direct computation of the rounds."""
+    rng = np.random.default_rng(8)
+    rows, at = [], 0
+
+    def add(text):
+        nonlocal at
+        at += 1
+        rows.append((at, text))
+        return at
+
+    for i in range(12):
+        add(prose(i, 5) + f" write me at user{i}@mail.example today")
+        add(prose(i + 50, 5) + f" form {i} phone: +4930{rng.integers(10**6, 10**7)} or by letter")
+        add(prose(i + 90, 5) + f" both {'a%d@b.example' % i if i % 2 else '10.0.0.%d' % i} mixed")
+        add(prose(i + 120, 4) + f" order no {rng.integers(10**5, 10**6)} shipped")
+    hidden = {add("you can write me at user@localhost today"): "user@localhost", add("see form 3 phone: 7435553824 now"): "7435553824",
+              add("3 phone: 7435553825"): "7435553825"}
+    # An ordinary word before a number is no context, however many cards follow it elsewhere.
+    for i in range(8):
+        add(prose(i + 200, 3) + f" the 4539148803436467 {prose(i + 300, 2)}")
+    quiet = [add("order no 123456 shipped"), add("phone 12345 lines"), add("the 4539148803436468 then")]
+    table = docs(spark, rows + rows[:5])
+    found = pii_bootstrap.occurrences(table)
+    held = [(tuple(r.patterns), r.instance, r.kind) for r in found.where("kind is not null").collect()]
+    assert {r.pattern for r in pii_bootstrap.confident_patterns(found).collect()} == confident_by_hand(held)
+    spans = collections.defaultdict(list)
+    for r in pii_bootstrap.find(table).collect():
+        if r.kind == "context":
+            spans[r.doc_id].append(dict(rows)[r.doc_id][r.start : r.end])
+    assert {d: set(spans[d]) for d in hidden} == {d: {value} for d, value in hidden.items()}
+    assert not any(d in spans for d in quiet)
+
+
 def base_secrets(text):
     rules = [
         ("assign", r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
