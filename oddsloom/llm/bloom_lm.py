@@ -13,7 +13,10 @@ its shard knows, and scores are computed from the union of the notes.
 
 The base score uses exact counts: those of frequent words travel as a table of
 bounded size, the rest are joined. Words are told apart by 64-bit hashes. Null
-texts count as empty: a single end token.
+texts count as empty: a single end token. Repeated rows train and are scored each.
+Very long texts are hashed in pieces. An empty table gives no rows; without
+training rows every count is 0. Extra columns are ignored. Two words of over a
+thousand bytes made for the purpose can share a hash, which is a polynomial.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ window around the cut is encoded again and grows until both sides agree:
   window's outer tokens are those of the two sides, the splice is valid too.
 
 Ids equal those of the tokenizer file used on the whole text, special tokens in
-the text included. Null texts count as empty; an empty text has no ids.
+the text included. Null texts count as empty; an empty text has no ids. Repeated
+rows are encoded each, a null doc_id stays null. A very long text is parts of
+``LEAF`` bytes while it is encoded, and one row when they are joined. An empty
+table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ of the same or a stronger priority is suppressed, found with one running maximum
 per priority over a row's detections in order of their start.
 
 Everything is DataFrame expressions. Null texts count as empty; a text without
-words has no detections and score 0.
+words has no detections and score 0. Repeated rows have their detections each. A
+very long text is scanned whole; its detections are one window of rows. Detections
+of one place go by priority, then by the rules' order. An empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,6 +6,12 @@ task, so fitting needs no sample and no driver-side table. The covariance of a
 class is shrunk towards the pooled one and towards a multiple of the identity;
 its Cholesky factor is computed once and kept in the model. A score is the
 posterior of label 1 from the difference of the two Gaussian log densities.
+
+Null texts count as empty; texts without words share one vector, all zero, and so
+one score. Repeated rows are scored each, and train as often as they are stored. A
+very long text is read whole, compressed in blocks. An empty table gives no rows;
+labels of fewer than two classes give 0.5 for every row. Extra columns are ignored
+by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ batch, and joins the findings of all batches back to every path with that blob.
 A rule's keyword gate runs in the JVM while the blob is hashed, so only blobs
 that can match travel with their text.
 
-Null texts count as empty. Equal texts are one blob, however often they occur.
+Null texts count as empty. Equal texts are one blob, however often they occur; very
+long ones are hashed in the JVM and travel whole only if a gate passes.
 """
 
 from __future__ import annotations

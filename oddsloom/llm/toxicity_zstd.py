@@ -11,6 +11,11 @@ seen, turns into a score. The README has the figures of each distance alone.
 
 Labels are only read outside the held-out fold (fold 0). Fitting uses a bounded
 sample of labelled rows; scoring reads every byte of every text.
+
+Null and empty texts have one window, a space. Repeated rows are scored each and
+train once. Very long texts are cut into windows in lists of bounded length. An
+empty table gives no rows; without labels of both classes the score is their
+share, 0 without any. Extra columns are ignored.
 """
 
 from __future__ import annotations

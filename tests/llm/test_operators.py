@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from oddsloom.llm import (
     block_knn,
@@ -23,6 +25,7 @@ from oddsloom.llm import (
     simhash_gray,
     toxicity_zstd,
 )
+from oddsloom.llm.common import tokenizer_path
 
 #: Clashing names of extra columns.
 SCHEMA = "doc_id long, text string, label string, row string, part string, score string, block string, kind string"
@@ -519,18 +522,97 @@ def test_toxicity_of_passages_without_toxic_words(spark, script):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.9 * len(held)
 
 
+def posterior_by_hand(training, vectors, pooled=0.2, ridge=0.02):
+    """Posterior of class 1 from whole covariance matrices, without factors or sums; ``training``: (label, vector)."""
+    every = np.array([v for _, v in training])
+    centre, scale = every.mean(0), np.sqrt(np.maximum(every.var(0), 1e-6))
+    held = [np.array([(v - centre) / scale for label, v in training if label == kind]) for kind in (0, 1)]
+    scatters = [np.cov(rows.T, bias=True) for rows in held]
+    within = sum(len(rows) * scatter for rows, scatter in zip(held, scatters)) / len(every)
+    logs = []
+    for rows, scatter in zip(held, scatters):
+        mixed = (1 - pooled) * scatter + pooled * within
+        size = len(mixed)
+        mixed = (1 - ridge) * mixed + ridge * np.trace(mixed) / size * np.eye(size) + 1e-6 * np.eye(size)
+        away = (np.array(vectors) - centre) / scale - rows.mean(0)
+        distance = np.einsum("ij,jk,ik->i", away, np.linalg.inv(mixed), away)
+        logs.append(math.log(len(rows) / len(every)) - 0.5 * distance - 0.5 * np.linalg.slogdet(mixed)[1])
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
+def in_fold(doc_id):
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
+
+
+def test_quality_equals_direct_posterior(spark):
+    rows = [(i, prose(i, 20 + i % 50) + ".") for i in range(150)] + [(i, prose(i, 30).upper() + "!!") for i in range(150, 250)]
+    rows += [(i + 1000 if i else None, t) for i, t in AWKWARD]
+    marked = {i: int(i < 150) for i in range(0, 250, 2)}
+    table = quality_qda.with_statistics(docs(spark, rows))
+    model = quality_qda.fit(table, labels_of(spark, [(i, q, "x") for i, q in marked.items()], "quality"), "quality")
+    training = [(marked[i], quality_qda.statistics(t)) for i, t in rows if i in marked and not in_fold(i)]
+    want = posterior_by_hand(training, [quality_qda.statistics(t or "") for _, t in rows])
+    got = quality_qda.score(table, model).collect()
+    assert sorted((repr(r.doc_id), round(r.score, 6)) for r in got) == sorted((repr(i), round(float(p), 6)) for (i, _), p in zip(rows, want))
+    empty = docs(spark, [])
+    assert quality_qda.score(quality_qda.with_statistics(empty), model).count() == 0 and quality_qda.keep_good(empty, model).count() == 0
+    bare = quality_qda.fit(quality_qda.with_statistics(empty), labels_of(spark, [(1, 1, "x")], "quality"), "quality")
+    assert {r.score for r in quality_qda.score(table, bare).collect()} == {0.5}
+
+
+def test_toxicity_of_empty_tables(spark):
+    some = docs(spark, AWKWARD)
+    marked = labels_of(spark, [(i, i % 2, "x") for i in range(1, 14)], "toxic")
+    none = toxicity_zstd.fit(docs(spark, []), marked)
+    assert len(toxicity_zstd.score(some, none).collect()) == len(AWKWARD)
+    assert toxicity_zstd.score(docs(spark, []), toxicity_zstd.fit(some, marked)).count() == 0
+
+
+def by_component(rows):
+    """Row with the smallest id of each group of near copies."""
+    marks = [direct_fingerprint(text) for _, text in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (marks[a] ^ marks[b]).bit_count() <= 3:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return [min((rows[i] for i in range(len(rows)) if group[i] == g), key=lambda r: r[0]) for g in sorted(set(group))]
+
+
+def write_tables(spark, folder, documents, benchmark, labels):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row string"
+    spark.createDataFrame([(i, t, None, "s", 1, "x", "y") for i, t in documents], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
+    """Ids after each stage and the last stage's token ids, each from a direct computation; awkward and repeated rows among them."""
     passage = prose(5000, 45)
-    rows = [(i, prose(i, 120) + ".", "en", "s", 1) for i in range(60)]
-    rows += [(60, prose(3, 120) + ".", "en", "s", 1), (61, prose(90, 60) + " " + passage, "en", "s", 1)]
-    rows += [(62, prose(91, 60) + " token=abcdefgh " + prose(92, 20), "en", "s", 1)]
-    rows += [(100 + i, " ".join(w.upper() + "!!" for w in prose(i, 40).split()), "en", "s", 1) for i in range(30)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    known = [(i, int(i < 100), 0) for i in [*range(0, 60), *range(100, 130)]]
-    spark.createDataFrame(known, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    kept = {row.doc_id for row in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    accepted = {i for i in range(63) if i not in (60, 61)}
-    assert kept <= accepted and len(accepted - kept) <= 3 and 62 in kept
+    rows = [(i, prose(i, 120) + ".") for i in range(60)]
+    rows += [(60, prose(3, 120) + "."), (61, prose(90, 60) + " " + passage), (62, prose(91, 60) + " token=abcdefgh " + prose(92, 20))]
+    rows += [(100 + i, " ".join(w.upper() + "!!" for w in prose(i, 40).split())) for i in range(30)]
+    rows += [(200, None), (201, ""), (202, " "), (203, prose(700, 20000)), (62, rows[62][1]), (204, "🙂 " + prose(95, 70) + " secret: hunter2222")]
+    known = {i: int(i < 100) for i in [*range(0, 60), *range(100, 130)]}
+    write_tables(spark, tmp_path, rows, [(0, passage)], [(i, q, 0) for i, q in known.items()])
+    training = [(known[i], quality_qda.statistics(t)) for i, t in rows if i in known and not in_fold(i)]
+    good = posterior_by_hand(training, [quality_qda.statistics(t or "") for _, t in rows]) >= 0.3
+    left = by_component([row for row, keep in zip(rows, good) if keep])
+    left = [(i, t) for i, t in left if passage not in (t or "")]
+    library = Tokenizer.from_file(tokenizer_path())
+    want = {}
+    for i, text in left:
+        raw = text or ""
+        for _, start, end in sorted(base_secrets(raw), key=lambda span: -span[1]):
+            raw = raw[:start] + "[secret]" + raw[end:]
+        want[i] = library.encode(raw, add_special_tokens=False).ids
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {row.doc_id: list(row.ids) for row in got} == want and len(got) == len(want)
+    assert {61, 60} & set(want) == set() and 62 in want
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
