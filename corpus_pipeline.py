@@ -4,7 +4,13 @@
 returns a DataFrame. ``run`` applies them in order and writes each result to
 the folder in ``spark.checkpoint.dir``, from which the next stage reads, so a
 lost executor costs a re-read and no stage is computed twice. All stages but
-the last return the columns of documents.
+the last return the columns of documents; extra columns are dropped at once.
+
+Null and empty texts pass through as they are: the classifier judges them by the
+statistics of the empty text, near-dedup keeps one of them, and they have no ids.
+Repeated rows are near copies of each other, so one stays; among copies the row
+with the smallest id does. Very long texts are treated whole in every stage. Empty
+tables give no rows; without labels of both classes the classifier keeps all.
 """
 
 from __future__ import annotations
