@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oddsloom.functions import odds as odds_fn
 from oddsloom.functions import settlement
@@ -89,17 +90,18 @@ def implied_probabilities(quotes: DataFrame, market_keys: Sequence[str]) -> Data
     One quote per selection is expected; markets with a single selection have
     no margin to remove and are left out.
     """
+    market = Window.partitionBy(*market_keys)
     priced = quotes.where(F.col("odds") > 1).withColumn("raw", odds_fn.implied(F.col("odds")))
-    side = F.struct("selection", "odds", "raw")
-    markets = priced.groupBy(*market_keys).agg(
-        F.collect_list(side).alias("sides"), F.sum("raw").alias("overround")
-    ).where(F.size("sides") >= 2)
-    return markets.select(*market_keys, "overround", F.explode("sides").alias("s")).select(
+    # A window, not a list: a market with very many rows spills instead of filling a row.
+    markets = priced.withColumns(
+        {"overround": F.sum("raw").over(market), "sides": F.count("*").over(market)}
+    ).where("sides >= 2")
+    return markets.select(
         *market_keys,
-        "s.selection",
-        "s.odds",
-        F.col("s.raw").cast("double").alias("raw_probability"),
-        (F.col("s.raw").cast("double") / F.col("overround").cast("double")).alias(
+        "selection",
+        "odds",
+        F.col("raw").cast("double").alias("raw_probability"),
+        (F.col("raw").cast("double") / F.col("overround").cast("double")).alias(
             "normalized_probability"
         ),
         F.col("overround").cast("double").alias("overround"),

@@ -1,4 +1,4 @@
-"""Upserts by natural key as aggregates over old and new rows.
+"""Upserts by natural key as aggregates over old and new rows, and append-only tables.
 
 ``max_by`` keeps the newest row per key and combines on the map side; no sort
 and no merge support of the storage is needed.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,18 @@ def append_new(current: DataFrame | None, new: DataFrame, *, keys: Sequence[str]
     for name in keys:
         condition = condition & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
     return new.join(stored, condition, "left_anti")
+
+
+def append_dated(rows: DataFrame, path: str, batch: int, *, at: str = "received_at") -> None:
+    """Append a batch to the table under ``path``, one directory a received date.
+
+    The batch's own directory is replaced, so a batch that is tried again, or
+    replayed after a crash, leaves one copy; other batches are never touched.
+    """
+    dated = rows.withColumn("received_date", F.to_date(at))
+    dated.write.mode("overwrite").partitionBy("received_date").parquet(f"{path}/batch_id={batch}")
+
+
+def read_dated(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a table; a filter on received_date or batch_id reads their directories alone."""
+    return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from oddsloom.operators import upsert
 from oddsloom.plans import bindings
 from oddsloom.plans.form import rounded
 from oddsloom.plans.registry import query
+from oddsloom.session import scratch_path
 from oddsloom.sources import book_catalog, history, ledger, raw
 
 B = bindings.CTE["b"]
@@ -363,3 +364,16 @@ def append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = bindings.table(spark, sf_dir, "events").select("event_id", "ts")
     stored = events.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
     return upsert.append_new(stored, events, keys=["event_id"]).select("event_id")
+
+
+@query("append_odds", f"""{bindings.with_views('quotes')}
+SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS received_date, snapshot_id % 2 AS batch_id, count(*) AS quotes, CAST(sum(odds) AS DOUBLE) AS odds FROM quotes GROUP BY ALL""")
+def append_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds appended in two batches by received date, the first of them twice."""
+    quotes = bindings.quotes(spark, sf_dir).select("snapshot_id", "received_at", "odds")
+    path = scratch_path(spark, "odds")
+    for batch in (0, 1, 0):
+        upsert.append_dated(quotes.where(F.col("snapshot_id") % 2 == batch), path, batch)
+    return upsert.read_dated(spark, path).groupBy(F.col("received_date").cast("string").alias("received_date"), F.col("batch_id").cast("long").alias("batch_id")).agg(
+        F.count("*").alias("quotes"), F.sum("odds").cast("double").alias("odds")
+    )

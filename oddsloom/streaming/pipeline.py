@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming import StreamingQuery
 
-from oddsloom.operators import alerts, live, quotes
+from oddsloom.operators import alerts, live, quotes, upsert
 from oddsloom.sources import book_catalog, ledger, raw
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,8 +85,7 @@ def collect_snapshots(
         kept = {name: found[name] for name in ("tournaments", "events", "quotes", "rejects")}
         archived = raw.archived(batch).drop("body")
         for name, rows in {**kept, "runs": runs, "archive": archived}.items():
-            dated = rows.withColumn("received_date", F.to_date("received_at"))
-            dated.write.mode("overwrite").partitionBy("received_date").parquet(f"{path}/{name}/batch_id={batch_id}")
+            upsert.append_dated(rows, f"{path}/{name}", batch_id)
         read.unpersist()
 
     return (
