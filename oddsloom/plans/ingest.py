@@ -10,7 +10,7 @@ from oddsloom.plans import bindings
 from oddsloom.plans.form import rounded
 from oddsloom.plans.registry import query
 from oddsloom.session import scratch_path
-from oddsloom.sources import book_catalog, history, ledger, raw
+from oddsloom.sources import book_catalog, files, history, ledger, raw
 
 B = bindings.CTE["b"]
 
@@ -377,3 +377,28 @@ def append_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.read_dated(spark, path).groupBy(F.col("received_date").cast("string").alias("received_date"), F.col("batch_id").cast("long").alias("batch_id")).agg(
         F.count("*").alias("quotes"), F.sum("odds").cast("double").alias("odds")
     )
+
+
+@query("observation_files", f"""WITH {B}
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS market, round(value + 1, 4) AS odds, CASE WHEN k % 3 = 0 THEN NULL ELSE round(value / 100, 4) END AS v,
+  '{{"odds":' || 1 + k || ',"text":"a \\"quoted\\", one"}}' AS detail FROM b""")
+def observation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of JSON arrays read as observations, written as JSON and CSV reports, and both read back."""
+    events = _events(spark, sf_dir)
+    item = F.struct(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("market"),
+        F.round(F.col("value") + 1, 4).alias("odds"), F.when(F.col("k") % 3 != 0, F.round(F.col("value") / 100, 4)).alias("v"),
+    )
+    # One file a hundred ids, each one array.
+    arrays = events.groupBy(F.floor(F.col("event_id") / 100).alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    landed, out = scratch_path(spark, "observations"), scratch_path(spark, "reports")
+    arrays.repartition(64, "part").write.partitionBy("part").text(landed)
+    read = files.read_observations(spark, landed)
+    report = read.join(events.select(F.col("event_id").cast("string").alias("id"), "k"), "id").select(
+        "id", "market", "odds", "v", F.struct((F.lit(1) + F.col("k")).alias("odds"), F.lit('a "quoted", one').alias("text")).alias("detail")
+    )
+    files.write_json(report.select("id", "market", "odds"), f"{out}/json")
+    files.write_csv(report.select("id", "v", "detail"), f"{out}/csv")
+    left = spark.read.schema("id string, market string, odds double").json(f"{out}/json")
+    right = spark.read.option("header", "true").option("escape", "\\").schema("id string, v double, detail string").csv(f"{out}/csv")
+    return left.join(right, "id").select("id", "market", "odds", "v", "detail")
