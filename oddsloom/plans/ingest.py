@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oddsloom.operators import quotes as quote_ops
 from oddsloom.operators import upsert
 from oddsloom.plans import bindings
 from oddsloom.plans.form import rounded
@@ -402,3 +403,43 @@ def observation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = spark.read.schema("id string, market string, odds double").json(f"{out}/json")
     right = spark.read.option("header", "true").option("escape", "\\").schema("id string, v double, detail string").csv(f"{out}/csv")
     return left.join(right, "id").select("id", "market", "odds", "v", "detail")
+
+
+_QUOTED = """q AS (SELECT event_id, ts, dayofyear(ts) AS day, user_id * 1000 + dayofyear(ts) AS contract_event, event_type AS selection, CAST(value / 20 AS DECIMAL(12,5)) AS odds,
+    CASE WHEN CAST(value / 20 AS DECIMAL(12,5)) <= 1 THEN 'odds of one or less' WHEN ts >= date_trunc('day', ts) + INTERVAL 18 HOUR THEN 'quoted after kickoff' END AS reason FROM events)"""
+
+
+def _checked_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as they come, low odds and late ones among them, each with the reason to refuse it."""
+    events = bindings.table(spark, sf_dir, "events")
+    quotes = events.select(
+        "event_id", F.col("ts").alias("received_at"), F.dayofyear("ts").cast("long").alias("day"),
+        (F.col("user_id") * 1000 + F.dayofyear("ts")).alias("contract_event"), F.col("event_type").alias("selection"),
+        (F.col("value") / 20).cast("decimal(12,5)").alias("odds"),
+        (F.date_trunc("day", "ts") + F.expr("INTERVAL 18 HOURS")).alias("kickoff"),
+    )
+    low, late = F.col("odds") <= 1, F.col("received_at") >= F.col("kickoff")
+    return quotes.withColumn("reject_reason", F.when(low, "odds of one or less").when(late, "quoted after kickoff"))
+
+
+@query("quote_ledger", f"""WITH {_QUOTED},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_id) AS rn FROM q WHERE reason IS NOT NULL),
+shown AS (SELECT day, string_agg(reason, '; ' ORDER BY rn) AS last_error FROM ranked WHERE rn <= 20 GROUP BY day)
+SELECT q.day, count(*) AS received, count(*) FILTER (WHERE reason IS NULL) AS parsed, count(reason) AS rejected,
+  CASE WHEN count(reason) > 0 THEN 'partial' ELSE 'success' END AS status, any_value(s.last_error) AS last_error
+FROM q LEFT JOIN shown s ON s.day = q.day GROUP BY q.day""")
+def quote_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and first reasons a day of quotes that are refused for low odds or for coming after kickoff."""
+    checked = _checked_quotes(spark, sf_dir)
+    return ledger.runs(checked.withColumn("position", F.col("event_id")), ["day"])
+
+
+@query("accepted_quotes", f"""WITH {_QUOTED}, kept AS (SELECT * FROM q WHERE reason IS NULL)
+SELECT contract_event, selection, CAST(arg_min(odds, (ts, event_id)) AS DOUBLE) AS opening_odds, CAST(arg_max(odds, (ts, event_id)) AS DOUBLE) AS current_odds, count(*) AS observations
+FROM kept GROUP BY contract_event, selection""")
+def accepted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price movement over what the ledger lets through."""
+    accepted, _ = ledger.split(_checked_quotes(spark, sf_dir))
+    keys = ("contract_event", "selection")
+    moved = quote_ops.odds_movement(accepted.withColumnRenamed("event_id", "snapshot_id"), keys)
+    return moved.select(*keys, "opening_odds", "current_odds", "observations")
