@@ -35,7 +35,7 @@ PAIR_SCOPES = ("h2h", "h2h_same_direction", "player_team_h2h")
 SCOPES = PLAYER_SCOPES + PAIR_SCOPES
 LINES = (1.5, 2.5, 3.5, 4.5, 5.5, 6.5)
 CHUNK_ROWS = 64
-BUCKET_SECONDS = 3600
+BUCKET_SECONDS = 86_400
 FANOUT = 4
 HISTORY, TARGET = 0, 1
 _SCOPE_COLUMN = {
@@ -231,6 +231,28 @@ def _values(gf: Column, ga: Column) -> list[Column]:
     return [value.cast("long").alias(name) for name, value in zip(_SUMS, values, strict=True)]
 
 
+#: Sums of a window; counts are added sixteen bits apart, four to a number.
+_PARTS = ("p1", "p2", "f", "t", "tt")
+_BITS = 16
+
+
+def _packed(gf: Column, ga: Column) -> list[Column]:
+    """Win, draw and the lines that a match is over, as numbers that can be added."""
+    total = gf + ga
+    marks, words = [gf > ga, gf == ga, *[total > line for line in LINES]], []
+    for begin in range(0, len(marks), 4):
+        word = F.lit(0).cast("long")
+        for place, mark in enumerate(marks[begin : begin + 4]):
+            word = word + F.when(mark, 1 << (_BITS * place)).otherwise(0).cast("long")
+        words.append(word.alias(f"p{begin // 4 + 1}"))
+    return words
+
+
+def _unpacked(words: Sequence[Column]) -> dict[str, Column]:
+    names, mask = ["w", "d", *[f"o{i}" for i in range(len(LINES))]], F.lit((1 << _BITS) - 1).cast("long")
+    return {name: F.shiftrightunsigned(words[i // 4], _BITS * (i % 4)).bitwiseAND(mask) for i, name in enumerate(names)}
+
+
 def _contexts(past: DataFrame, wanted: DataFrame, keep: int) -> DataFrame:
     """Per wanted (seg, chunk): its matches, the newest ``keep`` before it, and counts per total before it."""
     last = wanted.groupBy("seg").agg(F.max("chunk").alias("last"))
@@ -311,6 +333,8 @@ def last_n_form(
     if any(size <= 0 for size in windows):
         raise ValueError("a window holds one match or more")
     sizes, largest = sorted(set(windows)), max(windows, default=0)
+    if largest >= 1 << _BITS:
+        raise ValueError(f"windows must be below {1 << _BITS}")
     numbered = materialize(_numbered(_segment_rows(history, targets, scopes), bucket_seconds), "form-rows")
     past = numbered.where(F.col("kind") == HISTORY).withColumnRenamed("n", "known").withColumn(
         "chunk", F.expr(f"known div {chunk_rows}")
@@ -338,28 +362,42 @@ def last_n_form(
     counted = F.concat(
         "cells", F.transform(F.filter("seen", lambda r: r.known >= F.col("first")), lambda r: F.struct((r.gf + r.ga).alias("total"), F.lit(1).cast("long").alias("n")))
     )
-    totals = F.transform(F.slice("seen", 1, max(largest, 1)), lambda r: r.gf + r.ga)
-    whole = base.select(
-        *key, *_SUMS, F.sort_array(counted).alias("counted"), totals.alias("totals"), F.lit(0).alias("last_n")
-    ).withColumn("median", _median_of_counts(F.col("counted"), F.col("n")))
-    found = whole.select(*key, "last_n", *_SUMS, "median")
+    totals = F.transform(F.slice("seen", 1, max(largest, 1)), lambda r: F.coalesce(r.gf + r.ga, F.lit(0)))
+    whole = base.select(*key, *_SUMS, F.sort_array(counted).alias("counted"), totals.alias("totals")).withColumn(
+        "median", _median_of_counts(F.col("counted"), F.col("n"))
+    )
+    found = whole.select(*key, F.lit(0).alias("last_n"), *_SUMS, "median")
     if sizes:
-        # Matches between one size and the next are added up once, then the sizes.
+        # Each of the newest matches counts in all windows that reach it; sums meet the medians by target and window.
+        none = F.lit(0).cast("long")
+        # Sorted once a size, in columns of their own; without nulls the sort is one of plain numbers.
+        ordered = whole.withColumns({f"_first{size}": F.sort_array(F.slice("totals", 1, size)) for size in sizes})
+        middles = F.array(
+            *[
+                F.struct(F.lit(size).alias("last_n"), _middle(F.col(f"_first{size}"), F.least(F.size("totals"), F.lit(size))).alias("median"))
+                for size in sizes
+            ]
+        )
+        grid = ordered.select(*key, F.size("totals").alias("held"), F.explode(middles).alias("r")).select(
+            *key, "r.last_n", *[none.alias(name) for name in _PARTS], "held", "r.median"
+        )
+        reached = F.array(F.lit(largest))
+        for place in range(len(sizes) - 1, -1, -1):
+            reached = F.when(F.col("rank") < sizes[place], F.array(*[F.lit(size) for size in sizes[place:]])).otherwise(reached)
         recent = base.select(*key, F.posexplode(F.slice("seen", 1, largest)).alias("rank", "m"))
-        band = F.lit(largest)
-        for size in reversed(sizes):
-            band = F.when(F.col("rank") < size, size).otherwise(band)
-        added = recent.select(*key, band.alias("last_n"), *_values(F.col("m.gf"), F.col("m.ga")))
-        empty = looking.select(*key, F.explode(F.array(*[F.lit(size) for size in sizes])).alias("last_n"), *[F.lit(0).cast("long").alias(name) for name in _SUMS])
-        banded = added.unionByName(empty).groupBy(*key, "last_n").agg(*[F.sum(name).alias(name) for name in _SUMS])
-        upto = Window.partitionBy(*key).orderBy("last_n").rowsBetween(Window.unboundedPreceding, 0)
-        summed = banded.select(*key, "last_n", *[F.sum(name).over(upto).alias(name) for name in _SUMS])
-        medians = F.transform(
-            F.array(*[F.lit(size) for size in sizes]),
-            lambda size: F.struct(size.alias("last_n"), _middle(F.sort_array(F.slice("totals", 1, size)), F.least(F.size("totals"), size)).alias("median")),
+        total = (F.col("m.gf") + F.col("m.ga")).cast("long")
+        parts = [*_packed(F.col("m.gf"), F.col("m.ga")), F.col("m.gf").cast("long").alias("f"), total.alias("t"), (total * total).alias("tt")]
+        added = recent.select(*key, *parts, F.explode(reached).alias("last_n")).select(
+            *key, "last_n", *_PARTS, F.lit(None).cast("int").alias("held"), F.lit(None).cast("double").alias("median")
+        )
+        summed = added.unionByName(grid).groupBy(*key, "last_n").agg(
+            *[F.sum(name).alias(name) for name in _PARTS], F.max("held").alias("held"), F.max("median").alias("median")
+        )
+        counts = _unpacked([F.col("p1"), F.col("p2")])
+        within = F.least("held", "last_n").cast("long").alias("n")
+        found = found.unionByName(
+            summed.select(*key, "last_n", within, *[value.alias(name) for name, value in counts.items()], "f", "t", "tt", "median")
         )
-        middles = whole.select(*key, F.explode(medians).alias("m")).select(*key, "m.last_n", "m.median")
-        found = found.unionByName(summed.join(middles, [*key, "last_n"]))
     n = F.greatest(F.col("n"), F.lit(1)).cast("double")
     variance = F.col("n") * F.col("tt") - F.col("t") * F.col("t")
     over = [F.col(f"o{i}") for i in range(len(LINES))]
