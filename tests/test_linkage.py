@@ -244,3 +244,14 @@ def test_live_and_completed_modes(spark):
     now = F.lit(T0 + timedelta(hours=1))
     assert [r.event_id for r in matching.live_only(events, now).collect()] == [2]
     assert [r.event_id for r in matching.completed_only(events, quotes, now).collect()] == [1]
+
+
+def test_joins_of_events_send_no_side_whole(spark):
+    """Files of repeated values are small beside their rows; a side sent whole would be built in the driver's memory."""
+    schema = "event_id long, started_at timestamp, player1 long, player2 long"
+    s = spark.createDataFrame([(i, T0 + timedelta(minutes=i), i % 5, i % 3) for i in range(40)], schema)
+    b = spark.createDataFrame([(100 + i, T0 + timedelta(minutes=i), i % 5, i % 3) for i in range(40)], schema)
+    for frame in (matching.candidates(s, b), matching.match_events(s, b)):
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+        # Names of tournaments that meet are distinct pairs, and may be sent.
+        assert [line for line in plan if "BroadcastHashJoin" in line and "s_name" not in line] == []
