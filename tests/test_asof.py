@@ -251,3 +251,16 @@ def test_plan_has_no_pair_join(spark):
     h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
     plan = asof.last_n_form(h, t)._jdf.queryExecution().executedPlan().toString()
     assert "Nested" not in plan and "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_are_summed_where_their_matches_are(spark):
+    """Rows of matches a target and window would be hundreds of times the input on disk."""
+    history, targets = world(8, 40)
+    h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
+    plan = asof.last_n_form(h, t, scopes=("global",))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" not in plan
+
+
+def test_busy_segments_are_numbered_by_bucket(spark):
+    history, targets = world(9, 200, players=2)
+    check(spark, history, targets, ("global",), (2, 7), chunk_rows=5, bucket_seconds=600, busy_rows=40)
