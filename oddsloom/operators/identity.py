@@ -1,6 +1,7 @@
 """Entity resolution of names: exact, alias, fuzzy, review or new.
 
-All work is on distinct folded names. Candidate pairs come from shared
+All work is on distinct folded names. Candidate pairs by edit similarity come
+from pieces that few edits must leave whole; by matching blocks from shared
 character pairs restricted to the rarest ones a match must contain, so a
 frequent character pair does not bring all names together.
 """
@@ -83,6 +84,10 @@ def similar_names(
     """
     if threshold < _LEAST_THRESHOLD:
         raise ValueError(f"threshold below {_LEAST_THRESHOLD} is not covered")
+    if similarity == "levenshtein":
+        return _edit_similar(probes, pool, threshold)
+    if similarity != "sequence":
+        raise ValueError("similarity must be 'sequence' or 'levenshtein'")
     everyone = probes.select("name").union(pool.select("name")).distinct()
     signature = _signature(everyone, threshold)
     left = signature.join(probes.select("name").distinct(), "name", "left_semi").select(
@@ -98,15 +103,68 @@ def similar_names(
         .select("probe", "candidate")
         .distinct()
     )
-    if similarity == "sequence":
-        score = text_fn.sequence_ratio(F.col("probe"), F.col("candidate"))
-    elif similarity == "levenshtein":
-        score = text_fn.levenshtein_ratio(F.col("probe"), F.col("candidate"))
-    else:
-        raise ValueError("similarity must be 'sequence' or 'levenshtein'")
+    score = text_fn.sequence_ratio(F.col("probe"), F.col("candidate"))
     return pairs.withColumn("score", score).where(F.col("score") >= threshold)
 
 
+def _edit_similar(probes: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """:func:`similar_names` by edit similarity, over pieces that the edits must leave whole.
+
+    A pair whose longer name has size b differs by at most k = (1 - threshold) b
+    edits. Cut that name into k + 1 pieces: some piece i is whole in the other
+    name, with at most i edits before it and k - i after it, which bounds its
+    place there. So names meet over whole pieces of their longer one, several
+    letters each, and not over single character pairs.
+    """
+    tagged = probes.select("name", F.lit(True).alias("probe"), F.lit(False).alias("pool")).unionByName(
+        pool.select("name", F.lit(False).alias("probe"), F.lit(True).alias("pool"))
+    )
+    everyone = tagged.groupBy("name").agg(F.bool_or("probe").alias("probe"), F.bool_or("pool").alias("pool")).withColumn(
+        "size", F.char_length("name")
+    )
+    edits = F.floor(F.col("b") * (1 - threshold) + 1e-9).cast("int")
+    pieces = F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
+    width, longer_from = F.expr("b div (k + 1)").cast("int"), F.expr("k + 1 - b % (k + 1)")
+
+    def cut(df: DataFrame, *kept: str) -> DataFrame:
+        return df.where("k > 0").select(*kept, "b", "k", pieces).select(
+            *kept, "b", "k", "i", (F.col("i") * width + F.greatest(F.lit(0), F.col("i") - longer_from)).alias("at"),
+            (width + F.when(F.col("i") >= longer_from, 1).otherwise(0)).alias("letters"),
+        )
+
+    sizes = everyone.select(F.col("size").alias("b")).distinct().withColumn("k", edits)
+    long = cut(everyone.select("*", F.col("size").alias("b")).withColumn("k", edits), "name", "probe", "pool").select(
+        F.col("name").alias("long"), F.col("probe").alias("long_probe"), F.col("pool").alias("long_pool"), "b", "i",
+        F.substr("name", F.col("at") + 1, F.col("letters")).alias("piece"),
+    )
+    fitting = everyone.join(sizes, (F.col("b") >= F.col("size")) & (F.col("b") - F.col("size") <= F.col("k")))
+    before, after, shift = F.col("i"), F.col("k") - F.col("i"), F.col("size") - F.col("b")
+    first = F.greatest(F.lit(0), F.col("at") - before, F.col("at") + shift - after)
+    last = F.least(F.col("size") - F.col("letters"), F.col("at") + before, F.col("at") + shift + after)
+    short = (
+        cut(fitting, "name", "probe", "pool", "size")
+        .withColumns({"first": first, "last": last})
+        .where("first <= last")
+        .withColumn("place", F.explode(F.sequence("first", "last")))
+        .select(
+            F.col("name").alias("short"), F.col("probe").alias("short_probe"), F.col("pool").alias("short_pool"),
+            "size", "b", "i", F.substr("name", F.col("place") + 1, F.col("letters")).alias("piece"),
+        )
+    )
+    forth, back = F.col("long_probe") & F.col("short_pool"), F.col("short_probe") & F.col("long_pool")
+    # Of two names of one size each is the longer one; the pair is needed once.
+    once = (F.col("size") < F.col("b")) | (F.col("short") < F.col("long"))
+    pairs = long.join(short, ["b", "i", "piece"]).where(once & (forth | back)).select(
+        "long", "short", forth.alias("forth"), back.alias("back")
+    ).distinct()
+    scored = pairs.withColumn("score", text_fn.levenshtein_ratio(F.col("long"), F.col("short"))).where(F.col("score") >= threshold)
+    ways = F.array(
+        F.when(F.col("forth"), F.struct(F.col("long").alias("probe"), F.col("short").alias("candidate"))),
+        F.when(F.col("back"), F.struct(F.col("short").alias("probe"), F.col("long").alias("candidate"))),
+    )
+    return scored.select(F.explode(F.filter(ways, lambda way: way.isNotNull())).alias("way"), "score").select("way.*", "score")
+
+
 def entity_id(kind: str, name: Column) -> Column:
     """Id of a new entity: a function of its name, equal on every run."""
     return F.xxhash64(F.lit(kind), name)
@@ -263,7 +321,9 @@ def resolve_participants(
     source, name, entity_id. Returns attached, new_entities, new_aliases and
     reviews.
     """
-    folded = text_fn.normalize_names(participants, column, kind, output="name")
+    # Labels are folded once, spread over tasks however few files hold them.
+    spread = participants.repartition("participant_id", column)
+    folded = materialize(text_fn.normalize_names(spread, column, kind, output="name"), f"{kind}-folded")
     named = folded.where(F.coalesce("name", F.lit("")) != "")
     distinct = named.groupBy("name").agg(
         F.min("participant_id").alias("first_seen"), F.min_by(column, "participant_id").alias("raw")

@@ -47,6 +47,44 @@ def test_folding_variants(spark):
     assert kept.normalized == "pri​tistret"
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_similar_names_meet_over_whole_pieces(spark):
+    draw = random.Random(5)
+    names = set()
+    for _ in range(40):
+        name = "".join(draw.choice("ab\u00e9c d") for _ in range(draw.randint(1, 30)))
+        names.add(name)
+        for _ in range(4):
+            near = list(name)
+            for _ in range(draw.randint(1, len(name) // 5 + 1)):
+                at = draw.randrange(len(near) + 1)
+                near[at : at + draw.randint(0, 1)] = draw.choice(["", "a", "b"])
+            names.add("".join(near))
+    probes, pool = [n for n in names if draw.random() < 0.7], [n for n in names if draw.random() < 0.7]
+    want = {(a, b) for a in probes for b in pool if a != b and 1.0 - _edits(a, b) / max(len(a), len(b), 1) >= 0.8}
+    frames = [spark.createDataFrame([(n,) for n in side], "name string") for side in (probes, pool)]
+    got = [(r.probe, r.candidate) for r in identity.similar_names(*frames, similarity="levenshtein").collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_edit_similar_names_compare_few_of_random_names(spark, monkeypatch):
+    """Random hexadecimal names share character pairs with each other, but hardly a piece of four letters."""
+    names = spark.range(400).select(F.md5(F.col("id").cast("string").cast("binary")).alias("name"))
+    assert identity.similar_names(names, names, similarity="levenshtein").isEmpty()
+    # With every pair that meets taken as similar, the pairs compared are counted.
+    monkeypatch.setattr(identity.text_fn, "levenshtein_ratio", lambda left, right: F.lit(1.0))
+    met = identity.similar_names(names, names, similarity="levenshtein").count()
+    assert met < 400 * 399 / 100
+
+
 def test_similar_names_are_complete(spark):
     names = random_names(1, 240) + ["ab", "axb", "abx", "xab", "ba"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
