@@ -83,3 +83,17 @@ def test_scans_read_only_the_columns_they_need(spark):
     plan = QUERIES["corridors"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_extendedprice" not in plan and "o_totalprice" not in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rounded_is_round(spark):
+    from pyspark.sql import functions as F
+
+    from oddsloom.plans.form import rounded
+
+    odd = [float("nan"), float("inf"), None, 0.0, -0.0, -1e-9, 1e300, 0.0015625, -0.0015625, 0.0078125, 5e-7, -5e-7, 1000000.1234565]
+    values = odd + [i / n for n in (3, 7, 64, 128, 640) for i in range(-40, 40)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (6, 9):
+        plan = rounded(df, places)
+        assert [str(r.x) for r in plan.collect()] == [str(r.x) for r in df.select(F.round("x", places).alias("x")).collect()]
+        assert "FLOOR" in plan._jdf.queryExecution().optimizedPlan().toString()
