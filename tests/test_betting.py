@@ -272,3 +272,20 @@ def test_observations_are_built_once_and_kept(spark):
     stored = seen.withColumns({"is_active": F.lit(True), "created_at": F.lit(at(60)), "invalidated_at": F.lit(None).cast("timestamp")})
     again = corridors.merge_observations(stored, seen.where("selection = 'P1'"), matches.limit(0), as_of=F.lit(at(90)))
     assert {(r.selection, r.is_active, r.created_at) for r in again.collect()} == {("P1", True, at(60)), ("under", False, at(60))}
+
+
+def test_strategies_are_sent_to_the_opportunities(spark, tmp_path):
+    """A shuffle by strategy would make one task a strategy, which grows with the input."""
+    from oddsloom.plans import betting
+
+    rows = [(i, T0 + timedelta(minutes=i), i % 3, "view", 20.0 + i, '{"k": 4}') for i in range(4)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        bets = betting.strategy_bets(spark, str(tmp_path), betting.STRATEGIES)
+        plan = bets._jdf.queryExecution().executedPlan().toString()
+        assert "BuildRight" in plan and "hashpartitioning(strategy" not in plan
+        assert bets.count() == 4 * len(betting.STRATEGIES)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
