@@ -10,7 +10,7 @@ from oddsloom.operators import upsert
 from oddsloom.plans import bindings
 from oddsloom.plans.form import rounded
 from oddsloom.plans.registry import query
-from oddsloom.session import scratch_path
+from oddsloom.session import materialize, scratch_path
 from oddsloom.sources import book_catalog, files, history, ledger, raw
 
 B = bindings.CTE["b"]
@@ -137,7 +137,9 @@ SELECT r.day, any_value(r.received) AS received, count(i.day) FILTER (WHERE reas
 FROM seen r LEFT JOIN items i ON i.day = r.day LEFT JOIN shown s ON s.day = r.day GROUP BY r.day""")
 def rejection_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parser runs per day: counts, status and the first twenty reasons."""
-    parsed = book_catalog.parse(catalog_payloads(spark, sf_dir))
+    # The ledger reads items twice and counts once; payloads are parsed for all of it together.
+    outcomes = book_catalog.parse(catalog_payloads(spark, sf_dir))["outcomes"]
+    parsed = book_catalog.outcome_tables(materialize(outcomes, "outcomes"))
     day = F.dayofyear("received_at").cast("long").alias("day")
     daily = parsed["items"].select(day, F.col("payload_id").alias("position"), "reject_reason")
     return ledger.runs(daily, ["day"], received=parsed["received"].select(day, "received"))

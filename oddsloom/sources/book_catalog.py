@@ -109,30 +109,37 @@ def factor_identity(factor: Column, number: Column, original: Column) -> Column:
     return chain.otherwise(unmapped)
 
 
-def _targets(tree: Column) -> Column:
-    """Target tournaments of a sport tree, from the array itself."""
+def _target_nodes(tree: Column) -> Column:
+    """Nodes of a sport tree that are target tournaments of a known sport and family."""
     def wanted(node: Column) -> Column:
         marked = F.lit(False)
         for mark in TARGET_MARKERS:
             marked = marked | F.lower(node["name"]).contains(mark)
         return node["id"].isNotNull() & F.coalesce(marked, F.lit(False))
 
+    def usable(node: Column) -> Column:
+        return wanted(node) & _root_alias(tree, node).isin(*SPORTS) & source_family(node["name"]).isNotNull()
+
+    return F.filter(tree, usable)
+
+
+def _root_alias(tree: Column, node: Column) -> Column:
+    parents = F.filter(tree, lambda other: other["id"] == node["parentId"])
+    return F.try_element_at(parents, F.lit(-1))["alias"]
+
+
+def _targets(tree: Column) -> Column:
+    """Target tournaments of a sport tree, from the array itself."""
     def shaped(node: Column) -> Column:
-        parents = F.filter(tree, lambda other: other["id"] == node["parentId"])
-        root = F.try_element_at(parents, F.lit(-1))["alias"]
         name = node["name"]
         return F.struct(
             node["id"].alias("id"), name.alias("name"),
-            root.alias("sport"), game(name).alias("game"),
+            _root_alias(tree, node).alias("sport"), game(name).alias("game"),
             match_format(name).alias("format"), source_family(name).alias("family"),
             country(name).alias("country"),
         )
 
-    return F.transform(F.filter(tree, wanted), shaped)
-
-
-def _usable(targets: Column) -> Column:
-    return F.filter(targets, lambda t: t["sport"].isin(*SPORTS) & t["family"].isNotNull())
+    return F.transform(_target_nodes(tree), shaped)
 
 
 def _invalid_core(event: Column) -> Column:
@@ -152,7 +159,10 @@ def parse(payloads: DataFrame) -> dict[str, DataFrame]:
 
 
 def tables(read: DataFrame) -> dict[str, DataFrame]:
-    """tournaments, events, quotes, rejects, items (root events of known tournaments) and received.
+    """tournaments, events, quotes, rejects, items (root events of known tournaments), received and outcomes.
+
+    ``outcomes`` holds the received number and the items of each payload in one
+    row; rejects, items and received are read off it.
 
     ``received`` counts all events of a payload, looked at or not; 0 where it
     cannot be read.
@@ -160,32 +170,36 @@ def tables(read: DataFrame) -> dict[str, DataFrame]:
     A payload is self-contained: parents, tournaments and events are looked up
     in its own arrays. Payloads are parsed independently, without a shuffle.
     """
-    # No filter on the parsed column: it would be pushed below the projection
-    # and parse every payload again. Null arrays simply explode to nothing.
+    # No filter on the parsed column: it would be pushed below the projection and
+    # parse every payload again. Explode alone implies one (a size above zero), so
+    # arrays are exploded with their empty ones, whose rows are dropped after it.
     broken = F.col("j.sports").isNull() | F.col("j.events").isNull()
-    good = read.select(
+    # Ids are looked up for each event, so they come without the other columns of a target.
+    ids = F.transform(_target_nodes(F.col("j.sports")), lambda node: node["id"])
+    roots = F.filter("j.events", lambda e: (e["level"] == 1) & F.array_contains(ids, e["sportId"]))
+    held = read.select(
         "payload_id", "received_at", _targets(F.col("j.sports")).alias("targets"),
-        F.col("j.events").alias("all_events"), F.col("j.customFactors").alias("groups"),
-    )
-    good = good.withColumn("targets", _usable(F.col("targets")))
-    ids = F.transform("targets", lambda t: t["id"])
-    roots = F.filter(
-        "all_events", lambda e: (e["level"] == 1) & F.array_contains(ids, e["sportId"])
+        F.col("j.customFactors").alias("groups"), roots.alias("roots"),
     )
-    held = good.withColumn("roots", roots)
 
-    tournaments = good.select("payload_id", "received_at", F.explode("targets").alias("t")).select(
+    tournaments = held.select("payload_id", "received_at", F.explode_outer("targets").alias("t")).where(
+        F.col("t").isNotNull()
+    ).select(
         "payload_id", "received_at", F.col("t.id").cast("string").alias("tournament_id"),
         "t.name", "t.sport", "t.game", "t.format", "t.family", "t.country",
     )
 
-    seen = held.select("payload_id", "received_at", "targets", F.posexplode("roots").alias("position", "e"))
-    identifier = F.coalesce(F.col("e.id").cast("string"), F.lit("<missing>"))
-    reason = F.when(
-        _invalid_core(F.col("e")), F.concat(F.lit("invalid core fields for event "), identifier)
-    ).when(F.col("e.startTime").isNull(), F.concat(F.lit("missing startTime for event "), identifier))
+    def reason(e: Column) -> Column:
+        identifier = F.coalesce(e["id"].cast("string"), F.lit("<missing>"))
+        return F.when(
+            _invalid_core(e), F.concat(F.lit("invalid core fields for event "), identifier)
+        ).when(e["startTime"].isNull(), F.concat(F.lit("missing startTime for event "), identifier))
+
+    seen = held.select(
+        "payload_id", "received_at", "targets", F.posexplode_outer("roots").alias("position", "e")
+    ).where(F.col("position").isNotNull())
     owner = F.try_element_at(F.filter("targets", lambda t: t["id"] == F.col("e.sportId")), F.lit(-1))
-    items = seen.withColumns({"reject_reason": reason, "t": owner}).drop("targets")
+    items = seen.withColumns({"reject_reason": reason(F.col("e")), "t": owner}).drop("targets")
     team1, player1 = text_fn.split_participant(F.col("e.team1"))
     team2, player2 = text_fn.split_participant(F.col("e.team2"))
     short = F.when(F.col("t.sport") == "football", SPORTS["football"]).otherwise(SPORTS["hockey"])
@@ -206,8 +220,9 @@ def tables(read: DataFrame) -> dict[str, DataFrame]:
     )
     kept = F.filter("groups", lambda g: F.array_contains(F.col("event_ids"), g["e"]))
     factors = (
-        priced.select("payload_id", "received_at", F.explode(kept).alias("g"))
-        .select("payload_id", "received_at", F.col("g.e").cast("string").alias("event_id"), F.explode("g.factors").alias("f"))
+        priced.select("payload_id", "received_at", F.explode_outer(kept).alias("g"))
+        .where(F.col("g").isNotNull())
+        .select("payload_id", "received_at", F.col("g.e").cast("string").alias("event_id"), F.explode_outer("g.factors").alias("f"))
         .where(F.col("f.f").isNotNull() & (F.col("f.v") > 1))
         .withColumn("line", line(F.col("f.pt"), F.col("f.p")))
     )
@@ -217,18 +232,30 @@ def tables(read: DataFrame) -> dict[str, DataFrame]:
         F.col("f.v").cast("decimal(12,5)").alias("odds"), "line",
     ).select("payload_id", "received_at", "event_id", "factor_id", "i.*", "odds", "line")
 
-    failed = read.where(broken).select(
-        "payload_id", "received_at", F.lit(-1).alias("position"),
-        F.lit("payload requires sports and events arrays").alias("reject_reason"),
+    judged = F.transform(
+        roots, lambda e, position: F.struct(position.alias("position"), reason(e).alias("reject_reason"))
+    )
+    failed = F.struct(F.lit(-1).alias("position"), F.lit("payload requires sports and events arrays").alias("reject_reason"))
+    outcomes = read.select(
+        "payload_id", "received_at", F.greatest(F.coalesce(F.size("j.events"), F.lit(0)), F.lit(0)).alias("received"),
+        F.when(broken, F.array(failed)).otherwise(judged).alias("outcomes"),
     )
-    listed = items.select("payload_id", "received_at", "position", "reject_reason").unionByName(failed)
     return {
         "tournaments": tournaments,
         "events": events,
         "quotes": quotes,
+        "outcomes": outcomes,
+        **outcome_tables(outcomes),
+    }
+
+
+def outcome_tables(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """rejects, items and received of :func:`tables` from its ``outcomes``, which a caller may have written."""
+    listed = outcomes.select("payload_id", "received_at", F.explode_outer("outcomes").alias("o")).where(
+        F.col("o").isNotNull()
+    ).select("payload_id", "received_at", "o.position", "o.reject_reason")
+    return {
         "rejects": listed.where(F.col("reject_reason").isNotNull()),
         "items": listed,
-        "received": read.select(
-            "payload_id", "received_at", F.greatest(F.coalesce(F.size("j.events"), F.lit(0)), F.lit(0)).alias("received")
-        ),
+        "received": outcomes.select("payload_id", "received_at", "received"),
     }

@@ -215,3 +215,24 @@ def test_clocks(spark):
         clock.local_midnight(F.lit(datetime(2026, 1, 1, 23, 30)), "Europe/Moscow").alias("m"),
     ).first()
     assert (row.a, row.b, row.m) == (T0 - timedelta(1), T0, datetime(2026, 1, 1, 21))
+
+
+def test_catalog_payloads_are_parsed_once_and_after_no_filter(spark):
+    """A filter on the parsed body would be pushed below the spreading of payloads and parse them again."""
+    sports = [{"id": 1, "alias": "football", "name": "Football"}, {"id": 11, "parentId": 1, "name": "FC26 H2H 2x3"}]
+    root = {"id": 5, "level": 1, "sportId": 11, "team1": "A", "team2": "B", "startTime": 9}
+    bodies = [
+        json.dumps({"sports": sports, "events": [root, {**root, "id": 6, "startTime": None}, {**root, "id": 7, "sportId": 1}]}),
+        json.dumps({"sports": sports, "events": []}), json.dumps({"sports": sports}), "{not json", None,
+    ]
+    rows = [(number, datetime(2026, 1, 1), body) for number, body in enumerate(bodies)]
+    payloads = spark.createDataFrame(rows, "payload_id long, received_at timestamp, body string").repartition("payload_id")
+    found = book_catalog.parse(payloads)
+    for name in ("items", "rejects", "received", "events", "quotes", "tournaments"):
+        plan = found[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, name
+    failed = "payload requires sports and events arrays"
+    items = sorted((r.payload_id, r.position, r.reject_reason) for r in found["items"].where("reject_reason IS NOT NULL").collect())
+    assert items == [(0, 1, "missing startTime for event 6"), (2, -1, failed), (3, -1, failed), (4, -1, failed)]
+    assert found["items"].count() == 5 and found["tournaments"].count() == 3 and found["events"].count() == 1
+    assert sorted((r.payload_id, r.received) for r in found["received"].collect()) == [(0, 3), (1, 0), (2, 0), (3, 0), (4, 0)]
