@@ -392,10 +392,10 @@ def observation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("market"),
         F.round(F.col("value") + 1, 4).alias("odds"), F.when(F.col("k") % 3 != 0, F.round(F.col("value") / 100, 4)).alias("v"),
     )
-    # One file a hundred ids, each one array.
-    arrays = events.groupBy(F.floor(F.col("event_id") / 100).alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    # One file a ten thousand ids, about a megabyte, each one array; files of a few rows cost more than their content.
+    arrays = events.groupBy(F.floor(F.col("event_id") / 10_000).alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))
     landed, out = scratch_path(spark, "observations"), scratch_path(spark, "reports")
-    arrays.repartition(64, "part").write.partitionBy("part").text(landed)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(landed)
     read = files.read_observations(spark, landed)
     report = read.join(events.select(F.col("event_id").cast("string").alias("id"), "k"), "id").select(
         "id", "market", "odds", "v", F.struct((F.lit(1) + F.col("k")).alias("odds"), F.lit('a "quoted", one').alias("text")).alias("detail")

@@ -3,11 +3,13 @@
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from oddsloom.functions import clock
 from oddsloom.operators import upsert
+from oddsloom.session import shared_dir
 from oddsloom.sources import book_catalog, files, history, ledger, raw
 
 T0 = datetime(2026, 8, 17, 12)
@@ -236,3 +238,32 @@ def test_catalog_payloads_are_parsed_once_and_after_no_filter(spark):
     assert items == [(0, 1, "missing startTime for event 6"), (2, -1, failed), (3, -1, failed), (4, -1, failed)]
     assert found["items"].count() == 5 and found["tournaments"].count() == 3 and found["events"].count() == 1
     assert sorted((r.payload_id, r.received) for r in found["received"].collect()) == [(0, 3), (1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def _files(folder):
+    return [path for path in folder.rglob("part-*") if path.is_file()]
+
+
+def test_observation_files_hold_many_ids(spark, tmp_path):
+    """Files of a hundred ids were as many as the input has hundreds."""
+    from oddsloom.plans import ingest
+
+    rows = [(i, T0 + timedelta(seconds=i), i % 7, "view", 20.0 + i, json.dumps({"k": i % 9})) for i in range(1200)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("observations-*"))
+    found = {row.id: row for row in ingest.observation_files(spark, str(tmp_path)).collect()}
+    (landed,) = set(shared.glob("observations-*")) - before
+    assert len(_files(landed)) == 1
+    assert sorted(found, key=int) == [str(i) for i in range(1200)]
+    assert found["1100"].odds == 1121.0 and found["1100"].v == 11.2 and found["1101"].v is None
+
+
+def test_dated_appends_write_few_files(spark, tmp_path):
+    """Every task had a file for each date that it held."""
+    rows = spark.range(3000).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 30 * 86_400).alias("received_at"))
+    upsert.append_dated(rows.repartition(8), str(tmp_path / "t"), 0)
+    assert len(_files(tmp_path / "t")) == 30
+    stored = upsert.read_dated(spark, str(tmp_path / "t"))
+    assert stored.count() == 3000 and stored.select("received_date").distinct().count() == 30
