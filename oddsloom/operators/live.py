@@ -63,7 +63,7 @@ def candidates(
         F.col("source_event_id").alias("event_id"), F.col("received_at").alias("cutoff_at"),
         "sport", "player1", "player2",
     ).distinct()
-    form = asof.last_n_form(history, looks, scopes=baselines.FORM_SCOPES, windows=())
+    form = asof.last_n_form(history, looks, scopes=baselines.FORM_SCOPES, windows=(), medians=False)
     cells = baselines.with_sample_sizes(baselines.form_by_event(form, ()), ())
     featured = rows.join(
         cells.withColumnsRenamed({"event_id": "source_event_id", "cutoff_at": "received_at"}),

@@ -264,3 +264,14 @@ def test_windows_are_summed_where_their_matches_are(spark):
 def test_busy_segments_are_numbered_by_bucket(spark):
     history, targets = world(9, 200, players=2)
     check(spark, history, targets, ("global",), (2, 7), chunk_rows=5, bucket_seconds=600, busy_rows=40)
+
+
+def test_sums_of_the_whole_history_need_no_chunks(spark):
+    """Callers without windows and medians would read every target's chunk for nothing."""
+    history, targets = world(11, 120)
+    h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
+    short = asof.last_n_form(h, t, scopes=("global", "h2h"), windows=(), medians=False)
+    assert "collect_list" not in short._jdf.queryExecution().executedPlan().toString()
+    full = asof.last_n_form(h, t, scopes=("global", "h2h"), windows=())
+    key = ["event_id", "cutoff_at", "scope", "side"]
+    assert short.orderBy(key).collect() == full.drop("median_total").orderBy(key).collect()
