@@ -275,3 +275,46 @@ def test_sums_of_the_whole_history_need_no_chunks(spark):
     full = asof.last_n_form(h, t, scopes=("global", "h2h"), windows=())
     key = ["event_id", "cutoff_at", "scope", "side"]
     assert short.orderBy(key).collect() == full.drop("median_total").orderBy(key).collect()
+
+
+def odd_world(seed, count, players=3):
+    """Missing scores and events that come twice."""
+    history, _ = world(seed, count, players=players)
+    rng = random.Random(seed)
+    targets = [(h[0], h[1], *h[3:12]) for h in rng.sample(history, 60)]
+    history = [(*h[:12], *((None, None) if rng.random() < 0.2 else h[12:])) for h in history]
+    return history + rng.sample(history, 20), targets
+
+
+@pytest.mark.parametrize("medians", [True, False])
+def test_blocks_and_the_tree_give_the_same_rows(spark, medians):
+    history, targets = odd_world(21, 260)
+    h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
+
+    def rows(**options):
+        form = asof.last_n_form(h, t, scopes=("global", "h2h", "player_team"), windows=(2, 7, 30), medians=medians, **options)
+        return sorted(repr([f"{v:.9g}" if isinstance(v, float) else v for v in row]) for row in form.collect())
+
+    blocks = rows(chunk_rows=300)
+    assert blocks == rows(busy_rows=0) and blocks == rows(chunk_rows=2)
+
+
+def test_prompt_results_need_no_tree(spark, monkeypatch):
+    """A window that ends at a target's place is the difference of two running sums; few matches under way are taken out."""
+    def refuse(*_):
+        raise AssertionError("read the tree")
+
+    monkeypatch.setattr(asof, "_tree_sums", refuse)
+    start, rng = datetime(2026, 1, 1), random.Random(31)
+    history = [
+        (eid, start + timedelta(minutes=12 * eid), start + timedelta(minutes=12 * eid + rng.randrange(4, 60)), "football", "a", "g", "t",
+         "f", "A", rng.choice("BC"), None, None, rng.randrange(5), rng.randrange(5))
+        for eid in range(150)
+    ]
+    targets = [(h[0], h[1], *h[3:12]) for h in history[::3]]
+    check(spark, history, targets, ("global", "h2h"), (2, 9), chunk_rows=12)
+
+
+def test_rows_of_many_columns_run_compiled_code(spark):
+    """The JVM interprets methods of more than 8000 bytes for good."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
