@@ -7,7 +7,8 @@ from statistics import fmean, median, pstdev
 
 import pytest
 
-from oddsloom.operators import asof, sessions
+from oddsloom.operators import asof, baselines, sessions
+from oddsloom.plans import learned
 
 CUTOFF = datetime(2026, 1, 10, 12, 0)
 HISTORY = (
@@ -318,3 +319,26 @@ def test_prompt_results_need_no_tree(spark, monkeypatch):
 def test_rows_of_many_columns_run_compiled_code(spark):
     """The JVM interprets methods of more than 8000 bytes for good."""
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_baseline_cells_from_sums_are_those_of_the_form(spark):
+    """An event gathers three rows of sums, not a row a window."""
+    history, targets = odd_world(23, 120)
+    h, t = spark.createDataFrame(history, HISTORY), spark.createDataFrame(targets, TARGETS)
+    options = {"scopes": baselines.FORM_SCOPES, "windows": (2, 10), "medians": False}
+    gathered = baselines.cells_by_event(asof.last_n_sums(h, t, **options), (2, 10))
+    listed = baselines.form_by_event(asof.last_n_form(h, t, **options), (2, 10))
+    assert gathered.schema["cells"].dataType.simpleString() == listed.schema["cells"].dataType.simpleString()
+    assert sorted(map(repr, gathered.collect())) == sorted(map(repr, listed.collect()))
+
+
+def test_features_need_no_medians(spark, monkeypatch):
+    """No feature is a median, and medians of the whole history read the tree."""
+    asked = []
+    form = asof.last_n_form
+    monkeypatch.setattr(asof, "last_n_form", lambda *args, **options: asked.append(options) or form(*args, **options))
+    monkeypatch.setattr(learned.bindings, "matches", lambda spark, sf_dir: spark.createDataFrame(history, HISTORY).selectExpr(
+        "event_id", "started_at", "available_at", "sport", "source", "game", "tournament_key", "event_id % 3 AS player1", "event_id % 3 + 1 AS player2", "score1", "score2"))
+    history, _ = world(24, 40)
+    learned.dataset(spark, "")
+    assert asked and not any(options.get("medians", True) for options in asked)
