@@ -293,3 +293,12 @@ def test_joins_of_events_send_no_side_whole(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString().split("\n")
         # Names of tournaments that meet are distinct pairs, and may be sent.
         assert [line for line in plan if "BroadcastHashJoin" in line and "s_name" not in line] == []
+
+
+def test_nearest_sends_its_rows_once(spark):
+    """Four row sets of their own were most of the disk that matching took."""
+    one = spark.createDataFrame([(1, datetime(2026, 1, 1), "x")], "source_id long, at timestamp, k string")
+    found = nearest(one, one.withColumnRenamed("source_id", "candidate_id"), keys=("k",))
+    assert [tuple(r) for r in found.collect()] == [(1, "x", 1, 60_000_000, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 3
